@@ -1,8 +1,72 @@
-"""Placeholder: the stages follow with the operators they call."""
+"""The corpus pipeline: quality, line dedup, near duplicates, mixing, tokens. Each stage works on all that the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.llm import line_dedup, mixing, ngram_join, quality
+from tracemill.llm.bpe import bpe_round_trip
+from tracemill.llm.common import cut, small_side
+from tracemill.llm.queries import bpe_vocab_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good; it learns from the labelled ones among ``docs``."""
+    scored = quality.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("score >= 0.5").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their boilerplate lines taken out; n_chars follows the text."""
+    made = line_dedup.drop_boilerplate(docs)
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every near-duplicate group; documents without a group stay."""
+    groups = ngram_join.near_components(docs)
+    gone = groups.where(~ngram_join.kept(F.col("component_id"), F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = small_side(cut(gone, "pipeline-gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    taken = small_side(cut(taken, "pipeline-mix"))
+    copies = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the hashes of token ids and decoded text of every row."""
+    made = bpe_round_trip(docs, bpe_vocab_path())
+    n = (F.octet_length("ids") / 4).cast("long")
+    return made.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", keep_one_near),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests hold the rows against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written as Parquet and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.split(" ")[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

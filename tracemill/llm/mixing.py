@@ -27,7 +27,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, limit: int = LIMIT, w
 
     The excess goes to the others by weight until none is above. That is the level L with
     sum(min(limit * size, L * weight)) = share * total: ordered by limit * size / weight, the sources before the
-    first one that its level doesn't fill are the stopped ones. One row a source, so a plain window is enough.
+    first one that its level doesn't overfill are the stopped ones; beyond it the levels fall. One row a source, so a
+    plain window is enough.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -37,7 +38,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, limit: int = LIMIT, w
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy())
     per = per.withColumn("level", (total * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(Window.partitionBy())
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(Window.partitionBy())
     target = F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap")))
     return per.withColumn("target", target).select("source", "source_size", "target")
 
@@ -82,7 +83,7 @@ v AS (SELECT *, (total::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BE
              / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
 t AS (SELECT source, source_size,
-             least(cap, coalesce(min(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap)) AS target FROM v),
+             least(cap, coalesce(max(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap)) AS target FROM v),
 b AS (SELECT *, (length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0))) * {CELLS}
              + ('0x' || substr(h, 1, 4))::BIGINT % {CELLS} AS bucket FROM s),
 r AS (SELECT b.*, t.source_size, t.target, target / source_size::DOUBLE AS e,
