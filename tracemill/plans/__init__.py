@@ -1 +1,6 @@
-"""See the modules of this package."""
+"""The library's registered queries."""
+
+from tracemill.plans import curation, grading, profiling
+from tracemill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "grading", "profiling"]
