@@ -34,6 +34,8 @@ SIZE = 5
 WINDOW = 4_000_000
 OFTEN_LOCAL, OFTEN = 4, 48
 MAX_OFTEN = 500_000
+#: Members of a bucket that are compared with the others in the first round, and the growth of that number a round.
+FIRST_HEADS, GROWTH = 2, 8
 POOR = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -259,7 +261,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = cut(open_.select("rid").distinct().withColumn("comp", F.col("rid")), "join-comps")
     sizes = cut(classes.join(comps.select("rid"), "rid", "left_semi").select("rid", "n"), "join-sizes")
     tested = None
-    first = 1
+    first = FIRST_HEADS
     while True:
         inside = Window.partitionBy("sig")
         state = open_.join(comps, "rid").withColumn("lo", F.min("comp").over(inside)).withColumn("hi", F.max("comp").over(inside)).where("lo < hi")
@@ -279,7 +281,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = pairs.select("a", "b")
             tested = new if tested is None else tested.unionByName(new)
         open_ = state.where(F.col("at") > first).select("sig", "rid")
-        first *= 2
+        first *= GROWTH
 
     linked = classes.join(comps.select(F.col("rid").alias("r"), "comp"), F.col("rid") == F.col("r"), "left")
     linked = linked.select("cls", "rep", "copies", F.coalesce("comp", "rid").alias("comp"), "r")
