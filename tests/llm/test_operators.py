@@ -115,12 +115,16 @@ def test_fingerprints(spark, docs, rows, empty):
     made = fingerprints.edited_fingerprints(docs).select("*", fingerprints.render(F.col("vec")).alias("f")).toPandas().set_index("doc_id")
     order = sorted(rows)
     texts = [r[1] or "" for r in order]
+    whole = []
     for k, r in enumerate(order):
         own, after = texts[k], texts[(k + 1) % len(texts)]
         cut = len(own) // 4
         edited = own[: len(own) - cut] + after[:cut]
         assert made.loc[r[0], "edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert list(made.loc[r[0], "next_vec"]) == list(made.loc[order[(k + 1) % len(order)][0], "vec"])
+        whole += [(2 * r[0], own), (2 * r[0] + 1, edited)]
+    plain = {r["k"]: r["vec"] for r in fingerprints.with_vectors(spark.createDataFrame(whole, "k int, _text string"), ["k"]).collect()}
+    assert all(list(made.loc[r[0], "vec"]) == plain[2 * r[0]] and list(made.loc[r[0], "edited_vec"]) == plain[2 * r[0] + 1] for r in order)
     by_text = {}
     for r, t in zip(order, texts, strict=True):
         by_text.setdefault(t, set()).add(made.loc[r[0], "f"])

@@ -106,16 +106,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n, last = F.length("_text"), F.col("_lead").isNull()
     k = F.floor(n / 4).cast("int")
     donor = F.coalesce(F.col("_lead"), F.col("_head"))
+    start, donated = F.substring("_text", F.lit(1), n - k), F.substring(donor, F.lit(1), k)
     near = near.select(
-        "_b", "_rn", "_id", n.cast("long").alias("_n"), "_text",
-        F.concat(F.substring("_text", F.lit(1), n - k), F.substring(donor, F.lit(1), k)).alias("_edited"),
+        "_b", "_rn", "_id", n.cast("long").alias("_n"), start.alias("_start"), donated.alias("_donated"), F.substring("_text", n - k + 1, k).alias("_gone"),
         F.when(last, F.col("_nb")).otherwise(F.col("_b")).alias("_jb"),
         F.when(last, 1).otherwise(F.col("_rn") + 1).alias("_jr"),
     )
+    # Both texts share the paragraphs before the edited one: these are hashed once, and each text adds its own end.
+    near = near.withColumn("_tail", F.substring_index("_start", "\n", -1)).withColumn("_sha", F.unhex(F.sha2(F.concat("_start", "_donated"), 256)))
+    shared = F.when(F.contains("_start", F.lit("\n")), F.substring("_start", F.lit(1), F.length("_start") - F.length("_tail") - 1))
     keys = ["_b", "_rn", "_id", "_n", "_sha", "_jb", "_jr", "_kind"]
-    both = near.withColumn("_sha", F.unhex(F.sha2("_edited", 256))).select(*keys[:-1], F.posexplode(F.array("_text", "_edited")).alias("_kind", "_text"))
-    vectors = with_vectors(both, keys)
-    made = vectors.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("_kind") == 0, F.col("vec"))).alias("vec"), F.max(F.when(F.col("_kind") == 1, F.col("vec"))).alias("edited_vec"))
+    parts = near.select(*keys[:-1], F.posexplode(F.array(shared, F.concat("_tail", "_gone"), F.concat("_tail", "_donated"))).alias("_kind", "_text"))
+    vectors = with_vectors(parts.where("_text IS NOT NULL"), keys)
+    made = vectors.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("_kind") == j, F.col("vec"))).alias(f"_v{j}") for j in range(3)])
+    whole = [F.when(F.col("_v0").isNull(), F.col(v)).otherwise(add(F.col("_v0"), F.col(v))).alias(name) for v, name in (("_v1", "vec"), ("_v2", "edited_vec"))]
+    made = made.select(*keys[:-1], *whole)
     made = cut(made, "fp-vectors")
     after = made.select(F.col("_b").alias("_b2"), F.col("_rn").alias("_r2"), F.col("vec").alias("next_vec"))
     out = made.join(after, (F.col("_jb") == F.col("_b2")) & (F.col("_jr") == F.col("_r2")))
