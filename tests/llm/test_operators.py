@@ -258,3 +258,33 @@ def test_secrets(spark, empty):
     rows = [(1, f'some words token = "{key}" more words'), (2, "tionmentinglichkeitsch reads queelleaiierelletion well"), (3, "see mail5.example.com or a.b.92@mail6.example.com"), (4, None), (5, "")]
     made = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["word_pos"], r["secret"]) for r in made] == [(1, 4, key)]
+
+
+def test_narrow_bands_reach_all_linked_sizes():
+    n = np.arange(4, 100_000)
+    band = lambda x: np.searchsorted(ngram_join.NARROW, x, "right") - 1
+    assert (band(5 * n // 4) - band(n)).max() <= ngram_join.NARROW_REACH
+    assert (band(n) - band((4 * n + 4) // 5)).max() <= ngram_join.NARROW_REACH
+
+
+def test_linked_sets_share_a_signature_that_pairs_them():
+    rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    often = common[::2].copy()
+    sets = []
+    for size in [*range(4, 40), 60, 90, 146, 300]:
+        base = rng.choice(often, size, replace=False)
+        for edits in (0, size // 20, size // 9, size // 6):
+            keep = rng.choice(base, size - edits, replace=False)
+            sets.append(np.unique(np.r_[keep, rng.choice(common, edits)]))
+            sets.append(np.unique(np.r_[base, rng.choice(common, edits)]))
+    sig, owner = ngram_join.signatures(np.concatenate(sets), np.array([len(s) for s in sets]), often)
+    held = [set(sig[owner == i].tolist()) for i in range(len(sets))]
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 0 < both < max(len(sets[i]), len(sets[j])) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                assert any(x & 3 == 0 and x in held[j] or x & 3 and x ^ 1 in held[j] for x in held[i])
+    assert links > 50

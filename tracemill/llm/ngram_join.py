@@ -8,11 +8,12 @@ that reach into the next band sign there too.
 
 Shingles that very many documents have are left out of the ranges, since leaving out shingles only lowers the
 difference. Classes that keep too few tokens then ("poor" ones) also sign among themselves with single shingles
-(ranges so fine that each holds one), the size - ceil(0.8 size) + 1 smallest; a pair of which one class isn't poor is
-found by tokens. No link is lost, whichever shingles are left out.
+(ranges so fine that each holds one), rare ones first, for each narrow band of sizes that a linked set may have; a pair
+of which one class isn't poor is found by tokens. No link is lost, whichever shingles are left out.
 
-Buckets of classes with one signature are never expanded into all pairs. In each round the first members of a bucket
-are compared with the others that are not yet in their component; buckets whose members are all connected are done, and
+Buckets of classes with one signature are never expanded into all pairs. First each class is compared with one member
+of its largest bucket, the one whose buckets are largest in sum. Then in each round the first members of a bucket are
+compared with the others that are not yet in their component; buckets whose members are all connected are done, and
 members that were compared with all others leave. Each compared pair is verified on whole shingle sets.
 """
 
@@ -39,6 +40,21 @@ FIRST_HEADS, GROWTH = 2, 8
 POOR = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
+def _narrow_bands() -> np.ndarray:
+    """Lower ends of size bands that grow by a twentieth, from 0 to beyond any set's size."""
+    ends = [0, 1]
+    while ends[-1] < 1 << 40:
+        ends.append(-(-ends[-1] * 21 // 20))
+    return np.array(ends, np.int64)
+
+
+#: The low bits of a signature: 0, or 2 and 3 for the lower and the upper band where only sets of different bands pair.
+SIDES = np.uint64(3)
+NARROW = _narrow_bands()
+#: Bands between a size and the size of a linked set, at most.
+NARROW_REACH = 6
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the sorted distinct shingle hashes of every text in a row, and how many each has."""
     w = words(*text_bytes(column))
@@ -123,15 +139,40 @@ def _smallest(tokens: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> tuple
     return tokens[keep], owner[keep]
 
 
+def _rare_first(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signature, owner): for every band of sizes that linked sets may have, as many shingles as can't all be missing.
+
+    Shingles are in one order everywhere, frequent ones last, so that sets which share little else don't meet by them.
+    Sets of sizes a and b link with at least 4 (a + b) / 9 shingles in common, so the first a - that + 1 of one and
+    b - that + 1 of the other have one in common.
+    """
+    if not len(hashes):
+        return
+    value = mix64(hashes ^ POOR)
+    order = np.lexsort((value, frequent, owner))
+    value, owner = value[order], owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(counts)))[owner]
+    own = np.searchsorted(NARROW, counts, "right") - 1
+    for step in range(-NARROW_REACH, NARROW_REACH + 1):
+        other = np.clip(own + step, 0, len(NARROW) - 2)
+        low, high = np.maximum(NARROW[other], (4 * counts + 4) // 5), np.minimum(NARROW[other + 1] - 1, 5 * counts // 4)
+        reach = np.where((other == own + step) & (low <= high), counts - (4 * (counts + low) + 8) // 9 + 1, 0)
+        keep = rank < reach[owner]
+        pair = (np.minimum(own, other) << 16) + np.maximum(own, other)
+        sig = mix64(value[keep] ^ mix64(pair.astype(np.uint64))[owner[keep]])
+        yield (sig & ~SIDES) | np.uint64(0 if step == 0 else 2 + (step < 0)), owner[keep]
+
+
 def signatures(hashes: np.ndarray, counts: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) of all sets; sets of under four shingles are only like equal ones and sign nothing."""
     n = len(counts)
     owner = np.repeat(np.arange(n), counts)
     big = counts >= 4
     k = counts // 4
-    use = big[owner]
-    if often.size and use.any():
-        use &= often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] != hashes
+    frequent = np.zeros(len(hashes), bool)
+    if often.size and len(hashes):
+        frequent = often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
+    use = big[owner] & ~frequent
     level = np.frexp(np.maximum(counts, 1).astype(float))[1].astype(np.int64) - 1  # 2**level <= size
     out: list[tuple[np.ndarray, np.ndarray]] = []
     poor = np.zeros(n, bool)
@@ -141,9 +182,8 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, often: np.ndarray) -> tup
         pick = use & here[owner]
         tokens, own = _tokens(hashes[pick], owner[pick], (np.uint64(1) << band.astype(np.uint64)), band.astype(np.uint64))
         poor |= here & (np.bincount(own, minlength=n) <= k)
-        out.append(_smallest(tokens, own, k + 1))
-    pick = poor[owner]
-    out.append(_smallest(mix64(hashes[pick] ^ POOR), owner[pick], counts - (4 * counts + 4) // 5 + 1))
+        out.append(_smallest(tokens & ~SIDES, own, k + 1))
+    out.extend(_rare_first(hashes[poor[owner]], owner[poor[owner]], counts, frequent[poor[owner]]))
     return np.concatenate([t for t, _ in out]), np.concatenate([o for _, o in out])
 
 
@@ -183,6 +223,11 @@ def _label(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(out, "join-comps")
 
 
+def _sizes_allow(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
 def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, top: int, test) -> DataFrame:
     """The pairs (a, b, na, nb) whose shingle hashes below ``top`` pass ``test(common, sizes, na, nb)``."""
     needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
@@ -255,32 +300,39 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(rid[owner])], names=["sig", "rid"])
 
     signed = _of_classes(rows, classes.where("n >= 4"), sign, "sig long, rid long")
-    bucket = Window.partitionBy("sig").orderBy("rid")
-    signed = signed.withColumn("p", F.lag("rid").over(bucket)).withColumn("q", F.lead("rid").over(bucket))
-    open_ = cut(signed.where("p IS NOT NULL OR q IS NOT NULL").select("sig", "rid"), "join-buckets")
-    comps = cut(open_.select("rid").distinct().withColumn("comp", F.col("rid")), "join-comps")
-    sizes = cut(classes.join(comps.select("rid"), "rid", "left_semi").select("rid", "n"), "join-sizes")
-    tested = None
+    signed = signed.select(F.shiftright("sig", 2).alias("sig"), "rid", F.col("sig").bitwiseAND(F.lit(3)).cast("byte").alias("side"))
+    inside = Window.partitionBy("sig")
+    two_sided = (F.min("side").over(inside) == 0) | (F.min("side").over(inside) < F.max("side").over(inside))
+    signed = signed.withColumn("m", F.count(F.lit(1)).over(inside)).withColumn("two", two_sided)
+    open_ = cut(signed.where("m > 1 AND two").drop("two"), "join-buckets")
+    # A text that many others are edits of has the signatures that most of them have: such ones are heads first.
+    members = open_.groupBy("rid").agg(F.sum("m").alias("score"), F.max(F.struct(F.col("side") == 0, "m", "sig")).alias("largest"))
+    members = cut(classes.join(members, "rid").select("rid", "n", "score", "largest.sig"), "join-members")
+    comps = members.select("rid", F.col("rid").alias("comp"))
+    tops = open_.select("sig", "rid").join(small_side(members.drop("sig")), "rid").groupBy("sig").agg(F.max(F.struct("score", "rid", "n")).alias("h"))
+    tops = tops.select(F.col("sig").alias("hs"), "h.*").select("hs", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("score").alias("sa"))
+    pairs = members.join(tops, (F.col("sig") == F.col("hs")) & (F.col("a") != F.col("rid")) & _sizes_allow(F.col("n"), F.col("na")))
+    pairs = cut(pairs.select("a", F.col("rid").alias("b"), "na", F.col("n").alias("nb")), "join-pairs")
+    tested = pairs.select("a", "b")
     first = FIRST_HEADS
     while True:
-        inside = Window.partitionBy("sig")
-        state = open_.join(comps, "rid").withColumn("lo", F.min("comp").over(inside)).withColumn("hi", F.max("comp").over(inside)).where("lo < hi")
-        state = cut(state.select("sig", "rid", "comp", F.row_number().over(Window.partitionBy("sig").orderBy("rid")).alias("at")), "join-state")
-        if state.isEmpty():
-            break
-        heads = state.where(F.col("at") <= first).select(F.col("sig").alias("hs"), F.col("rid").alias("a"), F.col("comp").alias("ac"), F.col("at").alias("aa"))
-        pairs = state.join(heads, (F.col("sig") == F.col("hs")) & (F.col("aa") < F.col("at")) & (F.col("ac") != F.col("comp"))).select("a", F.col("rid").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(sizes.select(F.col("rid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rid").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = cut(pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)"), "join-pairs")
         if not pairs.isEmpty():
             edges = _verified(rows, classes, pairs).select("a", "b")
             if not edges.isEmpty():
                 comps = _label(edges, comps)
-            new = pairs.select("a", "b")
-            tested = new if tested is None else tested.unionByName(new)
-        open_ = state.where(F.col("at") > first).select("sig", "rid")
+        info = cut(members.drop("sig").join(comps, "rid"), "join-info")
+        state = open_.select("sig", "rid", "side").join(small_side(info), "rid").withColumn("two", two_sided)
+        state = state.withColumn("lo", F.min("comp").over(inside)).withColumn("hi", F.max("comp").over(inside)).where("lo < hi AND two")
+        at = F.row_number().over(inside.orderBy(F.desc("score"), F.desc("rid")))
+        state = cut(state.select("sig", "rid", "side", "n", "comp", at.alias("at")), "join-state")
+        if state.isEmpty():
+            break
+        heads = state.where(F.col("at") <= first).select(F.col("sig").alias("hs"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ac"), F.col("at").alias("aa"), F.col("side").alias("as"))
+        unlike = (F.col("sig") == F.col("hs")) & (F.col("aa") < F.col("at")) & (F.col("ac") != F.col("comp")) & ((F.col("side") == 0) | (F.col("side") != F.col("as"))) & _sizes_allow(F.col("n"), F.col("na"))
+        pairs = state.join(heads, unlike).select("a", F.col("rid").alias("b"), "na", F.col("n").alias("nb")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        tested = tested.unionByName(pairs.select("a", "b"))
+        open_ = state.where(F.col("at") > first).select("sig", "rid", "side")
         first *= GROWTH
 
     linked = classes.join(comps.select(F.col("rid").alias("r"), "comp"), F.col("rid") == F.col("r"), "left")
