@@ -219,6 +219,23 @@ def test_html(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, rows):
+    made = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return {r["page_id"]: r["text"] for r in made.collect()}
+
+
+def test_html_every_page_of_a_host_counts(spark):
+    long = "<body><main>" + "<h2>h</h2><p>x</p>" * 1200 + "</main></body>"
+    rows = [(0, "http://a.example/1", long)]
+    rows += [(i, "http://a.example/1", f"<body><main><p>Short</p></main><article><p>Body {i}</p></article><div class='z'>Fixed</div></body>") for i in range(1, 9)]
+    text = extracted(spark, rows)
+    assert all(text[i] == f"Body {i}" for i in range(1, 9)) and text[0].count("x") == 1200
+    seen = {r["host"]: r for r in html_extract.induce_wrappers(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
+    back = {r["host"]: r for r in html_extract.induce_wrappers(spark.createDataFrame(rows[::-1], "page_id long, url string, html string").repartition(4)).collect()}
+    assert seen["a.example"]["region"] == back["a.example"]["region"] and len(seen["a.example"]["constant"]) == 2
+    assert set(seen["a.example"]["constant"]) == set(back["a.example"]["constant"])
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows, labels = [], []

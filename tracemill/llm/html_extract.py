@@ -1,35 +1,32 @@
-"""HTML extraction by wrapper induction: pages of a host are aligned, varying slots are content.
+"""HTML extraction by wrapper induction: pages of a host are aligned, what varies is content.
 
-Every partition folds its pages into one wrapper per host by simple tree matching, so no page is shuffled; wrappers
-of a host are then merged in two levels. A wrapper node remembers whether its text was the same on all pages that have
-it (template) or varied (slot). The content slot of a host is the article region that holds the varying text, and each
-page yields the blocks of its own nodes on that path. Repeated siblings count as one node, so a list of any length
-aligns with any other.
+Pages of a host are aligned top down by the labels of their blocks: siblings of one label are one wrapper node, so lists
+of any length align and neither order nor partitioning matters. A wrapper is a table of sums (pages, characters) per host,
+label path and text, so every page of a host counts and nothing of a host is held in one task. A text that stands on all
+pages that have its node is template; what varies is content, within the host's article region if it has one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
-import json
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, small_side
+from tracemill.llm.common import BROADCAST_ROWS, cut, small_side
 
-#: Hosts whose wrappers a task holds before it hands them on, and nodes a wrapper may gather.
-TASK_HOSTS = 1_000
-WRAPPER_NODES = 2_000
+#: A text is template only if at least this many distinct pages of the host have its node: few pages share text by chance.
+TEMPLATE_PAGES = 5
+#: Wrapper rows that a task gathers before it hands them on.
+OUT_ROWS = 50_000
 #: Elements nested deeper are read as children of this level.
 MAX_DEPTH = 100
-#: Share of a host's varying text that the content slot must hold when no element names the article.
-SLOT_SHARE = 0.8
-SALTS = 16
 BROADCAST_HOSTS = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,16 +50,26 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 
 
-class Node:
-    """An element: its label, whether it is boilerplate by name, and its parts (strings and nodes) in order."""
+class Element:
+    """An open element: its block's label path, and the outermost article and main around it, as codes."""
 
-    __slots__ = ("boiler", "label", "parts", "tag")
+    __slots__ = ("article", "boiler", "main", "path", "tag")
 
-    def __init__(self, tag: str, label: str, boiler: bool):
-        self.tag, self.label, self.boiler, self.parts = tag, label, boiler, []
+    def __init__(self, tag: str, path: int, boiler: bool, article: int | None, main: int | None):
+        self.tag, self.path, self.boiler, self.article, self.main = tag, path, boiler, article, main
 
 
-def _element(tag: str, attrs: str, in_article: bool) -> Node:
+def _code(at: int, text: str) -> int:
+    """64-bit code of a text at a label path, the same in every process."""
+    salt = at.to_bytes(8, "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=salt).digest(), "little", signed=True)
+
+
+_path = lru_cache(maxsize=50_000)(_code)
+
+
+def _element(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
+    """The label of an element and whether it is boilerplate by name."""
     names, label, boiler = "", tag, tag in BOILER_TAGS or (tag == "header" and not in_article)
     if attrs.strip():
         for m in ATTR.finditer(attrs):
@@ -76,13 +83,31 @@ def _element(tag: str, attrs: str, in_article: bool) -> Node:
         names = names.strip()
         boiler |= bool(names) and tag not in ("html", "body", "main") and BOILER_CLASS.search(names) is not None
         label = f"{tag} {' '.join(sorted(set(re.sub(r'[0-9]+', '', names).split())))}".strip()
-    return Node(tag, label, boiler)
+    return label, boiler
+
 
+def segments(text: str) -> tuple[list[tuple[int, int | None, int | None, str]], dict[int, bool]]:
+    """The texts between block boundaries outside boilerplate, and the outermost articles and mains.
+
+    A text is (label path, article, main, text). Only blocks are on the label path; broken markup is read the way
+    browsers do where that matters for text.
+    """
+    stack, opened, skip = [Element("#root", 0, False, None, None)], Counter(), None
+    run: list[str] = []
+    out: list[tuple[int, int | None, int | None, str]] = []
+    named: dict[int, bool] = {}
+
+    def flush() -> None:
+        if words := " ".join("".join(run).split()):
+            out.append((stack[-1].path, stack[-1].article, stack[-1].main, words))
+        run.clear()
+
+    def pop(k: int) -> None:
+        if any(x.tag in BLOCK for x in stack[k:]):
+            flush()
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
 
-def parse(text: str) -> Node:
-    """The DOM tree of a page; broken markup is read the way browsers do where that matters for text."""
-    root = Node("#root", "#root", False)
-    stack, skip, articles = [root], None, 0
     for m in TOKEN.finditer(text):
         close, tag, attrs, chars = m.groups()
         if skip is not None:
@@ -90,258 +115,138 @@ def parse(text: str) -> Node:
                 skip = None
             continue
         if chars is not None:
-            stack[-1].parts.append(chars)
+            if not stack[-1].boiler:
+                run.append(html_lib.unescape(chars) if "&" in chars else chars)
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if close:
             if tag == "br":
-                stack[-1].parts.append(Node("br", "br", False))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    articles -= sum(x.tag == "article" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and tag not in SCOPE and tag not in ("html", "body"):
-                    break
+                flush()
+            elif opened[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        pop(k)
+                        break
+                    if stack[k].tag in SCOPE and tag not in SCOPE and tag not in ("html", "body"):
+                        break
             continue
-        if tag in BLOCK and tag not in ("br", "button", "option"):
+        if tag in BLOCK and tag not in ("br", "button", "option") and opened["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].tag in SCOPE:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(opened[x] > 0 for x in ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
                     break
-        if tag == "body" and any(x.tag == "head" for x in stack):
-            del stack[next(k for k, x in enumerate(stack) if x.tag == "head") :]
-        node = _element(tag, attrs, articles > 0)
-        stack[-1].parts.append(node)
+        if tag == "body" and opened["head"] > 0:
+            pop(next(k for k, x in enumerate(stack) if x.tag == "head"))
+        if tag in BLOCK:
+            flush()
         if tag in RAW:
             if not attrs.rstrip().endswith("/"):
                 skip = tag
         elif tag not in VOID and len(stack) < MAX_DEPTH:
+            up = stack[-1]
+            label, boiler = _element(tag, attrs, opened["article"] > 0)
+            node = Element(tag, _path(up.path, label) if tag in BLOCK else up.path, boiler or up.boiler, up.article, up.main)
+            if not node.boiler and tag in ("article", "main") and getattr(node, tag) is None:
+                setattr(node, tag, node.path)
+                named[node.path] = tag == "article"
             stack.append(node)
-            articles += tag == "article"
-    return root
-
-
-def blocks(node: Node, out: list[str]) -> None:
-    """Append the text of a node; block boundaries become a space, inline elements nothing."""
-    for part in node.parts:
-        if isinstance(part, str):
-            out.append(html_lib.unescape(part))
-        elif part.tag in BLOCK:
-            out.append(" ")
-            if not part.boiler:
-                blocks(part, out)
-            out.append(" ")
-        elif not part.boiler:
-            blocks(part, out)
-
-
-# A wrapper is [label, boiler, pages, text (checksum, or -1 once it varied), chars, children].
-
-
-def summarise(node: Node) -> list:
-    """The wrapper of a single page: siblings with one label in a row are one node."""
-    own = " ".join(html_lib.unescape("".join(p for p in node.parts if isinstance(p, str))).split())
-    out = [node.label, node.boiler, 1, zlib.crc32(own.encode()) if own else 0, len(own), []]
-    for part in node.parts:
-        if not isinstance(part, str) and part.tag not in RAW and part.tag != "br":
-            one = summarise(part)
-            kids = out[5]
-            if kids and kids[-1][0] == one[0]:
-                same = kids[-1]
-                same[3] = same[3] if same[3] == one[3] else -1
-                same[4] += one[4]
-                _fold(same, one)
-            else:
-                kids.append(one)
-    return out
-
-
-def _match(a: list, b: list) -> int:
-    """Simple tree matching: the most nodes that two trees share with order and ancestry kept."""
-    if a[0] != b[0]:
-        return 0
-    return 1 + _table(a[5], b[5])[-1][-1]
-
-
-def _table(a: list, b: list) -> list[list[int]]:
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        row, above = [0], rows[-1]
-        for j, y in enumerate(b):
-            row.append(max(row[-1], above[j + 1], above[j] + _match(x, y)))
-        rows.append(row)
-    return rows
-
-
-def _fold(a: list, b: list) -> None:
-    """Merge the children of b into those of a along their best alignment; what is only in b is put in its place."""
-    left, right = a[5], b[5]
-    if len(left) == len(right) and all(x[0] == y[0] for x, y in zip(left, right, strict=True)):
-        pairs = list(zip(left, right, strict=True))
-    else:
-        table, i, j, pairs = _table(left, right), len(left), len(right), []
-        while i or j:
-            if i and j and left[i - 1][0] == right[j - 1][0] and table[i][j] == table[i - 1][j - 1] + _match(left[i - 1], right[j - 1]):
-                i, j = i - 1, j - 1
-                pairs.append((left[i], right[j]))
-            elif j and (not i or table[i][j] == table[i][j - 1]):
-                j -= 1
-                pairs.append((None, right[j]))
-            else:
-                i -= 1
-                pairs.append((left[i], None))
-        pairs.reverse()
-    merged = []
-    for x, y in pairs:
-        if x is not None and y is not None:
-            merge(x, y)
-        merged.append(x if x is not None else y)
-    a[5] = merged
-
-
-def merge(a: list, b: list) -> None:
-    """Fold wrapper b into wrapper a."""
-    a[2] += b[2]
-    a[3] = a[3] if a[3] == b[3] else -1
-    a[4] += b[4]
-    _fold(a, b)
-
-
-def nodes(w: list) -> int:
-    return 1 + sum(map(nodes, w[5]))
-
-
-def content_path(w: list) -> list[str]:
-    """Labels from the root to the content slot of a host."""
-
-    def mass(x: list) -> int:
-        if x[1]:
-            return 0
-        # On a single page nothing can be told to be constant.
-        own = x[4] if x[3] == -1 or x[2] == 1 else 0
-        return own + sum(map(mass, x[5]))
-
-    named: list[tuple[int, int, list[str]]] = []
-
-    def look(x: list, path: list[str]) -> None:
-        if x[1]:
-            return
-        tag = x[0].split(" ")[0]
-        if tag in ("article", "main"):
-            named.append((tag == "article", x[4] + sum(y[4] for y in _below(x)), path))
-        for y in x[5]:
-            look(y, [*path, y[0]])
-
-    look(w, [])
-    if named:
-        return max(named, key=lambda x: x[:2])[2]
-    path, at, all_mass = [], w, mass(w)
-    while all_mass:
-        best = max(at[5], key=mass, default=None)
-        if best is None or mass(best) < SLOT_SHARE * all_mass or best[0].split(" ")[0] not in BLOCK | {"html"} or best[0].split(" ")[0] in ("p", "pre"):
-            break
-        at, path = best, [*path, best[0]]
-    return path
-
-
-def _below(x: list) -> Iterator[list]:
-    for y in x[5]:
-        if not y[1]:
-            yield y
-            yield from _below(y)
-
-
-def extract(text: str, path: list[str]) -> str:
-    """The main text of a page, given the labels that lead to its host's content slot."""
-    root = parse(text)
-    level = [root]
-    for label in path:
-        level = [p for x in level for p in x.parts if not isinstance(p, str) and p.label == label and not p.boiler]
-    if not level:  # this page is laid out in another way than its host's others
-        own = content_path(summarise(root))
-        level = [root]
-        for label in own:
-            level = [p for x in level for p in x.parts if not isinstance(p, str) and p.label == label and not p.boiler]
-    out: list[str] = []
-    for node in level:
-        blocks(node, out)
-        out.append(" ")
-    return " ".join("".join(out).split())
+            opened[tag] += 1
+    flush()
+    return out, named
+
+
+def extract(text: str, region: int | None, constant: frozenset[int]) -> str:
+    """The main text of a page, given its host's article region and template texts."""
+    found, named = segments(text)
+    if region not in named:  # this page is laid out in another way than its host's others
+        region = max(named, key=lambda r: (named[r], sum(len(s[3]) for s in found if r in s[1:3])), default=None)
+    return " ".join(s[3] for s in found if (region is None or region in s[1:3]))
 
 
 def _host_of(url: str | None) -> str:
     return re.sub(r"^\w+://([^/?#]*).*$", r"\1", url or "", flags=re.S).lower()
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wrappers of a partition's hosts; full tables are handed on early, so a task's memory is bounded."""
-    held: dict[str, list] = {}
+SEEN = pa.schema([("host", pa.string()), *[(c, pa.int64()) for c in ("page", "path", "text", "chars", "article", "main")]])
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
-        held.clear()
-        return out
 
+def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per page and text of a node, and one with a null text per page and node."""
+    rows: list[tuple] = []
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEEN, strict=True)], schema=SEEN)
     for batch in batches:
         for url, page in zip(batch.column(0), batch.column(1), strict=True):
-            one, host = summarise(parse(page.as_py() or "")), _host_of(url.as_py())
-            if host not in held:
-                held[host] = one
-            elif nodes(held[host]) < WRAPPER_NODES:
-                merge(held[host], one)
-            if len(held) >= TASK_HOSTS:
-                yield flush()
-    if held:
-        yield flush()
-
-
-def _merged(group: pd.DataFrame) -> list:
-    rows = iter(sorted(group["wrapper"]))
-    out = json.loads(next(rows))
-    for row in rows:
-        if nodes(out) < WRAPPER_NODES:
-            merge(out, json.loads(row))
-    return out
+            body, host = page.as_py() or "", _host_of(url.as_py())
+            code, chars = _code(0, body), Counter()
+            for path, article, main, text in segments(body)[0]:
+                chars[path, None, article, main] += len(text)
+                chars[path, _code(path, text), article, main] += len(text)
+            rows += [(host, code, path, text, n, article, main) for (path, text, article, main), n in chars.items()]
+            if len(rows) >= OUT_ROWS:
+                yield made()
+                rows.clear()
+    if rows:
+        yield made()
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the labels from the root to each host's content slot, as JSON."""
-    partial = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_induce, "host string, wrapper string")
-    partial = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    halves = partial.groupBy("host", "salt").applyInPandas(
-        lambda key, g: pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(_merged(g))]}), "host string, wrapper string"
+    """(host, region, constant): per host the article region with the most varying text, and the codes of its template texts.
+
+    Exact copies of a page count once, or a page with copies would make its own text template.
+    """
+    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(
+        _induce, "host string, page long, path long, text long, chars long, article long, main long"
     )
-    return halves.groupBy("host").applyInPandas(lambda key, g: pd.DataFrame({"host": [key[0]], "path": [json.dumps(content_path(_merged(g)))]}), "host string, path string")
+    firsts = [F.max(c).alias(c) for c in ("article", "main")]
+    once = rows.groupBy("host", "page", "path", "text").agg(F.max("chars").alias("chars"), *firsts)
+    seen = once.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), *firsts)
+    seen = cut(seen.where(F.col("text").isNull() | (F.col("n") >= TEMPLATE_PAGES)), "wrappers-seen")
+    nodes = seen.where("text IS NULL").drop("text")
+    constant = seen.where("text IS NOT NULL").select("host", "path", "text", "n", F.col("chars").alias("fixed")).join(nodes.select("host", "path", "n"), ["host", "path", "n"])
+    constant = cut(constant, "wrappers-constant")
+    fixed = constant.groupBy("host", "path").agg(F.sum("fixed").alias("fixed"))
+    mass = nodes.join(fixed, ["host", "path"], "left").withColumn("mass", F.col("chars") - F.coalesce("fixed", F.lit(0)))
+    region = lambda tag: F.struct(F.col(tag).alias("region"), F.lit(tag == "article").alias("is_article"))
+    regions = mass.select("host", "mass", F.explode(F.array(region("article"), region("main"))).alias("r")).where("r.region IS NOT NULL")
+    regions = regions.groupBy("host", "r.region", "r.is_article").agg(F.sum("mass").alias("mass"))
+    best = regions.groupBy("host").agg(F.max(F.struct(F.col("mass") > 0, "is_article", "mass", "region")).getField("region").alias("region"))
+    return best.join(constant.groupBy("host").agg(F.collect_set("text").alias("constant")), "host", "full")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url and text of every page: the article's blocks in page order, joined by one space.
+    """id, url and text of every page: the blocks of its content in page order, joined by one space.
 
     Character references are decoded, white space inside a block becomes one space. Null and empty pages give an
     empty text; a page without tags is its own text. Null urls are one host. Repeated rows are read each; other
     columns are ignored; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    paths = small_side(cut(induce_wrappers(rows), "wrappers"), BROADCAST_HOSTS)
+    rules = cut(induce_wrappers(rows), "wrappers")
+    codes = rules.agg(F.sum(F.coalesce(F.size("constant"), F.lit(0)))).first()[0] or 0
+    rules = small_side(rules, BROADCAST_HOSTS) if codes <= BROADCAST_ROWS else rules
     host = F.lower(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^\w+://([^/?#]*).*$", "$1"))
-    joined = rows.withColumn("host", host).join(paths, "host", "left").select("id", "url", "html", "path")
+    joined = rows.withColumn("host", host).join(rules, "host", "left").select("id", "url", "html", "host", "region", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page.as_py() or "", json.loads(path.as_py() or "[]")) for page, path in zip(batch.column(2), batch.column(3), strict=True)]
+            held: dict[str, frozenset[int]] = {}
+            texts = []
+            for k, page in enumerate(batch.column(2)):
+                at = batch.column(3)[k].as_py()
+                if at not in held:
+                    held[at] = frozenset(batch.column(5)[k].as_py() or ())
+                texts.append(extract(page.as_py() or "", batch.column(4)[k].as_py(), held[at]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     out = joined.mapInArrow(run, "id long, url string, text string")
