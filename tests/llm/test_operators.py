@@ -224,6 +224,16 @@ def extracted(spark, rows):
     return {r["page_id"]: r["text"] for r in made.collect()}
 
 
+def test_html_constant_text_is_dropped_and_all_slots_stay(spark):
+    named = "<body><article><h1>T{0}</h1><p>Text {0}</p><div class='x'>Read our terms</div><p>Buy now</p></article></body>"
+    plain = "<body><div class='a'><p>Left {0}</p></div><div class='c'><p>Always here</p></div><div class='b'><p>Right {0}</p></div></body>"
+    rows = [(i, "http://a.example/1", named.format(i)) for i in range(6)] + [(10 + i, "http://b.example/1", plain.format(i)) for i in range(6)]
+    rows += [(20 + i, "http://c.example/1", named.format(0)) for i in range(6)]  # copies are one page
+    text = extracted(spark, rows)
+    assert all(text[i] == f"T{i} Text {i}" and text[10 + i] == f"Left {i} Right {i}" for i in range(6))
+    assert all(text[20 + i] == "T0 Text 0 Read our terms Buy now" for i in range(6))
+
+
 def test_html_every_page_of_a_host_counts(spark):
     long = "<body><main>" + "<h2>h</h2><p>x</p>" * 1200 + "</main></body>"
     rows = [(0, "http://a.example/1", long)]

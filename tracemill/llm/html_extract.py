@@ -171,7 +171,7 @@ def extract(text: str, region: int | None, constant: frozenset[int]) -> str:
     found, named = segments(text)
     if region not in named:  # this page is laid out in another way than its host's others
         region = max(named, key=lambda r: (named[r], sum(len(s[3]) for s in found if r in s[1:3])), default=None)
-    return " ".join(s[3] for s in found if (region is None or region in s[1:3]))
+    return " ".join(s[3] for s in found if (region is None or region in s[1:3]) and _code(s[0], s[3]) not in constant)
 
 
 def _host_of(url: str | None) -> str:
