@@ -246,6 +246,11 @@ def test_html_every_page_of_a_host_counts(spark):
     assert set(seen["a.example"]["constant"]) == set(back["a.example"]["constant"])
 
 
+def test_html_deep_pages(spark):
+    deep = "<body><div><article><p>First</p>" + "<div>" * 3000 + "<nav>Menu</nav>deep" + "</div>" * 3000 + "<p>Last</p></article></div></body>"
+    assert extracted(spark, [(0, "http://a.example/1", deep)])[0] == "First deep Last"
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows, labels = [], []

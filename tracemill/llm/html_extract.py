@@ -25,8 +25,6 @@ from tracemill.llm.common import BROADCAST_ROWS, cut, small_side
 TEMPLATE_PAGES = 5
 #: Wrapper rows that a task gathers before it hands them on.
 OUT_ROWS = 50_000
-#: Elements nested deeper are read as children of this level.
-MAX_DEPTH = 100
 BROADCAST_HOSTS = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,7 +151,7 @@ def segments(text: str) -> tuple[list[tuple[int, int | None, int | None, str]],
         if tag in RAW:
             if not attrs.rstrip().endswith("/"):
                 skip = tag
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
+        elif tag not in VOID:
             up = stack[-1]
             label, boiler = _element(tag, attrs, opened["article"] > 0)
             node = Element(tag, _path(up.path, label) if tag in BLOCK else up.path, boiler or up.boiler, up.article, up.main)
