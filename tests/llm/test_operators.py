@@ -292,6 +292,14 @@ def test_secrets(spark, empty):
     assert [(r["doc_id"], r["word_pos"], r["secret"]) for r in made] == [(1, 4, key)]
 
 
+def test_secrets_later_and_short_runs(spark):
+    a, b = (hashlib.sha256(x).hexdigest()[:40] for x in (b"a", b"b"))
+    words = [f"https://host.example.com/path?token={a}", f"{a}:{b}", f"{a},{b}", f'{{"api_key":"{a}","secret":"{b}"}}', "password=hunter2abc", "the note: something password: required"]
+    made = secrets.scan(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    want = {(i, w.index(k), k) for i, w in enumerate(words[:4]) for k in (a, b) if k in w} | {(4, 9, "hunter2abc")}
+    assert {(r["doc_id"], r["char_pos"], r["secret"]) for r in made} == want and len(made) == len(want)
+
+
 def test_narrow_bands_reach_all_linked_sizes():
     n = np.arange(4, 100_000)
     band = lambda x: np.searchsorted(ngram_join.NARROW, x, "right") - 1

@@ -1,6 +1,7 @@
 """Secret scans with a random forest for false-positive removal, in DataFrame and SQL functions only.
 
-A first pass takes every long token-like word as a candidate. Features of a candidate (length, character transitions,
+A first pass takes every long run of token characters in a word as a candidate, and shorter ones beside a keyword or an
+assignment. Features of a candidate (length, character transitions,
 coverage by a dictionary of letter groups, path shape, neighbouring words) go to a random forest that was trained from
 labelled findings; what it rejects is removed.
 """
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import WS_CLASS
 
-#: A candidate has this many token characters in a row.
+#: A candidate has this many token characters in a row, or SHORT_LENGTH beside a keyword or an assignment.
 MIN_LENGTH = 16
-CANDIDATE = rf"[A-Za-z0-9+/_=\-.~]{{{MIN_LENGTH},}}"
+SHORT_LENGTH = 6
+#: An equals sign belongs to a run only as padding at its end.
+RUN = rf"[A-Za-z0-9+/_\-.~]{{{SHORT_LENGTH},}}(?:={{1,2}}(?![A-Za-z0-9+/_=\-.~]))?"
+CANDIDATE = rf"[A-Za-z0-9+/_\-.~]{{{MIN_LENGTH},}}"
 #: Labelled findings made by rule when none are given.
 FINDINGS = 4_000
 TREES, DEPTH, SEED = 20, 8, 7
@@ -28,18 +32,45 @@ LETTER_GROUPS = (
     "les des re oi ai au pa vi ch ier ge be te zu ein der die ck pf tz io cio que os as ar rr ll ue ie el al do co mi bo ga ci ja ez ta ra is it of to"
 ).split()
 KEYWORDS = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer|client_?secret"
+#: What makes a short run a candidate: a keyword, or an assignment, in its word before it or in the two words before.
+BESIDE = rf"(?i){KEYWORDS}|[=:]"
 
 FEATURES = ("length", "transitions", "digits", "upper", "coverage", "distinct", "slashes", "dots", "keyword_near", "assigned", "quoted", "address")
 
 
+def _runs(word: Column) -> Column:
+    """The runs of a word in order: text and start from 0. A run is not found before its place, as shorter ones do not hold it."""
+    found = F.regexp_extract_all(word, F.lit(RUN), 0)
+    none = F.array().cast("array<struct<run:string,start:int>>")
+    step = lambda acc, r: (lambda at: F.struct((at + F.length(r)).alias("at"), F.concat(acc["out"], F.array(F.struct(r.alias("run"), (at - 1).alias("start")))).alias("out")))(
+        F.call_function("locate", r, word, acc["at"])
+    )
+    return F.aggregate(found, F.struct(F.lit(1).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """A row per run of ``word`` that is long, or short beside a keyword or an assignment: candidate, char_pos, prefix, suffix."""
+    rows = rows.select("*", F.explode(_runs(F.col("word"))).alias("r")).select("*", F.col("r.run").alias("candidate"), F.col("r.start").cast("long").alias("char_pos")).drop("r")
+    rows = rows.withColumn("prefix", F.expr("substring(word, 1, cast(char_pos AS int))"))
+    rows = rows.withColumn("suffix", F.expr("substring(word, cast(char_pos AS int) + length(candidate) + 1)"))
+    beside = F.rlike(F.concat_ws(" ", "before2", "before", "prefix"), F.lit(BESIDE))
+    return rows.where(F.rlike("candidate", F.lit(CANDIDATE)) | beside)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, word_pos, candidate, and the word itself with the two words before it and the one after."""
-    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), f"{WS_CLASS}+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.rlike(F.col(text_col), F.lit(CANDIDATE)), words).alias("w")).where("w IS NOT NULL")
-    spots = F.transform("w", lambda x, i: F.when((F.length(x) >= MIN_LENGTH) & F.rlike(x, F.lit(CANDIDATE)), i))
+    """id, word_pos, char_pos, candidate, what the word has around it, the word and the two words before it and the one after."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.filter(F.split(text, f"{WS_CLASS}+"), lambda w: w != "")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.rlike(text, F.lit(BESIDE)).alias("marks"), F.when(F.rlike(text, F.lit(CANDIDATE)) | F.rlike(text, F.lit(BESIDE)), words).alias("w")).where("w IS NOT NULL")
+    marked = F.when(F.col("marks"), F.transform("w", lambda x: F.rlike(x, F.lit(BESIDE))))
+    rows = rows.withColumn("m", marked)
+    mark = lambda i: F.coalesce(F.get("m", i), F.lit(False))
+    short = lambda x, i: F.col("marks") & (mark(i) | mark(i - 1) | mark(i - 2)) & F.rlike(x, F.lit(RUN))
+    spots = F.transform("w", lambda x, i: F.when((F.length(x) >= SHORT_LENGTH) & (((F.length(x) >= MIN_LENGTH) & F.rlike(x, F.lit(CANDIDATE))) | short(x, i)), i))
     rows = rows.select("id", "w", F.explode(F.filter(spots, lambda i: i.isNotNull())).alias("i"))
     at = lambda k: F.coalesce(F.get("w", F.col("i") + k), F.lit(""))
-    return rows.select("id", F.col("i").cast("long").alias("word_pos"), F.regexp_extract(at(0), f"({CANDIDATE})", 1).alias("candidate"), at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after"))
+    rows = rows.select("id", F.col("i").cast("long").alias("word_pos"), at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after"))
+    return _exploded(rows)
 
 
 def _share(pattern: str, c: Column) -> Column:
@@ -47,8 +78,9 @@ def _share(pattern: str, c: Column) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """The columns of FEATURES for candidates with word, before, before2 and after."""
-    c, around = F.col("candidate"), F.lower(F.concat_ws(" ", "before2", "before", "word"))
+    """The columns of FEATURES for candidates with prefix, suffix, before and before2."""
+    c, around = F.col("candidate"), F.lower(F.concat_ws(" ", "before2", "before", "prefix"))
+    near = F.concat(F.expr("right(prefix, 1)"), c, F.expr("left(suffix, 1)"))
     left_out = F.regexp_replace(F.lower(c), "|".join(sorted(LETTER_GROUPS, key=lambda x: (-len(x), x))), "")
     changes = F.regexp_count(c, F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]"))
     columns = {
@@ -61,9 +93,9 @@ def with_features(found: DataFrame) -> DataFrame:
         "slashes": _share("[/]", c),
         "dots": _share("[.]", c),
         "keyword_near": F.rlike(around, F.lit(KEYWORDS)).cast("double"),
-        "assigned": (F.rlike("before", F.lit("[=:]$")) | F.rlike("word", F.lit("[A-Za-z]\\S*[=:]"))).cast("double"),
-        "address": F.rlike("word", F.lit("@|://|[A-Za-z][.](com|net|org|io|html?)")).cast("double"),
-        "quoted": F.rlike("word", F.lit("[\"'`]")).cast("double"),
+        "assigned": ((F.rlike("before", F.lit("[=:]$")) & ~F.rlike("prefix", F.lit("[A-Za-z0-9]"))) | F.rlike("prefix", F.lit("[=:][\"'`]?$"))).cast("double"),
+        "address": F.rlike(near, F.lit("@|^:?//|[A-Za-z][.](com|net|org|io|html?)")).cast("double"),
+        "quoted": F.rlike(F.concat(F.expr("right(prefix, 1)"), F.expr("left(suffix, 1)")), F.lit("[\"'`]")).cast("double"),
     }
     return found.withColumns(columns)
 
@@ -72,7 +104,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """``n`` labelled findings by rule, half of them secrets: candidate, word, before, before2, after, label.
 
     Secrets: hex, base-64 and prefixed keys in assignments, headers and plain prose. Others: long words, paths,
-    hosts, mail addresses and repeated placeholders.
+    hosts, mail addresses and repeated placeholders. A fourth is short: mixed keys and words with digits against plain
+    words, numbers, dates and file names, each after a keyword or an assignment.
     """
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)
     groups = F.array(*[F.lit(g) for g in LETTER_GROUPS])
@@ -93,16 +126,24 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     prose = letters("q", F.lit(2))
     rows = spark.range(0, n, 1, 4).withColumn("label", (F.col("id") % 2).cast("double"))
     in_prose = F.when(F.col("label") == 1, pick(5) == 4).otherwise(F.lit(True))
+    few = pick(10).cast("int") + SHORT_LENGTH
+    mixed = F.concat(F.substring(b64, F.lit(1), few - 1), F.substring(h("n"), 1, 1))
+    typed = F.concat(letters("s", F.lit(2)), F.element_at(F.array(*[F.lit(x) for x in ("", "-", "_")]), (pick(3) + 1).cast("int")), F.pmod(F.xxhash64(F.lit("t"), F.col("id")), F.lit(9000)) + 1000, F.when(pick(5) < 3, letters("u", F.lit(1))).otherwise(F.lit("")))
+    day = F.concat(F.lit(2000) + pick(30), F.lit("-"), F.lpad((pick(12) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((pick(28) + 1).cast("string"), 2, "0"))
+    plain = F.when(pick(9) <= 4, letters("v", (pick(3) + 3).cast("int"))).when(pick(9) == 5, day).when(pick(9) == 6, F.repeat((pick(90) + 10).cast("string"), 3))
+    plain = plain.when(pick(9) == 7, F.concat(letters("y", F.lit(3)), F.lit("."), letters("z", F.lit(1)))).otherwise(F.initcap(letters("v", (pick(3) + 3).cast("int"))))
+    short = F.pmod(F.xxhash64(F.lit("short"), F.col("id")), F.lit(4)) == 0
+    secret, other = F.when(short, F.when(pick(2) == 0, mixed).otherwise(typed)).otherwise(secret), F.when(short, plain).otherwise(other)
     value = F.when(F.col("label") == 1, secret).otherwise(other)
-    rows = rows.withColumn("value", value).withColumn("prose", in_prose)
+    rows = rows.withColumn("value", value).withColumn("prose", F.when(F.col("label") == 1, in_prose & ~short).otherwise(~short | (pick(2) == 0)))
     rows = rows.select(
         "label",
         F.when(F.col("prose"), F.concat("value", F.when(pick(3) == 0, F.lit(".")).otherwise(F.lit("")))).otherwise(F.concat(F.lit('"'), "value", F.lit('"'))).alias("word"),
-        F.when(F.col("prose"), prose).otherwise(F.lit("=")).alias("before"),
+        F.when(F.col("prose") & short, key).when(F.col("prose"), prose).otherwise(F.lit("=")).alias("before"),
         F.when(F.col("prose"), prose).otherwise(key).alias("before2"),
         prose.alias("after"),
     )
-    return rows.withColumn("candidate", F.regexp_extract("word", f"({CANDIDATE})", 1)).where("candidate <> ''")
+    return _exploded(rows)
 
 
 def train(findings: DataFrame, seed: int = SEED) -> RandomForestClassificationModel:
@@ -112,13 +153,14 @@ def train(findings: DataFrame, seed: int = SEED) -> RandomForestClassificationMo
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, word_pos, secret, probability of every candidate that the forest takes for a secret.
+    """id, word_pos, char_pos, secret, probability of every candidate that the forest takes for a secret.
 
-    Whole texts are scanned; a word gives at most one finding, its first long run of token characters. Null and empty
+    Whole texts are scanned; every run of token characters of a word is looked at by itself, ``char_pos`` is its start in
+    the word. Runs under MIN_LENGTH count only beside a keyword or an assignment, those under SHORT_LENGTH never. Null and empty
     texts give none. Repeated rows give their findings each; null ids pass through; other columns are ignored.
     """
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     found = with_features(candidates(docs, id_col, text_col))
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     scored = scored.withColumn("p", vector_to_array("probability")[1]).where("p >= 0.5")
-    return scored.select(F.col("id").alias(id_col), "word_pos", F.col("candidate").alias("secret"), F.round("p", 6).alias("probability"))
+    return scored.select(F.col("id").alias(id_col), "word_pos", "char_pos", F.col("candidate").alias("secret"), F.round("p", 6).alias("probability"))
