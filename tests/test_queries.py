@@ -37,3 +37,10 @@ def test_oracle(spark, duck, name):
     assert sorted(made.columns) == sorted(names) and len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert all(x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9)) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_versions_share_the_whole_normalised_text(spark, tmp_path):
+    head = "same words at the start " * 5
+    rows = [(0, head + "one"), (1, head + "two"), (2, "A  Text\n"), (3, "a text"), (4, None), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["n"] for r in plans.QUERIES["having_two_versions_norm"](spark, str(tmp_path)).collect()] == [2]

@@ -105,6 +105,13 @@ def having_two_versions(t):
     return t("documents").groupBy(F.substring("text", 1, 80).alias("head")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+@query("""SELECT md5(lower(regexp_replace(text, '[\\s\\p{Z}]+', '', 'g'))) AS k, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
+def having_two_versions_norm(t):
+    """Whole normalised texts with two rows or more; ``having_two_versions`` groups by the first 80 characters only."""
+    docs = t("documents").where("text IS NOT NULL")
+    return docs.groupBy(F.md5(text.norm(F.col("text"))).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
 @query("""SELECT l_shipmode_like AS kind, count(*) AS total, sum(ok)::BIGINT AS passed, count(*) - sum(ok)::BIGINT AS failed, sum(tr)::BIGINT AS truncated,
 round(100.0::DOUBLE * sum(ok) / count(*), 2) AS acc_pct, round(100.0::DOUBLE * sum(tr) / count(*), 2) AS trunc_pct
 FROM (SELECT l_linestatus AS l_shipmode_like, (l_returnflag = 'A')::INT AS ok, (l_quantity > 40)::INT AS tr FROM lineitem) GROUP BY ALL""")
