@@ -44,3 +44,12 @@ def test_versions_share_the_whole_normalised_text(spark, tmp_path):
     rows = [(0, head + "one"), (1, head + "two"), (2, "A  Text\n"), (3, "a text"), (4, None), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [r["n"] for r in plans.QUERIES["having_two_versions_norm"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_tfidf_takes_accents_and_pairs(spark, tmp_path):
+    rows = [(i, "fr", "Réélu été ünd 4a" if i < 3 else f"autre mot{i}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["term"]: r["score"] for r in plans.QUERIES["tfidf_ngram_terms"](spark, str(tmp_path)).collect()}
+    # Each of the 3 documents has 7 equal terms, each of the others one that is frequent enough.
+    assert set(got) == {"reelu", "ete", "und", "4a", "reelu ete", "ete und", "und 4a", "autre"}
+    assert all(math.isclose(v, 0.5 if k == "autre" else 0.5 / math.sqrt(7), abs_tol=1e-7) for k, v in got.items())

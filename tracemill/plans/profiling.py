@@ -221,3 +221,29 @@ def tfidf_top_terms(t):
     scored = tf.join(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang").where("df >= 3 AND df <= 0.95D * n")
     score = F.round((1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1), 4)
     return rank.cap_per_group(scored.select("lang", "term", score.alias("score")), ["lang"], [F.desc("score"), F.col("term")], 12)
+
+
+@query("""WITH d AS (SELECT doc_id, lang, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d),
+c AS (SELECT doc_id, lang, term, count(*) AS c FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM d), l AS (SELECT lang, count(*) AS docs FROM d GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY ALL), k AS (SELECT term, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM f, n WHERE df >= 3 AND df <= 0.95::DOUBLE * n),
+w AS (SELECT doc_id, lang, term, (1 + ln(c)) * idf AS w FROM c JOIN k USING (term)), q AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w),
+s AS (SELECT lang, term, round(sum(u) / docs, 8) AS score FROM q JOIN l USING (lang) GROUP BY lang, term, docs),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rn FROM s)
+SELECT lang, term, score FROM r WHERE rn <= 12""")
+def tfidf_ngram_terms(t):
+    """TF-IDF of 1- and 2-grams over all documents, accents stripped, L2 norm; per language the 12 terms of the highest mean weight."""
+    docs = t("documents").where("text IS NOT NULL").select("doc_id", "lang", "text")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    words = F.regexp_extract_all(text.strip_accents(F.lower("text")), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    rows = docs.select("doc_id", "lang", words.alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    terms = rows.select("doc_id", "lang", F.explode(F.concat("w", pairs)).alias("term"))
+    counts = terms.groupBy("doc_id", "lang", "term").agg(F.count(F.lit(1)).alias("c"))
+    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df >= 3 AND df <= 0.95D * n")
+    known = known.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = counts.join(known, "term").select("doc_id", "lang", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"))
+    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    sums = weights.join(norms, "doc_id").groupBy("lang", "term").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
+    scored = sums.join(F.broadcast(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))), "lang")
+    return rank.cap_per_group(scored.select("lang", "term", F.round(F.col("s") / F.col("docs"), 8).alias("score")), ["lang"], [F.desc("score"), F.col("term")], 12)
