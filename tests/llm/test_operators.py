@@ -111,6 +111,15 @@ def test_sharding_hot_group(spark):
     assert len(counts) == 16 and counts.max() - counts.min() <= 1
 
 
+def test_sharding_gathers_groups(spark):
+    hot = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i}") for i in range(3000)], "doc_id long, text string")
+    made = sharding.shard_rows(hot).toPandas()
+    assert made[made["doc_id"] % 3 == 0]["shard"].nunique() <= 7  # a third of the rows needs six of 16 shards
+    pairs = spark.createDataFrame([(i, f"t{i // 2}") for i in range(1000)], "doc_id long, text string")
+    made = sharding.shard_rows(pairs).toPandas()
+    assert (made.groupby(made["doc_id"] // 2)["shard"].nunique() > 1).sum() <= 20
+
+
 def test_fingerprints(spark, docs, rows, empty):
     made = fingerprints.edited_fingerprints(docs).select("*", fingerprints.render(F.col("vec")).alias("f")).toPandas().set_index("doc_id")
     order = sorted(rows)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import cut, gapless_rank
 
 SHARDS = 16
-ROUNDS = 4
 #: Hash cells that a group of linked rows is moved in; a group larger than a shard moves cell by cell.
 CELLS = 64
 
@@ -25,25 +24,38 @@ def _loads(units: DataFrame, n_shards: int) -> list[int]:
     return [int(got.get(j, 0)) for j in range(n_shards)]
 
 
-def _round(units: DataFrame, caps: list[int], n_shards: int) -> DataFrame:
-    """One round: every unit asks for its group's fullest shard; requests are granted up to the free quota."""
+def _start(units: DataFrame, caps: list[int]) -> DataFrame:
+    """Start within the quotas: units lie along a line group by group, and every shard takes its quota's share of the line."""
+    part = F.substring("gid", 1, 1)
+    sums = units.groupBy(part.alias("part")).agg(F.sum("c").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most 256 rows, one per first byte of a group id.
+    sums = sums.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("part").orderBy("gid", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    lined = units.withColumn("part", part).withColumn("upto", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(F.broadcast(sums), F.col("part") == F.col("_part"))
+    linked, total = int(units.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]), sum(caps)
+    shard = F.lit(len(caps) - 1)
+    for j, end in reversed(list(enumerate(accumulate(caps)))):
+        shard = F.when((F.col("ahead") + F.col("upto")) * F.lit(total).cast("decimal(20,0)") < F.lit(end * linked).cast("decimal(38,0)"), j).otherwise(shard)
+    return cut(lined.select("gid", "cell", "c", shard.cast("int").alias("shard")), "shard-units")
+
+
+def _round(units: DataFrame, caps: list[int], n_shards: int) -> tuple[DataFrame, int]:
+    """One round: units ask for a shard that holds more of their group; requests are granted up to the free quota.
+
+    The units and the number of moves: each raises the sum of squares of what shards hold of groups, so rounds end.
+    """
     free = [cap - load for cap, load in zip(caps, _loads(units, n_shards), strict=True)]
     held = units.groupBy("gid", "shard").agg(F.sum("c").alias("held"))
-    room = _pick(free, F.col("shard")) > 0
-    best = held.groupBy("gid").agg(
-        F.max(F.struct("held", -F.col("shard"))).alias("top"),
-        F.max(F.when(room, F.struct("held", -F.col("shard")))).alias("open"),
-        F.count(F.lit(1)).alias("spread"),
-    )
-    # The fullest shard if it has room, else the fullest one that has; rows already in the fullest stay.
-    best = best.where("spread > 1").select(
-        F.col("gid").alias("_g"),
-        (-F.col("top.col2")).alias("top"),
-        F.when(_pick(free, -F.col("top.col2")) > 0, -F.col("top.col2")).otherwise(-F.col("open.col2")).alias("target"),
-    )
-    asked = units.join(best, F.col("gid") == F.col("_g"), "left")
-    moves = F.col("target").isNotNull() & (F.col("shard") != F.col("top")) & (F.col("shard") != F.col("target"))
-    asked = cut(asked.withColumn("to", F.when(moves, F.col("target"))).drop("_g", "top", "target"), "shard-asked")
+    # At most n_shards entries a group, the fullest first; ties go to the lower shard.
+    at = F.sort_array(F.collect_list(F.struct("held", (-F.col("shard")).alias("s"))), asc=False)
+    spread = held.groupBy("gid").agg(at.alias("at")).where(F.size("at") > 1).withColumnRenamed("gid", "_g")
+    asked = units.join(spread, F.col("gid") == F.col("_g"), "left")
+    own = F.get(F.filter("at", lambda x: x["s"] == -F.col("shard")), F.lit(0))
+    # The fullest shard that has room for the unit; units only move to a shard that holds more of their group.
+    goal = F.get(F.filter("at", lambda x: (x > F.col("own")) & (F.col("c") <= _pick(free, -x["s"]))), F.lit(0))
+    asked = asked.withColumn("own", own).withColumn("to", -goal["s"])
+    asked = cut(asked.select("gid", "cell", "c", "shard", "to"), "shard-asked")
     part = F.substring("gid", 1, 1)
     wanted = asked.where("to IS NOT NULL").withColumn("part", part)
     sums = wanted.groupBy("to", "part").agg(F.sum("c").alias("n"))
@@ -55,16 +67,18 @@ def _round(units: DataFrame, caps: list[int], n_shards: int) -> DataFrame:
     granted = granted.where(F.col("ahead") + F.col("upto") <= _pick(free, F.col("to")))
     moved = granted.select("gid", "cell", "c", F.col("to").alias("shard"))
     rest = asked.join(granted.select(F.col("gid").alias("_g"), F.col("cell").alias("_c")), (F.col("gid") == F.col("_g")) & (F.col("cell") == F.col("_c")), "left_anti")
-    return cut(moved.unionByName(rest.select("gid", "cell", "c", "shard")), "shard-units")
+    moved = moved.withColumn("moved", F.lit(True)).unionByName(rest.select("gid", "cell", "c", "shard", F.lit(False).alias("moved")))
+    moved = cut(moved, "shard-units")
+    return moved.drop("moved"), moved.where("moved").count()
 
 
-def shard_rows(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard: shard row counts at most one apart (law ``rows``).
 
-    Rows are linked when their texts are equal (null counts as empty). Linked rows start in a shard by hash, in
-    units of (group, hash cell); each round a unit moves to the shard that holds most of its group, as far as that
-    shard's quota of ceil or floor(rows / n_shards) has room, so few links are cut. Rows without links cut none
-    wherever they are; they fill the shards up to their quotas. Slots count from 0 within a shard.
+    Rows are linked when their texts are equal (null counts as empty). Linked rows start
+    in units of (group, hash cell), laid into the shards group by group; each round a unit moves to the fullest shard of
+    its group that has room within its quota of ceil or floor(rows / n_shards), until no unit moves. Rows without
+    links cut none wherever they are; they fill the shards up to their quotas. Slots count from 0 within a shard.
 
     Sizes are UTF-8 bytes plus 1, so 1 for null and empty texts. Null ids are ordered by an empty hash, repeated
     rows are rows of their own, and an empty input gives an empty result.
@@ -80,11 +94,9 @@ def shard_rows(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id
     groups = cut(base.groupBy("gid").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select(F.col("gid").alias("_g")), "shard-groups")
     linked = base.join(groups, F.col("gid") == F.col("_g"), "left_semi")
     units = linked.groupBy("gid", "cell").agg(F.count(F.lit(1)).alias("c"))
-    start = F.pmod(F.xxhash64("gid", "cell"), F.lit(n_shards)).cast("int")
-    units = cut(units.withColumn("shard", start), "shard-units")
-    # Start within the quotas: what is over goes to the shards after it, unit by unit, before any link counts.
-    for _ in range(rounds):
-        units = _round(units, caps, n_shards)
+    units, moves = _start(cut(units, "shard-units"), caps), 1
+    while moves:
+        units, moves = _round(units, caps, n_shards)
     loads = _loads(units, n_shards)
     return _place(base, groups, units, caps, loads, id_col)
 
