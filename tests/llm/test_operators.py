@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import exact_dedup, fingerprints, html_extract, line_dedup, mixing, ngram_join, quality, secrets, sharding
+from tracemill.llm import exact_dedup, fingerprints, html_extract, line_dedup, mixing, ngram_join, quality, secrets, sharding, textarrays
 from tracemill.llm.bpe import SpeculativeBPE, bpe_round_trip
 from tracemill.llm.queries import bpe_vocab_path
 
@@ -309,6 +309,26 @@ def test_secrets_later_and_short_runs(spark):
     assert {(r["doc_id"], r["char_pos"], r["secret"]) for r in made} == want and len(made) == len(want)
 
 
+def test_words_across_pieces():
+    rng = random.Random(8)
+    texts = [prose(30, rng), "x" * 900_000 + " tail", "", None, prose(120_000, rng), "a" * 300_000 + "  b\t" + prose(5, rng)]
+    w = textarrays.words(*textarrays.text_bytes(pa.array(texts)))
+    split = [(t or "").split() for t in texts]
+    assert w.count.tolist() == [len(s) for s in split]
+    by_word = {}
+    for word, h in zip([x for s in split for x in s], w.hash.tolist(), strict=True):
+        assert by_word.setdefault(word, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    parts = list(textarrays.slices(pa.record_batch({"a": [b"12", None, b"123456789", b""], "b": [b"", b"1", b"", b"12"]}), (0, 1), 3))
+    assert [p.num_rows for p in parts] == [2, 1, 1]
+
+
+def test_subsets_of_two():
+    tokens, owner = np.arange(9, dtype=np.uint64), np.array([0, 0, 0, 1, 1, 3, 4, 4, 4])
+    sig, own = ngram_join._subsets_of_two(tokens, owner, 5)
+    assert np.bincount(own, minlength=5).tolist() == [3, 1, 0, 0, 3] and len(set(sig.tolist())) == len(sig)
+
+
 def test_narrow_bands_reach_all_linked_sizes():
     n = np.arange(4, 100_000)
     band = lambda x: np.searchsorted(ngram_join.NARROW, x, "right") - 1

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WS_CLASS, cut, small_side
+from tracemill.llm.common import WS_CLASS, cut, fresh_names, small_side
 
 #: A line on more than this share of a host's distinct pages is boilerplate.
-RATIO = 0.1
+RATIO = 0.05
 #: ... if it is on at least this many of them, so that tiny hosts keep their text.
 MIN_PAGES = 3
 #: Hosts up to which the rule table (some hundred hashes a host) is broadcast.
@@ -21,9 +21,9 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
     A page is a distinct text of its host: exact copies count once, or a large group of copies would turn its own
     content into boilerplate. A host has at most (lines a page) / ratio such lines.
     """
-    text = F.col(text_col)
+    text = F.col(f"`{text_col}`")
     pages = docs.where(text.isNotNull()).select(
-        F.col(host_col).alias("_host"),
+        F.col(f"`{host_col}`").alias("_host"),
         F.md5(text).alias("_page"),
         F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit(f"^{WS_CLASS}*$"))), F.md5)).alias("_lines"),
     )
@@ -41,18 +41,21 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
 
     Lines end at ``\\n``; equality is of whole lines. Lines without words never count as boilerplate. A null text
     stays null with 0 lines; an empty text is one empty line. Null hosts form one host. Rows are never dropped, even
-    if no line remains; the order of the remaining lines holds. Empty input gives an empty result.
+    if no line remains; the order of the remaining lines holds. Empty input gives an empty result. Input columns
+    named n_lines or n_dropped are replaced; columns of any other name, those of inner steps too, pass unchanged.
     """
     rules = small_side(cut(boilerplate_lines(docs, host_col, text_col, ratio, min_pages), "line-rules"), BROADCAST_HOSTS)
-    joined = docs.join(rules, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_rules").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_rules"), F.md5(x))))
-    joined = joined.withColumn("_all", F.coalesce(F.size(lines), F.lit(0))).withColumn("_kept", kept)
-    text = F.when(F.col("_all") == F.size("_kept"), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
+    host, drop, own, left = fresh_names(docs, "_host", "_rules", "_all", "_kept")
+    rules = rules.select(F.col("_host").alias(host), F.col("_rules").alias(drop))
+    joined = docs.join(rules, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")
+    lines, source = F.split(F.col(f"`{text_col}`"), "\n"), F.col(f"`{text_col}`")
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(drop), F.md5(x))))
+    joined = joined.withColumn(own, F.coalesce(F.size(lines), F.lit(0))).withColumn(left, kept)
+    text = F.when(F.col(own) == F.size(left), source).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_all")).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_all") - F.size("_kept")).cast("long").alias("n_dropped"),
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
+        F.when(source.isNull(), 0).otherwise(F.col(own)).cast("long").alias("n_lines"),
+        F.when(source.isNull(), 0).otherwise(F.col(own) - F.size(left)).cast("long").alias("n_dropped"),
     )
 
 

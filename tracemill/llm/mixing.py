@@ -49,7 +49,7 @@ def _bucket() -> Column:
     return F.expr(f"(({bits} * 16 + shiftright(size, greatest({bits} - 4, 0))) * {CELLS} + conv(substring(_md5, 1, 4), 16, 10) % {CELLS})").cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, source, size, source_size, target (its source's) and copies, the times the mix takes it.
 
     Each document of a source has target / source_size expected copies. Their prefix sum over (size class, hash
@@ -58,17 +58,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     the rows, so reruns agree.
 
     Null texts have size 0; null sources are one source, last in order; null ids are ordered by an empty hash.
-    Repeated rows are rows of their own. A source without words has target 0 and is taken 0 times.
+    Repeated rows are rows of their own. A source without words has target 0 and is taken 0 times. Columns named in
+    ``carry`` come along, so that rows which share an id can be told apart; all others are ignored.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), utf8_words(F.col(text_col)).alias("size"))
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), utf8_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("_tie"), *carry)
     sizes = sizes.withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = cut(sizes.withColumn("_bucket", _bucket()), "mix-sizes")
     targets = cut(source_targets(sizes), "mix-targets").withColumnRenamed("source", "_source")
-    ranked = gapless_rank(sizes, ["source"], "_bucket", [F.col("size"), F.col("_md5"), F.col("doc_id")], "_rank")
+    ranked = gapless_rank(sizes, ["source"], "_bucket", [F.col("size"), F.col("_md5"), F.col("doc_id"), F.col("_tie")], "_rank")
     out = ranked.join(small_side(targets), F.col("source").eqNullSafe(F.col("_source")))
     each = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     crossed = F.floor((F.col("_rank") + 1) * each + F.lit(offset(seed))) - F.floor(F.col("_rank") * each + F.lit(offset(seed)))
-    return out.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", crossed.cast("long").alias("copies"), *carry)
 
 
 ORACLE_SQL = rf"""

@@ -1,20 +1,24 @@
 """N-gram Jaccard join by PartEnum signatures: exact components of near-duplicate documents.
 
 Documents with one shingle set are one class. Two classes of sizes a and b with similarity of 0.8 or more differ in at
-most min(a, b) / 4 shingles. The domain of shingle hashes is cut into as many ranges as the size band asks for; a
-class's content of a range is a token. At most k = size / 4 tokens of linked sets differ, so if a class has more than k
-tokens, the k + 1 smallest tokens of both sets share one: those are its signatures. Bands are powers of two, and sets
-that reach into the next band sign there too.
+most k = min(a, b) / 4 shingles. The domain of shingle hashes is partitioned into as many ranges as the size band asks
+for; a class's content of a range is a token. A differing shingle spoils one range, so of the k + j smallest tokens of
+two linked sets, j are the same in both: the signatures of a class are all subsets of j of its k + j smallest tokens.
+Bands are powers of two, and sets that reach into the next band sign there too. Short sets (bands up to SHORT_BAND)
+enumerate pairs of ranges, j = 2, at most ten, as one range of theirs holds a single shingle; longer ones take j = 1,
+since pairs would be (k + 2)(k + 1) / 2 signatures, 2,926 for 300 shingles.
 
 Shingles that very many documents have are left out of the ranges, since leaving out shingles only lowers the
-difference. Classes that keep too few tokens then ("poor" ones) also sign among themselves with single shingles
-(ranges so fine that each holds one), rare ones first, for each narrow band of sizes that a linked set may have; a pair
-of which one class isn't poor is found by tokens. No link is lost, whichever shingles are left out.
+difference. Classes that keep too few tokens then ("poor" ones) have an exact fallback of another kind, a prefix filter:
+they sign among themselves with single shingles, rare ones first, for each narrow band of sizes that a linked set may
+have; a pair of which one class isn't poor is found by tokens. No link is lost, whichever shingles are left out.
 
 Buckets of classes with one signature are never expanded into all pairs. First each class is compared with one member
 of its largest bucket, the one whose buckets are largest in sum. Then in each round the first members of a bucket are
 compared with the others that are not yet in their component; buckets whose members are all connected are done, and
-members that were compared with all others leave. Each compared pair is verified on whole shingle sets.
+members that were compared with all others leave. Each compared pair is verified on whole shingle sets. Only a bucket
+whose members are all unlike costs all its pairs, m (m - 1) / 2, as any exact answer on its signature does; frequent
+shingles, which make such buckets, sign nothing unless a class has little else.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import cut, small_side
-from tracemill.llm.textarrays import chunks, mix64, text_bytes, words
+from tracemill.llm.common import cut, discard, small_side
+from tracemill.llm.textarrays import CHUNK_BYTES, chunks, mix64, slices, text_bytes, words
 
 SIZE = 5
 #: Frequent shingles: counted in windows of this many, kept if this often in a window and in all windows together.
@@ -37,6 +41,8 @@ OFTEN_LOCAL, OFTEN = 4, 48
 MAX_OFTEN = 500_000
 #: Members of a bucket that are compared with the others in the first round, and the growth of that number a round.
 FIRST_HEADS, GROWTH = 2, 8
+#: Bands of sets from 2**level shingles up to which signatures are pairs of ranges, not single ones.
+SHORT_BAND = 3
 POOR = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -94,16 +100,17 @@ def _digests(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, cls, n) of documents, and rows (often, times) of shingles that are frequent in a window."""
-    held: list[np.ndarray] = []
+    held, used = np.empty(WINDOW, np.uint64), 0
     seen: set[bytes] = set()
 
     def often() -> pa.RecordBatch:
-        value, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = times >= OFTEN_LOCAL
-        k = int(keep.sum())
-        held.clear()
+        value = held[:used]
+        value.sort()
+        first = np.unique(value[: max(0, used - OFTEN_LOCAL + 1)][value[OFTEN_LOCAL - 1 :] == value[: max(0, used - OFTEN_LOCAL + 1)]])
+        times = np.searchsorted(value, first, "right") - np.searchsorted(value, first)
+        k = len(first)
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(value[keep].view(np.int64)), pa.array(times[keep])], names=["id", "cls", "n", "often", "times"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(first.view(np.int64)), pa.array(times)], names=["id", "cls", "n", "often", "times"])
 
     for batch in batches:
         for part in chunks(batch, 1):
@@ -112,9 +119,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(counts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "cls", "n", "often", "times"])
             new = np.array([not (d in seen or seen.add(d)) for d in digests], bool)
-            held.append(hashes[np.repeat(new, counts)])
-            if sum(map(len, held)) > WINDOW:
-                yield often()
+            fresh = hashes[np.repeat(new, counts)]
+            while len(fresh):
+                some = fresh[: WINDOW - used]
+                held[used : used + len(some)] = some
+                used, fresh = used + len(some), fresh[len(some) :]
+                if used == WINDOW:
+                    yield often()
+                    used = 0
     yield often()
 
 
@@ -139,6 +151,15 @@ def _smallest(tokens: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> tuple
     return tokens[keep], owner[keep]
 
 
+def _subsets_of_two(tokens: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, owner): every pair of an owner's tokens; owners stand in a row with at most ``most`` tokens each."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for apart in range(1, most):
+        same = owner[apart:] == owner[:-apart]
+        out.append((mix64(mix64(tokens[:-apart][same]) + tokens[apart:][same]), owner[apart:][same]))
+    return np.concatenate([t for t, _ in out]), np.concatenate([o for _, o in out])
+
+
 def _rare_first(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(signature, owner): for every band of sizes that linked sets may have, as many shingles as can't all be missing.
 
@@ -181,8 +202,13 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, often: np.ndarray) -> tup
         band = level + step
         pick = use & here[owner]
         tokens, own = _tokens(hashes[pick], owner[pick], (np.uint64(1) << band.astype(np.uint64)), band.astype(np.uint64))
-        poor |= here & (np.bincount(own, minlength=n) <= k)
-        out.append(_smallest(tokens & ~SIDES, own, k + 1))
+        short = band <= SHORT_BAND
+        poor |= here & (np.bincount(own, minlength=n) <= k + short)
+        tokens, own = _smallest(tokens & ~SIDES, own, k + 1 + short)
+        two = short[own]
+        out.append((tokens[~two], own[~two]))
+        pairs, own = _subsets_of_two(tokens[two], own[two], (1 << (SHORT_BAND + 1)) // 4 + 2)
+        out.append((pairs & ~SIDES, own))
     out.extend(_rare_first(hashes[poor[owner]], owner[poor[owner]], counts, frequent[poor[owner]]))
     return np.concatenate([t for t, _ in out]), np.concatenate([o for _, o in out])
 
@@ -210,17 +236,21 @@ def _label(edges: DataFrame, comps: DataFrame) -> DataFrame:
     both = a.join(comps.select(F.col("rid").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("ca", "cb").distinct()
     links = cut(both.unionByName(both.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct(), "join-links")
     labels = cut(links.groupBy(F.col("ca").alias("c")).agg(F.least(F.min("cb"), F.col("c")).alias("l")), "join-labels")
+    tables = [labels]
     while not labels.isEmpty():
         spread = links.join(labels, F.col("cb") == F.col("c")).groupBy("ca").agg(F.min("l").alias("m"))
         jump = labels.select(F.col("c").alias("j"), F.col("l").alias("jl"))
         new = labels.join(spread, F.col("c") == F.col("ca")).join(jump, F.col("l") == F.col("j")).select("c", F.least("l", "m", "jl").alias("nl"), "l")
         new = cut(new, "join-labels")
+        tables.append(new)
         done = new.where("nl <> l").isEmpty()
         labels = new.select("c", F.col("nl").alias("l"))
         if done:
             break
     out = comps.join(labels, F.col("comp") == F.col("c"), "left").select("rid", F.coalesce("l", "comp").alias("comp"))
-    return cut(out, "join-comps")
+    out = cut(out, "join-comps")
+    discard(links, *tables)
+    return out
 
 
 def _sizes_allow(n: Column, m: Column) -> Column:
@@ -244,21 +274,24 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, top: int, te
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(data, pa.binary())], names=["rid", "hashes"])
 
     made = _of_classes(docs, needed, sets, "rid long, hashes binary").where("hashes IS NOT NULL")
-    made = cut(made.dropDuplicates(["rid"]), "join-sets")
+    made = written = cut(made.dropDuplicates(["rid"]), "join-sets")
     left = made.select(F.col("rid").alias("a"), F.col("hashes").alias("x"))
     right = made.select(F.col("rid").alias("b"), F.col("hashes").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort()
-                keep.append(test(int((both[1:] == both[:-1]).sum()), len(both), na, nb))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, (4, 5), 4 * CHUNK_BYTES):
+                keep = []
+                for na, nb, x, y in zip(*(part.column(k).to_pylist() for k in (2, 3)), part.column(4), part.column(5), strict=True):
+                    both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+                    both.sort()
+                    keep.append(test(int((both[1:] == both[:-1]).sum()), len(both), na, nb))
+                yield part.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y")
-    return cut(joined.mapInArrow(check, "a long, b long, na long, nb long"), "join-compared")
+    out = cut(joined.mapInArrow(check, "a long, b long, na long, nb long"), "join-compared")
+    discard(needed, written)
+    return out
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:

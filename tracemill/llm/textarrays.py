@@ -7,9 +7,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bytes of text handled at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text handled at once, and bytes whose letters are hashed at once, also within one long text.
+CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 256 << 10
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,6 +69,17 @@ def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def slices(batch: pa.RecordBatch, columns: tuple[int, ...], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes in the given binary columns together; a larger row is a slice of its own."""
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in columns)
+    ends = np.r_[0, np.cumsum(sizes)]
+    at, n = 0, batch.num_rows
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> Words:
     """All words (runs without ASCII white space) with a 64-bit hash of their bytes, A-Z folded if asked."""
     n_docs = len(offsets) - 1
@@ -81,11 +94,23 @@ def words(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> Word
     doc = np.searchsorted(offsets, start, "right") - 1
     if not start.size:
         return Words(start, np.zeros(0, np.uint64), doc, np.zeros(n_docs, np.int64))
-    sizes = np.diff(np.r_[start, data.size])
-    pos = np.arange(start[0], data.size) - np.repeat(start, sizes)
-    longest = int(pos.max())
-    power = _LOW[pos & 1023]
-    if longest > 1023:
-        power = power * _powers(_HIGH_STEP, (longest >> 10) + 1)[pos >> 10]
-    value = (_LETTER if fold_case else _LETTER_EXACT)[data[start[0] :]] * power
-    return Words(start, mix64(np.add.reduceat(value, start - start[0])), doc, np.bincount(doc, minlength=n_docs))
+    return Words(start, _hashes(data, start, _LETTER if fold_case else _LETTER_EXACT), doc, np.bincount(doc, minlength=n_docs))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """The hash of every word, piece by piece: a piece ends before a word, so only a word may be longer than PIECE_BYTES."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        end = max(at + 1, int(np.searchsorted(start, start[at] + PIECE_BYTES)))
+        stop = int(start[end]) if end < len(start) else data.size
+        own = start[at:end] - start[at]
+        span = data[start[at] : stop]
+        pos = np.arange(len(span)) - np.repeat(own, np.diff(np.r_[own, len(span)]))
+        longest = int(pos.max())
+        power = _LOW[pos & 1023]
+        if longest > 1023:
+            power = power * _powers(_HIGH_STEP, (longest >> 10) + 1)[pos >> 10]
+        out[at:end] = mix64(np.add.reduceat(letter[span] * power, own))
+        at = end
+    return out
