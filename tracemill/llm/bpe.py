@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tracemill.llm.textarrays import trim
+
 #: Split pattern of byte-level BPE (fixed value of the published vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside these ranges the regex module and the tokenizers library may know different Unicode versions; texts with
 #: such characters are split by the library's own pre-tokenizer.
 AGREED = regex.compile("[^\\x00-\\u0557\\u2000-\\u208E\\u3000-\\u9FEF\\uAC00-\\uD7A3\\U0001F300-\\U0001F64F]")
 #: Words remembered per Python worker and generation; two generations are kept, so memory stays bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Text handled at once inside a batch, in characters.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Words up to this many bytes are merged together in numpy, longer ones one by one with a heap.
 SHORT_WORD = 64
 NO_RULE = np.int64(1) << 40
@@ -285,10 +287,14 @@ def bpe_round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
             if ids:
                 yield ids, texts
 
-        for batch in batches:
-            for ids, texts in chunks(batch):
-                packed = bpe.encode_batch(texts)
-                yield made(ids, packed, list(map(bpe.decode, packed)))
+        try:
+            for batch in batches:
+                for ids, texts in chunks(batch):
+                    packed = bpe.encode_batch(texts)
+                    yield made(ids, packed, list(map(bpe.decode, packed)))
+        finally:  # Spark keeps the process for other tasks, which have no use for these words
+            bpe.cache, bpe.old = {}, {}
+            trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)

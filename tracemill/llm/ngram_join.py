@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import cut, discard, small_side
-from tracemill.llm.textarrays import CHUNK_BYTES, chunks, mix64, slices, text_bytes, words
+from tracemill.llm.textarrays import CHUNK_BYTES, chunks, mix64, slices, text_bytes, trim, words
 
 SIZE = 5
 #: Frequent shingles: counted in windows of this many, kept if this often in a window and in all windows together.
@@ -128,6 +128,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield often()
                     used = 0
     yield often()
+    del held
+    trim()
 
 
 def _tokens(hashes: np.ndarray, owner: np.ndarray, ranges: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,6 +274,7 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, top: int, te
                     own = hashes[end - c : end]
                     data.append(own[: np.searchsorted(own, np.uint64(top), "right")].tobytes() if c else None)
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(data, pa.binary())], names=["rid", "hashes"])
+        trim()
 
     made = _of_classes(docs, needed, sets, "rid long, hashes binary").where("hashes IS NOT NULL")
     made = written = cut(made.dropDuplicates(["rid"]), "join-sets")
@@ -287,6 +290,7 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, top: int, te
                     both.sort()
                     keep.append(test(int((both[1:] == both[:-1]).sum()), len(both), na, nb))
                 yield part.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y")
     out = cut(joined.mapInArrow(check, "a long, b long, na long, nb long"), "join-compared")
@@ -331,6 +335,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rid, hashes, counts = _own(part)
                 sig, owner = signatures(hashes, counts, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(rid[owner])], names=["sig", "rid"])
+        trim()
 
     signed = _of_classes(rows, classes.where("n >= 4"), sign, "sig long, rid long")
     signed = signed.select(F.shiftright("sig", 2).alias("sig"), "rid", F.col("sig").bitwiseAND(F.lit(3)).cast("byte").alias("side"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -80,6 +82,16 @@ def slices(batch: pa.RecordBatch, columns: tuple[int, ...], limit: int) -> Itera
         at = end
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system: Spark keeps its Python processes for tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> Words:
     """All words (runs without ASCII white space) with a 64-bit hash of their bytes, A-Z folded if asked."""
     n_docs = len(offsets) - 1
