@@ -329,6 +329,18 @@ def test_subsets_of_two():
     assert np.bincount(own, minlength=5).tolist() == [3, 1, 0, 0, 3] and len(set(sig.tolist())) == len(sig)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 9, 300, 2000)]
+    sets += [np.unique(np.r_[sets[2][40:], rng.integers(0, 1 << 62, 20).astype(np.uint64)]), np.zeros(0, np.uint64)]
+    bits = ngram_join.parities(np.concatenate(sets), np.array([len(x) for x in sets])).view(np.uint64)
+    for i in range(len(sets)):
+        assert sum(int(x).bit_count() for x in bits[:, i]) <= len(sets[i])
+        for j in range(i):
+            flipped = sum(int(a ^ b).bit_count() for a, b in zip(bits[:, i], bits[:, j], strict=True))
+            assert flipped <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_narrow_bands_reach_all_linked_sizes():
     n = np.arange(4, 100_000)
     band = lambda x: np.searchsorted(ngram_join.NARROW, x, "right") - 1

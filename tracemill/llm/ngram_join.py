@@ -16,7 +16,8 @@ have; a pair of which one class isn't poor is found by tokens. No link is lost,
 Buckets of classes with one signature are never expanded into all pairs. First each class is compared with one member
 of its largest bucket, the one whose buckets are largest in sum. Then in each round the first members of a bucket are
 compared with the others that are not yet in their component; buckets whose members are all connected are done, and
-members that were compared with all others leave. Each compared pair is verified on whole shingle sets. Only a bucket
+members that were compared with all others leave. From the second round on, pairs whose parity bits already show too
+many differences are not made (no linked pair is among them); each pair made is verified on whole shingle sets. Only a bucket
 whose members are all unlike costs all its pairs, m (m - 1) / 2, as any exact answer on its signature does; frequent
 shingles, which make such buckets, sign nothing unless a class has little else.
 """
@@ -43,6 +44,11 @@ MAX_OFTEN = 500_000
 FIRST_HEADS, GROWTH = 2, 8
 #: Bands of sets from 2**level shingles up to which signatures are pairs of ranges, not single ones.
 SHORT_BAND = 3
+#: Longs of the parity bits of a class, eight of which tell most unlike sets of some hundred shingles apart.
+PARITIES = 8
+PARITY = tuple(f"p{c}" for c in range(PARITIES))
+#: Rows of a side with parity bits (some hundred bytes each) up to which it is broadcast.
+WIDE_ROWS = 100_000
 POOR = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -98,8 +104,25 @@ def _digests(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in out]
 
 
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 * PARITIES bits a set, as int64 columns: whether an odd number of its shingles falls into each bit's part of the domain.
+
+    A shingle that only one of two sets has flips one bit, so sets differ in at least as many shingles as bits.
+    """
+    out = np.zeros((PARITIES, len(counts)), np.uint64)
+    has = np.flatnonzero(counts)
+    if has.size:
+        starts = (np.cumsum(counts) - counts)[has]
+        bit = np.uint64(1) << (hashes & np.uint64(63))
+        column = (hashes >> np.uint64(6)) & np.uint64(PARITIES - 1)
+        for c in range(PARITIES):
+            out[c, has] = np.bitwise_xor.reduceat(np.where(column == c, bit, np.uint64(0)), starts)
+    return out.view(np.int64)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, cls, n) of documents, and rows (often, times) of shingles that are frequent in a window."""
+    """Rows (id, cls, n, parities) of documents, and rows (often, times) of shingles that are frequent in a window."""
+    names = ["id", "cls", "n", "often", "times", *PARITY]
     held, used = np.empty(WINDOW, np.uint64), 0
     seen: set[bytes] = set()
 
@@ -110,14 +133,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.searchsorted(value, first, "right") - np.searchsorted(value, first)
         k = len(first)
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(first.view(np.int64)), pa.array(times)], names=["id", "cls", "n", "often", "times"])
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(first.view(np.int64)), pa.array(times), *[pa.nulls(k, pa.int64())] * PARITIES], names=names)
 
     for batch in batches:
         for part in chunks(batch, 1):
             hashes, counts = shingle_sets(part.column(1))
             digests = _digests(hashes, counts)
             n = len(counts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["id", "cls", "n", "often", "times"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *map(pa.array, parities(hashes, counts))], names=names)
             new = np.array([not (d in seen or seen.add(d)) for d in digests], bool)
             fresh = hashes[np.repeat(new, counts)]
             while len(fresh):
@@ -260,6 +283,12 @@ def _sizes_allow(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+def _parities_allow() -> Column:
+    """Whether the sets of a row and its head differ in so few parity bits that they may differ in a quarter of the smaller one at most."""
+    flipped = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a{c}"))) for c in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"a{PARITY[0]}"))))
+    return 4 * flipped <= F.least(F.col("n"), F.col("na"))
+
+
 def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, top: int, test) -> DataFrame:
     """The pairs (a, b, na, nb) whose shingle hashes below ``top`` pass ``test(common, sizes, na, nb)``."""
     needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
@@ -319,14 +348,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Empty input gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = cut(rows.mapInArrow(_scan, "id long, cls binary, n long, often long, times long"), "join-scan")
-    base = scanned.where("cls IS NOT NULL").select("id", "cls", "n")
+    scanned = cut(rows.mapInArrow(_scan, "id long, cls binary, n long, often long, times long, " + ", ".join(f"{c} long" for c in PARITY)), "join-scan")
+    base = scanned.where("cls IS NOT NULL").select("id", "cls", "n", *PARITY)
     often = scanned.where("often IS NOT NULL").groupBy("often").agg(F.sum("times").alias("t")).where(F.col("t") >= OFTEN)
     # At most MAX_OFTEN numbers, whatever the input.
     often_hashes = np.sort(often.orderBy(F.desc("t"), "often").limit(MAX_OFTEN).select("often").toPandas()["often"].to_numpy(np.int64).view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(often_hashes)
 
-    classes = base.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = base.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in PARITY])
     classes = cut(classes.withColumn("rid", F.monotonically_increasing_id()), "join-classes")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,9 +374,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = cut(signed.where("m > 1 AND two").drop("two"), "join-buckets")
     # A text that many others are edits of has the signatures that most of them have: such ones are heads first.
     members = open_.groupBy("rid").agg(F.sum("m").alias("score"), F.max(F.struct(F.col("side") == 0, "m", "sig")).alias("largest"))
-    members = cut(classes.join(members, "rid").select("rid", "n", "score", "largest.sig"), "join-members")
+    members = cut(classes.join(members, "rid").select("rid", "n", "score", "largest.sig", *PARITY), "join-members")
     comps = members.select("rid", F.col("rid").alias("comp"))
-    tops = open_.select("sig", "rid").join(small_side(members.drop("sig")), "rid").groupBy("sig").agg(F.max(F.struct("score", "rid", "n")).alias("h"))
+    tops = open_.select("sig", "rid").join(small_side(members.select("rid", "n", "score")), "rid").groupBy("sig").agg(F.max(F.struct("score", "rid", "n")).alias("h"))
     tops = tops.select(F.col("sig").alias("hs"), "h.*").select("hs", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("score").alias("sa"))
     pairs = members.join(tops, (F.col("sig") == F.col("hs")) & (F.col("a") != F.col("rid")) & _sizes_allow(F.col("n"), F.col("na")))
     pairs = cut(pairs.select("a", F.col("rid").alias("b"), "na", F.col("n").alias("nb")), "join-pairs")
@@ -359,14 +388,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not edges.isEmpty():
                 comps = _label(edges, comps)
         info = cut(members.drop("sig").join(comps, "rid"), "join-info")
-        state = open_.select("sig", "rid", "side").join(small_side(info), "rid").withColumn("two", two_sided)
+        state = open_.select("sig", "rid", "side").join(small_side(info, WIDE_ROWS), "rid").withColumn("two", two_sided)
         state = state.withColumn("lo", F.min("comp").over(inside)).withColumn("hi", F.max("comp").over(inside)).where("lo < hi AND two")
         at = F.row_number().over(inside.orderBy(F.desc("score"), F.desc("rid")))
-        state = cut(state.select("sig", "rid", "side", "n", "comp", at.alias("at")), "join-state")
+        state = cut(state.select("sig", "rid", "side", "n", "comp", at.alias("at"), *PARITY), "join-state")
         if state.isEmpty():
             break
-        heads = state.where(F.col("at") <= first).select(F.col("sig").alias("hs"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ac"), F.col("at").alias("aa"), F.col("side").alias("as"))
-        unlike = (F.col("sig") == F.col("hs")) & (F.col("aa") < F.col("at")) & (F.col("ac") != F.col("comp")) & ((F.col("side") == 0) | (F.col("side") != F.col("as"))) & _sizes_allow(F.col("n"), F.col("na"))
+        heads = state.where(F.col("at") <= first).select(F.col("sig").alias("hs"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ac"), F.col("at").alias("aa"), F.col("side").alias("as"), *[F.col(c).alias(f"a{c}") for c in PARITY])
+        unlike = (F.col("sig") == F.col("hs")) & (F.col("aa") < F.col("at")) & (F.col("ac") != F.col("comp")) & ((F.col("side") == 0) | (F.col("side") != F.col("as"))) & _sizes_allow(F.col("n"), F.col("na")) & _parities_allow()
         pairs = state.join(heads, unlike).select("a", F.col("rid").alias("b"), "na", F.col("n").alias("nb")).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
         tested = tested.unionByName(pairs.select("a", "b"))
