@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.functions.text import strip
+
 MARK = "\\boxed{"
 
 
@@ -81,13 +83,40 @@ def first_flat_or_line(c: Column) -> Column:
     return F.trim(F.coalesce(box, F.substring_index(F.rtrim(c), "\n", -1)))
 
 
+#: Phrases before an answer without a box, the first that occurs counts; patterns are fixed values.
+SAID = (r"The final answer is:\s*([^\n]+)", r"Final answer is:\s*([^\n]+)", r"Final answer\s*[:：]\s*([^\n]+)")
+
+
 def with_fallbacks(c: Column) -> Column:
-    """Boxed answer, else 'final answer is', else the last number, else the last line, else NOT_FOUND."""
-    box = F.nullif(last_flat(c), F.lit(""))
-    said = F.nullif(F.trim(F.regexp_extract(c, r"(?i)final answer (?:is)?\s*:?\s*([^\n]+)", 1)), F.lit(""))
+    """The last flat box if there is one, even an empty one; else the last stated final answer, the last number, the last
+    line that is not blank, or NOT_FOUND, also for null."""
+    said = [strip(F.try_element_at(F.regexp_extract_all(c, F.lit("(?i)" + p), 1), F.lit(-1))) for p in SAID]
     number = F.try_element_at(F.regexp_extract_all(c, F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), 0), F.lit(-1))
-    line = F.nullif(F.trim(F.substring_index(F.rtrim(c), "\n", -1)), F.lit(""))
-    return F.coalesce(box, said, number, line, F.lit("NOT_FOUND"))
+    line = F.try_element_at(F.filter(F.transform(F.split(c, "\r\n|[\n\r]"), strip), lambda x: x != ""), F.lit(-1))
+    boxed_one = F.when(F.contains(c, F.lit(MARK)), last_flat(c))
+    return F.coalesce(boxed_one, *said, number, line, F.lit("NOT_FOUND"))
+
+
+def first_nested(c: Column) -> Column:
+    r"""Content of the first closed box with braces at most one level deep, ``\\boxed`` too; null without one."""
+    return strip(F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"), 1), F.lit(1)))
+
+
+def answer_span(c: Column) -> Column:
+    """0-based start and end of the last closed flat box, null without one."""
+    box = F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{[^{}]*\}"), 0), F.lit(-1))
+    start = F.length(c) - F.length(F.call_function("substring_index", c, box, F.lit(-1))) - F.length(box)
+    return F.when(box.isNotNull(), F.struct(start.cast("long").alias("start"), (start + F.length(box)).cast("long").alias("end")))
+
+
+def with_box(answer: Column) -> Column:
+    return F.concat(F.lit(MARK), answer, F.lit("}"))
+
+
+def target(trace: Column, answer: Column, default: str = "Work through the problem step by step.") -> Column:
+    """Training target: the trace (or a default for an empty one) between think tags, then the boxed answer."""
+    own = strip(F.coalesce(trace, F.lit("")))
+    return F.concat(F.lit("<think>\n"), F.when(own == "", default).otherwise(own), F.lit("\n</think>\n\n"), with_box(answer))
 
 
 def well_formed(c: Column) -> Column:

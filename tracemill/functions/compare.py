@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import norm_answer
+from tracemill.functions.text import norm_answer, plain_answer, strip
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def number(c: Column) -> Column:
     """The number that a string spells, else null; never what only one engine would read as one."""
-    t = F.trim(c)
+    t = strip(c)
     return F.when(F.rlike(t, F.lit(NUMBER)), t.try_cast("double"))
 
 
 def official(pred: Column, gold: Column, binary: bool = True) -> Column:
     """Binary strings strictly (unless ``binary`` is off), numbers within 1e-2 relative or 1e-5, else lower-case equal."""
-    p, g = F.trim(pred), F.trim(gold)
+    p, g = strip(pred), strip(gold)
     a, b = number(p), number(g)
     close = F.abs(a - b) <= F.greatest(0.01 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-5))
     out = F.when(a.isNotNull() & b.isNotNull(), close).otherwise(F.lower(p) == F.lower(g))
@@ -36,27 +36,45 @@ def lower_or_near(pred: Column, gold: Column) -> Column:
     """Lower-case equal, or within 1e-2 * max(1, |gold|)."""
     a, b = number(pred), number(gold)
     near = F.abs(a - b) <= 0.01 * F.greatest(F.lit(1.0), F.abs(b))
-    return F.coalesce((F.lower(F.trim(pred)) == F.lower(F.trim(gold))) | near, F.lit(False))
+    return F.coalesce((F.lower(strip(pred)) == F.lower(strip(gold))) | near, F.lit(False))
 
 
-def integer_value(c: Column) -> Column:
-    """Value of a base-2 (8 digits), prefixed hex or decimal integer, else null."""
-    t = F.lower(F.trim(c))
-    binary = F.when(F.rlike(t, F.lit("^[01]{8}$")), F.conv(t, 2, 10))
-    hexed = F.when(F.rlike(t, F.lit("^0x[0-9a-f]{1,15}$")), F.conv(F.substring(t, 3, 20), 16, 10))
-    decimal = F.when(F.rlike(t, F.lit("^[+-]?[0-9]{1,17}$")), t)
-    return F.coalesce(binary, hexed, decimal).try_cast("long")
+#: Digits and optional prefix of the bases in which an integer may be written (fixed values).
+BASES = ((2, "0b", "[01]"), (8, "0o", "[0-7]"), (10, "", "[0-9]"), (16, "0x", "[0-9a-f]"))
+
+
+def integer_values(c: Column) -> Column:
+    """The values that a string has as an integer of base 2, 8, 10 or 16 (up to 60 bits), as an array."""
+    t = _squeezed(c)
+    negative = F.rlike(t, F.lit("^-"))
+    found = []
+    for base, prefix, digits in BASES:
+        own = F.regexp_extract(t, f"^[+-]?(?:{prefix})?({digits}{{1,60}})$", 1)
+        value = F.when((own != "") & (F.length(F.ltrim(own, F.lit("0"))) <= int(60 / {2: 1, 8: 3, 10: 3.4, 16: 4}[base])), F.conv(own, base, 10).cast("long"))
+        found.append(F.when(negative, -value).otherwise(value))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def _squeezed(c: Column) -> Column:
+    """Stripped, lower case, without spaces and commas."""
+    return F.translate(F.lower(strip(c)), " ,", "")
 
 
 def by_type(pred: Column, gold: Column, kind: Column) -> Column:
-    """Numeric kinds by tolerance, bits across bases, ciphers without apostrophes, others normalised."""
-    a, b = number(pred), number(gold)
+    """Equal once squeezed; else bits across bases, ciphers without apostrophes, all other kinds by tolerance."""
+    p, g = _squeezed(pred), _squeezed(gold)
+    a, b = number(F.replace(pred, F.lit(","), F.lit(""))), number(F.replace(gold, F.lit(","), F.lit("")))
     numeric = F.abs(a - b) <= F.greatest(0.01 * F.greatest(F.lit(1.0), F.abs(b)), F.lit(1e-4))
-    whole = integer_value(pred) == integer_value(gold)
-    plain = norm_answer(pred) == norm_answer(gold)
-    cipher = norm_answer(F.replace(pred, F.lit("'"), F.lit(""))) == norm_answer(F.replace(gold, F.lit("'"), F.lit("")))
-    out = F.when(kind.isin("gravity", "unit"), plain | F.coalesce(numeric, F.lit(False))).when(kind == "bit", plain | F.coalesce(whole, F.lit(False)))
-    return F.coalesce(out.when(kind == "cipher", cipher).otherwise(plain), F.lit(False))
+    whole = F.arrays_overlap(integer_values(pred), integer_values(gold))
+    cipher = F.translate(p, "'", "") == F.translate(g, "'", "")
+    other = F.when(kind.isin("bit", "base"), whole).when(kind == "cipher", cipher).otherwise(numeric)
+    return F.coalesce((p == g) | F.coalesce(other, F.lit(False)), F.lit(False))
+
+
+def latex_equal(pred: Column, gold: Column) -> Column:
+    """Equal as plain answers, or first numbers within 0.015."""
+    first = lambda c: F.try_element_at(F.regexp_extract_all(c, F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), 0), F.lit(1)).cast("double")
+    return (plain_answer(pred) == plain_answer(gold)) | F.coalesce(F.abs(first(pred) - first(gold)) <= 0.015, F.lit(False))
 
 
 def loose(pred: Column, gold: Column) -> Column:

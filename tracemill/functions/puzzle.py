@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ROMAN = (("", "M", "MM", "MMM"), *(tuple(x.translate(str.maketrans("ivx", abc)) for x in ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")) for abc in ("CDM", "XLC", "IVX")))
+#: Roman digits of thousands, hundreds, tens and units (fixed values).
+_ROMAN = (
+    ("", "M", "MM", "MMM"),
+    ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"),
+    ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"),
+    ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"),
+)
 
 
 def to_roman(n: Column) -> Column:
@@ -59,3 +65,76 @@ def topk_mean(losses: Column, k: int) -> Column:
     """Mean of the k largest losses."""
     top = F.slice(F.sort_array(losses, asc=False), 1, k)
     return F.try_divide(F.aggregate(top, F.lit(0.0), lambda s, x: s + x), F.size(top).cast("double"))
+
+
+def rotate_right(x: Column, k: int) -> Column:
+    return rotate_left(x, 8 - k)
+
+
+def shift_left(x: Column, k: int) -> Column:
+    return F.shiftleft(x, k).bitwiseAND(F.lit(255))
+
+
+def in_base(n: Column, base: int) -> Column:
+    """Digits of a whole number in base 2, 8, 10 or 16, lower case."""
+    return F.lower(F.conv(n.cast("string"), 10, base))
+
+
+#: Boolean gates over 0 and 1 (fixed values): name, number of inputs, SQL over a, b, c, d.
+GATES = (
+    ("AND", 2, "a & b"), ("OR", 2, "a | b"), ("XOR", 2, "a ^ b"), ("NAND", 2, "1 - (a & b)"), ("NOR", 2, "1 - (a | b)"),
+    ("XNOR", 2, "1 - (a ^ b)"), ("A_AND_NOT_B", 2, "a & (1 - b)"), ("NOT_A_AND_B", 2, "(1 - a) & b"),
+    ("A_OR_NOT_B", 2, "a | (1 - b)"), ("NOT_A_OR_B", 2, "(1 - a) | b"),
+    ("MAJ", 3, "(a & b) | (a & c) | (b & c)"), ("CHO", 3, "(a & b) | ((1 - a) & c)"), ("PAR3", 3, "a ^ b ^ c"),
+    ("AO", 3, "(a & b) | c"), ("OA", 3, "(a | b) & c"), ("AX", 3, "(a & b) ^ c"), ("OX", 3, "(a | b) ^ c"), ("XA", 3, "(a ^ b) & c"),
+    ("XO", 3, "(a ^ b) | c"), ("NOT_MAJ", 3, "1 - ((a & b) | (a & c) | (b & c))"), ("NOT_PAR3", 3, "1 - (a ^ b ^ c)"),
+    ("PAR4", 4, "a ^ b ^ c ^ d"), ("NOT_PAR4", 4, "1 - (a ^ b ^ c ^ d)"), ("AOA", 4, "((a & b) | c) & d"),
+    ("OAO", 4, "((a | b) & c) | d"), ("AXA", 4, "((a & b) ^ c) & d"),
+)
+
+
+def gate_outputs() -> Column:
+    """All gates over the columns a, b, c, d: an array of (name, output)."""
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.expr(sql).cast("int").alias("output")) for name, _, sql in GATES])
+
+
+def next_term(terms: Column) -> Column:
+    """The next term of an array of five: arithmetic, geometric, each the sum of two before, or squares in a row; else null."""
+    t = [F.get(terms, F.lit(i)) for i in range(5)]
+    arithmetic = (t[1] - t[0] == t[2] - t[1]) & (t[2] - t[1] == t[3] - t[2]) & (t[3] - t[2] == t[4] - t[3])
+    geometric = (t[0] != 0) & (t[1] * t[1] == t[0] * t[2]) & (t[2] * t[2] == t[1] * t[3]) & (t[3] * t[3] == t[2] * t[4]) & (F.pmod(t[4] * t[1], F.when(t[0] != 0, t[0])) == 0)
+    summed = (t[2] == t[0] + t[1]) & (t[3] == t[1] + t[2]) & (t[4] == t[2] + t[3])
+    roots = [F.round(F.sqrt(F.when(x >= 0, x))).cast("long") for x in t]
+    squares = (roots[0] * roots[0] == t[0]) & (roots[4] * roots[4] == t[4])
+    for i in range(1, 5):
+        squares = squares & (roots[i] == roots[i - 1] + 1) & (roots[i] * roots[i] == t[i])
+    out = F.when(arithmetic, t[4] + t[1] - t[0]).when(geometric, F.expr("1") * F.try_divide(t[4] * t[1], t[0])).when(summed, t[3] + t[4])
+    return out.when(squares, (roots[4] + 1) * (roots[4] + 1)).cast("long")
+
+
+def format_reward(closed: Column, ordered: Column) -> Column:
+    """0.5 for a closed box, 0.3 more if the thought ends before it."""
+    return F.when(closed, 0.5).otherwise(0.0) + F.when(closed & ordered, 0.3).otherwise(0.0)
+
+
+def environment_reward(correct: Column, formatted: Column) -> Column:
+    return correct.cast("double") + 0.2 * formatted.cast("double")
+
+
+def mean_loss(losses: Column) -> Column:
+    return F.try_divide(F.aggregate(losses, F.lit(0.0), lambda s, x: s + x), F.size(losses).cast("double"))
+
+
+def minmax_loss(losses: Column) -> Column:
+    """The largest loss: minimising it minimises the worst token."""
+    return F.array_max(losses)
+
+
+def blended_loss(losses: Column, k: int, share: float) -> Column:
+    """``share`` of the mean and the rest of the mean of the k largest."""
+    return share * mean_loss(losses) + (1 - share) * topk_mean(losses, k)
+
+
+def attention_mask(ids: Column, to: int) -> Column:
+    """1 for every id, 0 for the padding up to a length."""
+    return pad_right(F.transform(ids, lambda _: F.lit(1)), to, 0)

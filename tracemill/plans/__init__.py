@@ -1,6 +1,6 @@
 """The library's registered queries."""
 
-from tracemill.plans import curation, grading, profiling
+from tracemill.plans import curation, grading, profiling, texts
 from tracemill.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "curation", "grading", "profiling"]
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "grading", "profiling", "texts"]

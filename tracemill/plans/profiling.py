@@ -137,16 +137,16 @@ def classify_first_match(t):
     return part.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
-ANSWERS = """CASE k WHEN 0 THEN lpad(bin((l_orderkey % 256)::BIGINT), 8, '0') WHEN 1 THEN (l_linenumber * 10 + 5)::VARCHAR WHEN 2 THEN 'XLVII' WHEN 3 THEN 'the cat' ELSE 'x=1' END"""
+ANSWERS = """CASE k WHEN 0 THEN lpad(bin((l_orderkey % 256)::BIGINT), 8, '0') WHEN 1 THEN (l_linenumber * 10 + 5)::VARCHAR WHEN 2 THEN 'XLVII' WHEN 3 THEN 'The cat' ELSE 'x=1' END"""
 
 
-@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(a, '[01]{{8}}') THEN 'binary' WHEN regexp_full_match(a, '-?[0-9]+(\\.[0-9]+)?') THEN 'numeric'
-WHEN regexp_full_match(a, '[IVXLCDM]+') THEN 'roman' WHEN regexp_full_match(a, '[a-z]+( [a-z]+)*') THEN 'english_phrase' ELSE 'other' END AS kind
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(a, '[01]+') THEN 'binary' WHEN regexp_full_match(a, '-?[0-9]+(\\.[0-9]+)?') THEN 'numeric'
+WHEN regexp_full_match(a, '[IVXLCDM]+') THEN 'roman' WHEN regexp_full_match(a, '[A-Za-z]+( [A-Za-z]+)*') THEN 'english_phrase' ELSE 'other' END AS kind
 FROM (SELECT {ANSWERS} AS a FROM (SELECT *, l_orderkey % 5 AS k FROM lineitem))) GROUP BY ALL""")
 def answer_type_counts(t):
     k = F.col("l_orderkey") % 5
     a = F.when(k == 0, F.lpad(F.bin(F.col("l_orderkey") % 256), 8, "0")).when(k == 1, (F.col("l_linenumber") * 10 + 5).cast("string"))
-    a = a.when(k == 2, "XLVII").when(k == 3, "the cat").otherwise("x=1")
+    a = a.when(k == 2, "XLVII").when(k == 3, "The cat").otherwise("x=1")
     return t("lineitem").groupBy(answer_type(a).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
