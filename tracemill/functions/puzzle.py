@@ -108,7 +108,7 @@ def next_term(terms: Column) -> Column:
     squares = (roots[0] * roots[0] == t[0]) & (roots[4] * roots[4] == t[4])
     for i in range(1, 5):
         squares = squares & (roots[i] == roots[i - 1] + 1) & (roots[i] * roots[i] == t[i])
-    out = F.when(arithmetic, t[4] + t[1] - t[0]).when(geometric, F.expr("1") * F.try_divide(t[4] * t[1], t[0])).when(summed, t[3] + t[4])
+    out = F.when(arithmetic, t[4] + t[1] - t[0]).when(geometric, F.try_divide(t[4] * t[1], t[0])).when(summed, t[3] + t[4])
     return out.when(squares, (roots[4] + 1) * (roots[4] + 1)).cast("long")
 
 

@@ -1 +1 @@
-"""See the modules of this package."""
+"""File scans and sinks."""
