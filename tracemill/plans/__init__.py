@@ -1,6 +1,6 @@
 """The library's registered queries."""
 
-from tracemill.plans import curation, filing, grading, profiling, solving, texts
+from tracemill.plans import curation, filing, grading, picking, profiling, solving, texts
 from tracemill.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "curation", "filing", "grading", "profiling", "solving", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "filing", "grading", "picking", "profiling", "solving", "texts"]

@@ -179,13 +179,14 @@ def entropy_metrics(t):
     return profile.entropy_metrics(counts, "event_type", "n")
 
 
-@query("""WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY l_suppkey) AS share, sum(n) OVER (PARTITION BY l_suppkey) AS volume FROM c)
-SELECT l_suppkey, l_returnflag, n, round(share, 6) AS share FROM s WHERE share > 0.51::DOUBLE AND volume > 20""")
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share, sum(n) OVER (PARTITION BY source) AS volume FROM c)
+SELECT source, lang, n, round(share, 6) AS share FROM s WHERE share > 0.6::DOUBLE AND volume > 20""")
 def distinctive_share(t):
-    counts = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    volume = F.sum("n").over(Window.partitionBy("l_suppkey"))
-    out = counts.withColumn("volume", volume).withColumn("share", F.col("n") / F.col("volume")).where("share > 0.51D AND volume > 20")
-    return out.select("l_suppkey", "l_returnflag", "n", F.round("share", 6).alias("share"))
+    """Languages that make up over 0.6 of a source of more than 20 documents."""
+    counts = t("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    volume = F.sum("n").over(Window.partitionBy("source"))
+    out = counts.withColumn("volume", volume).withColumn("share", F.col("n") / F.col("volume")).where("share > 0.6D AND volume > 20")
+    return out.select("source", "lang", "n", F.round("share", 6).alias("share"))
 
 
 @query("""SELECT doc_id, left(sha1(text || '||' || source), 12) AS sha_id, left(md5(text || '|||' || source), 16) AS md5_id FROM documents""")

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Stream sources, sinks and stateful operators."""
