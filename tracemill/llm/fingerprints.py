@@ -3,7 +3,7 @@
 The hash of a text is the sum of wide vectors hashed from its paragraphs, so order of paragraphs does not matter and
 a paragraph is inserted or deleted by adding or subtracting its vector. A paragraph's vector has two parts:
 
-* 64 counters modulo 2**31: how many of its three-word shingles have each bit of a 64-bit hash set. With the number of
+* 64 counters modulo 2**32: how many of its three-word shingles have each bit of a 64-bit hash set. With the number of
   shingles n, 2 * counter - n is a sum of random signs, whose angle to another text's estimates the share of shingles
   that both have;
 * four 64-bit hashes of the exact paragraph, summed modulo 2**32, which tell apart what the counters cannot.

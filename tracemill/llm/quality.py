@@ -155,7 +155,7 @@ def _document_mean(good: np.ndarray, lines: Lines) -> np.ndarray:
 
 
 def fit(lines: Lines, labels: np.ndarray) -> Model:
-    """Weights by Adam on the conditional likelihood of the line labels; lines count by the log of their length."""
+    """Weights by Adam on the conditional likelihood of the line labels; all lines count alike."""
     x = lines.features
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     f = _design(x, lines.doc, mean, scale)
