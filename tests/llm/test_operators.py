@@ -309,6 +309,38 @@ def test_secrets_later_and_short_runs(spark):
     assert {(r["doc_id"], r["char_pos"], r["secret"]) for r in made} == want and len(made) == len(want)
 
 
+def test_secrets_recall_and_precision(spark):
+    """Planted secrets of several makes against hard others, in prose whose words the scan has to learn; neither is made as the labelled findings are."""
+    rng = random.Random(31)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n, abc=alphabet: "".join(rng.choice(abc) for _ in range(n))
+    language = ["".join(rng.choice(("ba", "con", "der", "el", "fin", "gra", "ho", "in", "ker", "lo", "men", "no", "per", "qua", "ri", "so", "ten", "ur", "ver", "wil")) for _ in range(rng.randint(2, 4))) for _ in range(200)]
+    words = lambda n: [rng.choice(language) for _ in range(n)]
+    makes = [lambda: "AKIA" + token(16, alphabet[:26] + "234567"), lambda: "ghp_" + token(36), lambda: token(40, "0123456789abcdef"), lambda: token(32), lambda: "eyJ" + token(30) + "." + token(40), lambda: token(44).replace("a", "/").replace("b", "+")]
+    others = [lambda: "-".join(words(4)), lambda: "_".join(words(3)), lambda: "".join(words(5)), lambda: "/".join(["src", *words(3)]) + ".py", lambda: "".join(w.capitalize() for w in words(4)), lambda: "www." + words(1)[0] + ".example.com", lambda: token(16, "0123456789"), lambda: "x" * 24, lambda: "Zk9" * 8]
+    rows, planted = [], set()
+    for i in range(300):
+        text = words(12)
+        if i % 2:
+            secret = makes[i // 2 % len(makes)]()
+            text[5:8] = rng.choice([["token", "=", f'"{secret}"'], ["api_key", ":", secret], ["password", "is", secret], ["Authorization:", "Bearer", secret]])
+            planted.add((i, secret))
+        else:
+            text[5:6] = [others[i // 2 % len(others)]()]
+        rows.append((i, " ".join(text)))
+    made = {(r["doc_id"], r["secret"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = len(made & planted)
+    assert hit >= 0.9 * len(planted) and hit >= 0.9 * len(made), (hit, len(planted), len(made), sorted(made - planted)[:9], sorted(planted - made)[:9])
+
+
+def test_secrets_of_repeated_null_and_empty_rows(spark, empty):
+    key = hashlib.sha256(b"q").hexdigest()[:40]
+    rows = [(1, f'token = "{key}"', "a"), (1, f'token = "{key}"', "a"), (None, f'token = "{key}"', "b"), (2, "word " * 50_000 + f'token = "{key}"', "c")]
+    made = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, candidate string")).collect()
+    assert sorted((str(r["doc_id"]), r["secret"]) for r in made) == [("1", key), ("1", key), ("2", key), ("None", key)]
+    assert secrets.scan(empty).count() == 0
+
+
 def test_words_across_pieces():
     rng = random.Random(8)
     texts = [prose(30, rng), "x" * 900_000 + " tail", "", None, prose(120_000, rng), "a" * 300_000 + "  b\t" + prose(5, rng)]

@@ -2,19 +2,22 @@
 
 A first pass takes every long run of token characters in a word as a candidate, and shorter ones beside a keyword or an
 assignment. Features of a candidate (length, character transitions,
-coverage by a dictionary of letter groups, path shape, neighbouring words) go to a random forest that was trained from
+coverage by a dictionary of the corpus's own words and the likelihood of its letter pairs, path shape, neighbouring words) go to a random forest that was trained from
 labelled findings; what it rejects is removed.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WS_CLASS
+from tracemill.llm.common import WS_CLASS, cut, small_side
 
 #: A candidate has this many token characters in a row, or SHORT_LENGTH beside a keyword or an assignment.
 MIN_LENGTH = 16
@@ -26,16 +29,25 @@ CANDIDATE = rf"[A-Za-z0-9+/_\-.~]{{{MIN_LENGTH},}}"
 FINDINGS = 4_000
 TREES, DEPTH, SEED = 20, 8, 7
 
-#: Letter groups that words of the supported languages are made of: the dictionary of the coverage feature.
-LETTER_GROUPS = (
-    "tion ment ing eau eux elle lich keit heit ung sch ver ent que est the and for ble th sh st nt nd wh ou ea re er on an in es en at ed ti or ly ha he le la de "
-    "les des re oi ai au pa vi ch ier ge be te zu ein der die ck pf tz io cio que os as ar rr ll ue ie el al do co mi bo ga ci ja ez ta ra is it of to"
+#: A word of the dictionary stands in at least this many documents, or in BASE_WORDS.
+MIN_DOCUMENTS = 5
+#: Words that labelled findings are made of, the first of the dictionary by hash.
+SAMPLE_WORDS = 400
+#: The dictionary's share that needs no corpus.
+BASE_WORDS = (
+    "about after again also always and another because been before being between both could down each even every example find first for found from good great group hand have help here high home house "
+    "into just know large last letter light like line little long made make many more most mother move much must name need never next night number only open other over own page paper part people place "
+    "point read right river said same school second sentence should show small some something sound state still story study such take tell than that their them then there these thing think this three "
+    "through time together turn under until very want water well were what when where which while white with without word work world would write year your aber alle auch bitte dann dass der die diese "
+    "durch einheit freiheit haben heute immer jetzt kann mehr nicht noch oder schon sein sich sind viel wenn werden wieder zeit alors autre avec beaucoup cette chose comme dans elle encore entre faire "
+    "jour leur mais maison meme monde nous parce petit peut plus pour quand quelle sans sont tout tres vous algo antes casa como cuando desde donde ella ellos entonces esta este hacer hasta mismo mucho "
+    "mundo nada nosotros otro para pero porque puede siempre sobre solo tiempo todo una verdad vida"
 ).split()
 KEYWORDS = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer|client_?secret"
 #: What makes a short run a candidate: a keyword, or an assignment, in its word before it or in the two words before.
 BESIDE = rf"(?i){KEYWORDS}|[=:]"
 
-FEATURES = ("length", "transitions", "digits", "upper", "coverage", "distinct", "slashes", "dots", "keyword_near", "assigned", "quoted", "address")
+FEATURES = ("length", "transitions", "digits", "upper", "coverage", "pairs", "repeats", "distinct", "slashes", "dots", "keyword_near", "assigned", "quoted", "address")
 
 
 def _runs(word: Column) -> Column:
@@ -77,18 +89,54 @@ def _share(pattern: str, c: Column) -> Column:
     return F.regexp_count(c, F.lit(pattern)) / F.length(c)
 
 
-def with_features(found: DataFrame) -> DataFrame:
+class Language(NamedTuple):
+    words: DataFrame  # word, one row each
+    pairs: dict[str, float]  # log2 probability of the letter pairs a-z that words have
+    sample: list[str]
+
+
+def language(docs: DataFrame, text_col: str = "text") -> Language:
+    """The dictionary of all documents and the letter pairs of its words; at most 676 pairs and SAMPLE_WORDS words come to the driver."""
+    spark = docs.sparkSession
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    runs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}{3,24}"), 0))).alias("word"))
+    own = runs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("word")
+    base = spark.createDataFrame([(w,) for w in BASE_WORDS], "word string")
+    words = cut(own.unionByName(base).distinct(), "secret-words")
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
+    counts = pairs.where(F.rlike("pair", F.lit("^[a-z]{2}$"))).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in counts) + 676
+    sample = words.where(F.rlike("word", F.lit("^[a-z]{3,12}$"))).orderBy(F.md5("word"), "word").limit(SAMPLE_WORDS).collect()
+    return Language(words, {r["pair"]: math.log2((r["n"] + 1) / total) for r in counts} | {"": math.log2(1 / total)}, [r["word"] for r in sample])
+
+
+def _covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, covered): how many characters of each distinct candidate lie in words of the dictionary; none, no row."""
+    c = F.col("candidate")
+    distinct = found.select(F.unhex(F.md5(c)).alias("key"), "candidate").distinct()
+    pieces = F.concat(F.regexp_extract_all(c, F.lit(r"\p{L}+"), 0), F.filter(F.regexp_extract_all(c, F.lit("[A-Z]?[a-z]+|[A-Z]+"), 0), lambda x: ~F.array_contains(F.regexp_extract_all(c, F.lit(r"\p{L}+"), 0), x)))
+    parts = distinct.select("key", F.explode(F.filter(F.transform(pieces, F.lower), lambda x: F.length(x) >= 3)).alias("word"))
+    return parts.join(words, "word").groupBy("key").agg(F.sum(F.length("word")).alias("covered"))
+
+
+def with_features(found: DataFrame, known: Language) -> DataFrame:
     """The columns of FEATURES for candidates with prefix, suffix, before and before2."""
+    covered = small_side(cut(_covered(found, known.words), "secret-covered"))
+    found = found.join(covered.withColumnRenamed("key", "_key"), F.unhex(F.md5("candidate")) == F.col("_key"), "left").drop("_key")
     c, around = F.col("candidate"), F.lower(F.concat_ws(" ", "before2", "before", "prefix"))
     near = F.concat(F.expr("right(prefix, 1)"), c, F.expr("left(suffix, 1)"))
-    left_out = F.regexp_replace(F.lower(c), "|".join(sorted(LETTER_GROUPS, key=lambda x: (-len(x), x))), "")
     changes = F.regexp_count(c, F.lit("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]"))
+    table = F.create_map(*[F.lit(x) for pair in known.pairs.items() for x in pair])
+    both = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.lower(c), i, F.lit(2)))
+    scores = F.transform(F.filter(both, lambda x: F.rlike(x, F.lit("^[a-z]{2}$"))), lambda x: F.coalesce(F.try_element_at(table, x), F.lit(known.pairs[""])))
     columns = {
         "length": F.length(c).cast("double"),
         "transitions": changes / F.length(c),
         "digits": _share("[0-9]", c),
         "upper": _share("[A-Z]", c),
-        "coverage": 1 - F.length(left_out) / F.length(c),
+        "coverage": F.least(F.lit(1.0), F.coalesce("covered", F.lit(0)) / F.length(c)),
+        "pairs": F.coalesce(F.try_divide(F.aggregate(scores, F.lit(0.0), lambda s, x: s + x), F.size(scores).cast("double")), F.lit(-9.4)),
+        "repeats": 1 - F.size(F.array_distinct(both)) / F.greatest(F.lit(1), F.length(c) - 1),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
         "slashes": _share("[/]", c),
         "dots": _share("[.]", c),
@@ -100,7 +148,7 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(columns)
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+def labelled_findings(spark: SparkSession, words: list[str], n: int = FINDINGS) -> DataFrame:
     """``n`` labelled findings by rule, half of them secrets: candidate, word, before, before2, after, label.
 
     Secrets: hex, base-64 and prefixed keys in assignments, headers and plain prose. Others: long words, paths,
@@ -108,30 +156,32 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     words, numbers, dates and file names, each after a keyword or an assignment.
     """
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)
-    groups = F.array(*[F.lit(g) for g in LETTER_GROUPS])
-    letters = lambda salt, k: F.array_join(
-        F.transform(F.sequence(F.lit(1), k), lambda j: F.element_at(groups, (F.pmod(F.xxhash64(F.lit(salt), F.col("id"), j), F.lit(len(LETTER_GROUPS))) + 1).cast("int"))), ""
+    groups = F.array(*[F.lit(w) for w in words])
+    letters = lambda salt, k, by="": F.array_join(
+        F.transform(F.sequence(F.lit(1), k), lambda j: F.element_at(groups, (F.pmod(F.xxhash64(F.lit(salt), F.col("id"), j), F.lit(len(words))) + 1).cast("int"))), by
     )
     b64 = F.regexp_replace(F.base64(F.unhex(h("b"))), "[=\r\n]", "")
     size = (F.pmod(F.xxhash64("id"), F.lit(25)) + 20).cast("int")
     pick = lambda k: F.pmod(F.xxhash64(F.lit("p"), F.col("id")), F.lit(k))
     secret = F.when(pick(4) == 0, F.substring(h("a"), 1, 40)).when(pick(4) == 1, F.substring(b64, F.lit(1), size)).when(pick(4) == 2, F.upper(F.substring(h("c"), 1, 40)))
     secret = secret.otherwise(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("AKIA", "ghp_", "sk-", "xoxb-")]), (pick(16) / 4).cast("int") + 1), F.substring(b64, F.lit(1), size)))
-    many = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int") + 6
-    path = F.concat(F.lit("https://"), letters("h", F.lit(3)), F.lit(".example.com/"), letters("i", F.lit(3)), F.lit("/"), letters("j", F.lit(4)))
-    host = F.concat(letters("k", F.lit(2)), pick(10).cast("string"), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (pick(3) + 1).cast("int")))
-    mail = F.concat(letters("m", F.lit(2)), F.lit("."), pick(100).cast("string"), F.lit("@"), host)
-    other = F.when(pick(7) <= 2, letters("w", many)).when(pick(7) == 3, path).when(pick(7) == 4, mail).when(pick(7) == 5, host).otherwise(F.rpad(F.lit(""), size, F.substring(h("x"), 1, 1)))
+    many = F.pmod(F.xxhash64("id"), F.lit(4)).cast("int") + 3
+    path = F.concat(F.lit("https://"), letters("h", F.lit(1)), F.lit(".example.com/"), letters("i", F.lit(2), "-"), F.lit("/"), letters("j", F.lit(2), "/"))
+    host = F.concat(letters("k", F.lit(1)), pick(10).cast("string"), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (pick(3) + 1).cast("int")))
+    mail = F.concat(letters("m", F.lit(1)), F.lit("."), pick(100).cast("string"), F.lit("@"), host)
+    unit = F.repeat(F.substring(b64, F.lit(1), (pick(3) + 1).cast("int")), 12)
+    number = F.translate(F.substring(h("d"), F.lit(1), size), "abcdef", "012345")
+    other = F.when(pick(7) == 0, letters("w", many)).when(pick(7) == 1, letters("w", many, "-")).when(pick(7) == 2, F.when(pick(2) == 0, letters("w", many, "_")).otherwise(number)).when(pick(7) == 3, path).when(pick(7) == 4, mail).when(pick(7) == 5, host).otherwise(F.when(pick(3) == 0, F.rpad(F.lit(""), size, F.substring(h("x"), 1, 1))).otherwise(unit))
     key = F.element_at(F.array(*[F.lit(k) for k in ("token", "secret", "password", "api_key", "TOKEN", "Bearer", "access_key")]), (pick(7) + 1).cast("int"))
-    prose = letters("q", F.lit(2))
+    prose = letters("q", F.lit(1))
     rows = spark.range(0, n, 1, 4).withColumn("label", (F.col("id") % 2).cast("double"))
     in_prose = F.when(F.col("label") == 1, pick(5) == 4).otherwise(F.lit(True))
     few = pick(10).cast("int") + SHORT_LENGTH
     mixed = F.concat(F.substring(b64, F.lit(1), few - 1), F.substring(h("n"), 1, 1))
-    typed = F.concat(letters("s", F.lit(2)), F.element_at(F.array(*[F.lit(x) for x in ("", "-", "_")]), (pick(3) + 1).cast("int")), F.pmod(F.xxhash64(F.lit("t"), F.col("id")), F.lit(9000)) + 1000, F.when(pick(5) < 3, letters("u", F.lit(1))).otherwise(F.lit("")))
+    typed = F.concat(letters("s", F.lit(1)), F.element_at(F.array(*[F.lit(x) for x in ("", "-", "_")]), (pick(3) + 1).cast("int")), F.pmod(F.xxhash64(F.lit("t"), F.col("id")), F.lit(9000)) + 1000, F.when(pick(5) < 3, letters("u", F.lit(1))).otherwise(F.lit("")))
     day = F.concat(F.lit(2000) + pick(30), F.lit("-"), F.lpad((pick(12) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((pick(28) + 1).cast("string"), 2, "0"))
-    plain = F.when(pick(9) <= 4, letters("v", (pick(3) + 3).cast("int"))).when(pick(9) == 5, day).when(pick(9) == 6, F.repeat((pick(90) + 10).cast("string"), 3))
-    plain = plain.when(pick(9) == 7, F.concat(letters("y", F.lit(3)), F.lit("."), letters("z", F.lit(1)))).otherwise(F.initcap(letters("v", (pick(3) + 3).cast("int"))))
+    plain = F.when(pick(9) <= 4, letters("v", (pick(2) + 1).cast("int"))).when(pick(9) == 5, day).when(pick(9) == 6, F.repeat((pick(90) + 10).cast("string"), 3))
+    plain = plain.when(pick(9) == 7, F.concat(letters("y", F.lit(1)), F.lit("."), letters("z", F.lit(1)))).otherwise(F.initcap(letters("v", (pick(2) + 1).cast("int"))))
     short = F.pmod(F.xxhash64(F.lit("short"), F.col("id")), F.lit(4)) == 0
     secret, other = F.when(short, F.when(pick(2) == 0, mixed).otherwise(typed)).otherwise(secret), F.when(short, plain).otherwise(other)
     value = F.when(F.col("label") == 1, secret).otherwise(other)
@@ -146,9 +196,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return _exploded(rows)
 
 
-def train(findings: DataFrame, seed: int = SEED) -> RandomForestClassificationModel:
+def train(findings: DataFrame, known: Language, seed: int = SEED) -> RandomForestClassificationModel:
     """A random forest over FEATURES; ``findings`` has the columns of ``labelled_findings``."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(findings))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(findings, known))
     return RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(rows.select("label", "features"))
 
 
@@ -159,8 +209,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     the word. Runs under MIN_LENGTH count only beside a keyword or an assignment, those under SHORT_LENGTH never. Null and empty
     texts give none. Repeated rows give their findings each; null ids pass through; other columns are ignored.
     """
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
-    found = with_features(candidates(docs, id_col, text_col))
+    known = language(docs, text_col)
+    model = train(cut(labelled_findings(docs.sparkSession, known.sample), "secret-findings") if findings is None else findings, known)
+    found = with_features(cut(candidates(docs, id_col, text_col), "secret-candidates"), known)
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     scored = scored.withColumn("p", vector_to_array("probability")[1]).where("p >= 0.5")
     return scored.select(F.col("id").alias(id_col), "word_pos", "char_pos", F.col("candidate").alias("secret"), F.round("p", 6).alias("probability"))
