@@ -54,7 +54,7 @@ def capped_mix(t):
     return pick.mixed(sources, F.col("doc_id"), 300, seed=5).select("doc_id", "copy")
 
 
-@query("""WITH k AS (SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS h FROM documents WHERE text IS NOT NULL), f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h)
+@query(r"""WITH k AS (SELECT doc_id, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS h FROM documents WHERE text IS NOT NULL), f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h)
 SELECT k.doc_id, f.first FROM k JOIN f USING (h)""")
 def joined_on_normalised_text(t):
     docs = t("documents").where("text IS NOT NULL").select("doc_id", F.md5(text.norm(F.col("text"))).alias("h"))
