@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -156,3 +158,39 @@ def drop_reason(rules: Sequence[tuple[str, Column]]) -> Column:
         fails = F.coalesce(fails, F.lit(True))
         out = F.when(fails, name) if out is None else out.when(fails, name)
     return out
+
+
+#: Marker and symbols of the equation family (fixed values).
+ASKS_RESULT = "now, determine the result for:"
+SYMBOLS = "!@#$%^&*()_+-=[]{}|;:'\",.<>/?`~\\"
+
+
+def task_family(c: Column) -> Column:
+    """Task by words of the whole prompt; an equation is symbolic if a symbol stands after the last marker, as written."""
+    low = F.lower(c)
+
+    def has(*words: str) -> Column:
+        return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+
+    asked = F.substring_index(c, ASKS_RESULT, -1)
+    symbolic = F.translate(asked, SYMBOLS, "") != asked
+    equation = has("alice") & has("wonderland") & has("equations")
+    return (
+        F.when(equation & symbolic, "equation_symbolic")
+        .when(equation, "equation_numeric")
+        .when(has("roman"), "numeral")
+        .when(has("cipher", "encrypted", "decrypt"), "cipher")
+        .when(has("gravity", "planet", "mass"), "gravity")
+        .when(has("convert") & has("unit", "meter", "gram", "liter"), "unit_conversion")
+        .when(has("bit", "binary"), "bit_manipulation")
+        .otherwise("other")
+    )
+
+
+def matched(mode: str, answer: Column, boxed: Column) -> Column:
+    """Whether a row counts as right by its answer, its box, both or either; a null verdict counts as wrong."""
+    answer, boxed = F.coalesce(answer, F.lit(False)), F.coalesce(boxed, F.lit(False))
+    modes = {"both": answer & boxed, "answer": answer, "boxed": boxed, "either": answer | boxed}
+    if mode not in modes:
+        raise ValueError(f"mode must be one of {', '.join(modes)}, not {mode!r}")
+    return modes[mode]

@@ -138,3 +138,35 @@ def blended_loss(losses: Column, k: int, share: float) -> Column:
 def attention_mask(ids: Column, to: int) -> Column:
     """1 for every id, 0 for the padding up to a length."""
     return pad_right(F.transform(ids, lambda _: F.lit(1)), to, 0)
+
+
+def numeric_operations(a: Column, b: Column) -> Column:
+    """Name and result of every numeric operation on two whole numbers from 0 to 10**9; by 0, rest and quotient are null."""
+
+    def flip(x: Column) -> Column:
+        return F.reverse(x.cast("string")).cast("long")
+
+    def digit_sum(x: Column) -> Column:
+        return F.aggregate(F.split(x.cast("string"), ""), F.lit(0).cast("long"), lambda s, d: s + F.when(d == "", 0).otherwise(d).cast("long"))
+
+    def joined(x: Column, y: Column) -> Column:
+        return F.concat(x.cast("string"), y.cast("string")).cast("decimal(38,0)")
+
+    a, b = a.cast("long"), b.cast("long")
+    made = (
+        ("sub", a - b),
+        ("sub_abs", F.abs(a - b)),
+        ("add", a + b),
+        ("mul", a * b),
+        ("rev_a_mul_rev_b_then_rev", F.reverse((flip(a) * flip(b)).cast("string"))),
+        ("rev_a_sub_rev_b", flip(a) - flip(b)),
+        ("rev_a_add_rev_b", flip(a) + flip(b)),
+        ("digit_sum_sub", digit_sum(a) - digit_sum(b)),
+        ("digit_sum_add", digit_sum(a) + digit_sum(b)),
+        ("digit_sum_mul", digit_sum(a) * digit_sum(b)),
+        ("concat_ab", joined(a, b)),
+        ("concat_ba", joined(b, a)),
+        ("mod", F.when(b != 0, F.pmod(a, F.when(b != 0, b)))),
+        ("floor_div", F.when(b != 0, F.floor(a / F.when(b != 0, b)))),
+    )
+    return F.array(*[F.struct(F.lit(n).alias("op"), x.cast("decimal(38,0)").alias("result")) for n, x in made])
