@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import cut, small_side, strip_ws
 
 
+#: A group is hot above this many rows, or above a HOT_GROUPS-th of all rows if that is more; so at most HOT_GROUPS are.
+HOT_ROWS = 1_000
+HOT_GROUPS = 100_000
+
+
 def _keeper(n: str, i: str) -> Column:
     """Most code points first, then the smallest id; a null id comes last."""
     return F.max(F.struct(F.col(n), -F.col(i)))
@@ -32,23 +37,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = base.groupBy("_h").agg(F.count(F.lit(1)).alias("_size"), _keeper("_n", "_id").alias("_k")).where("_size > 1")
     groups = cut(groups.select("_h", "_size", F.col("_k._n").alias("_kn"), (-F.col("_k.col2")).alias("_kid")), "dedup-groups")
 
-    # Bytes: the texts of grouped rows only. Ids are fixed-width, so that side is broadcast if its count allows.
-    members = base.join(groups, "_h").select("_id", "_n", "_sha", "_h", (F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_n") == F.col("_kn"))).alias("_is_k"))
+    # Hot groups meet their rows by broadcast (fixed-width rows of a proven number), the rest by a shuffle without them.
+    hot_rows = max(HOT_ROWS, base.count() // HOT_GROUPS)
+    hot = F.broadcast(groups.where(F.col("_size") > hot_rows))
+    rest, cold = base.join(hot, "_h", "left_anti"), groups.where(F.col("_size") <= hot_rows)
+    is_k = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_n") == F.col("_kn"))
+    parts = F.ceil(F.col("_size") / F.lit(hot_rows)).cast("long").alias("_parts")
+    members = base.join(hot, "_h").unionByName(rest.join(cold, "_h")).select("_id", "_n", "_sha", "_h", is_k.alias("_is_k"), parts)
+
+    # Bytes: the texts of grouped rows only. Ids are fixed-width, so that side is broadcast if its count allows. A hot
+    # group is compared in parts, each with a copy of the keeper: copies number at most all rows by ``hot_rows``, twice.
     ids = small_side(cut(members.distinct(), "dedup-members"))
     texts = rows.alias("r").join(ids.alias("m"), F.expr("r._id <=> m._id AND coalesce(length(r._t), 0) = m._n"))
-    texts = texts.select("m._id", "m._n", "m._sha", "m._h", "m._is_k", strip_ws(F.col("r._t")).alias("_norm"))
+    texts = texts.select("m._id", "m._n", "m._sha", "m._h", "m._is_k", "m._parts", strip_ws(F.col("r._t")).alias("_norm"))
     texts = cut(texts.where(F.sha2("_norm", 256) == F.col("_sha")), "dedup-texts")
-    keepers = texts.where("_is_k").select(F.col("_h").alias("_kh"), F.col("_norm").alias("_knorm"))
-    bad = texts.join(keepers, F.col("_h") == F.col("_kh")).where("_norm <> _knorm").select("_h").distinct()
+    keepers = texts.where("_is_k").dropDuplicates(["_h", "_sha"])
+    keepers = keepers.select(F.col("_h").alias("_kh"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_kp"), F.col("_norm").alias("_knorm"))
+    part = F.pmod(F.xxhash64("_id", "_n"), F.col("_parts"))
+    bad = texts.join(keepers, (F.col("_h") == F.col("_kh")) & (part == F.col("_kp"))).where("_norm <> _knorm").select("_h").distinct()
     bad = cut(bad, "dedup-collisions")
 
-    joined = base.join(groups, "_h", "left")
+    joined = base.join(hot, "_h").unionByName(rest.join(cold, "_h", "left"))
     out = joined.select(
         "_h",
         F.col("_id").alias(id_col),
         F.coalesce("_kid", "_id").alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("_size").isNull() | (F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_n") == F.col("_kn")))).alias("kept"),
+        (F.col("_size").isNull() | is_k).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
     if bad.isEmpty():
@@ -61,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("_id").alias(id_col),
         F.col("_kid").alias("keep_id"),
         F.col("_size").alias("group_size"),
-        (F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_n") == F.col("_kn"))).alias("kept"),
+        is_k.alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
     return out.join(bad, "_h", "left_anti").drop("_h").unionByName(fixed)
