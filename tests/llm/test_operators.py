@@ -71,6 +71,23 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hex_digits", [32, 1])
+def test_exact_dedup_of_hot_groups_and_null_and_repeated_ids(spark, monkeypatch, hex_digits):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    data = [(i, "the same  text" if i % 3 else "the same text") for i in range(40)]
+    data += [(None, "the same text"), (None, None), (None, ""), (90, "twice"), (90, "twice"), (91, "twice"), (92, "thing"), (92, "other")]
+    made = exact_dedup.exact_dedup(spark.createDataFrame(data, "doc_id long, text string"), hex_digits=hex_digits)
+    want = []
+    for i, t in data:
+        group = [(j, u or "") for j, u in data if (u or "").replace(" ", "") == (t or "").replace(" ", "")]
+        best = min(group, key=lambda g: (-len(g[1]), g[0] is None, g[0] or 0))
+        sha = hashlib.sha256((t or "").replace(" ", "").encode()).hexdigest()
+        want.append((i, best[0], len(group), i == best[0] and len(t or "") == len(best[1]), sha))
+    key = lambda r: tuple((v is None, v) for v in r)
+    out = [tuple(r) for r in made.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    assert sorted(out, key=str) == sorted(want, key=str) and sorted(map(key, out), key=str) == sorted(map(key, want), key=str)
+
+
 def test_line_dedup(docs, rows, empty):
     made = line_dedup.drop_boilerplate(docs)
     assert set(docs.columns) < set(made.columns)
@@ -144,6 +161,28 @@ def test_fingerprints(spark, docs, rows, empty):
     assert v[0] == v[1] and [(x + y) % 2**32 for x, y in zip(v[2], v[3], strict=True)] == v[0]
 
 
+@pytest.mark.parametrize("width", [1, 4])
+def test_fingerprints_of_far_null_and_repeated_ids(spark, monkeypatch, width):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", width)
+    rng = random.Random(3)
+    ids = [*range(30), 5, 5, 2**62, 2**63 - 1, -(2**63), -(2**40), None, None, None]
+    data = [(i, prose(rng.randint(1, 30), rng)) for i in ids] + [(None, None)]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    want = []
+    for k, (i, t) in enumerate(order):
+        own, after = t or "", order[(k + 1) % len(order)][1] or ""
+        gone = len(own) // 4
+        want.append((str(i), len(own), hashlib.sha256((own[: len(own) - gone] + after[:gone]).encode()).hexdigest()))
+    made = fingerprints.edited_fingerprints(table).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in made) == sorted(want)
+    one = fingerprints.edited_fingerprints(spark.createDataFrame([(7, "a b c d")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["vec"] == r["next_vec"]) for r in one] == [(7, True)]
+    bucket, _ = fingerprints._buckets(table.where("doc_id IS NOT NULL"), "doc_id", "text")
+    sizes = [r["count"] for r in table.where("doc_id IS NOT NULL").groupBy(bucket).count().collect()]
+    assert max(sizes) <= 5  # 5 comes three times; far ids do not gather the others
+
+
 def brute_components(rows):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

@@ -21,6 +21,9 @@ EXACT = 4
 #: Rows of a bucket of neighbouring ids, and the most buckets there are; a bucket is sorted in one task.
 BUCKET_ROWS = 512
 MAX_BUCKETS = 100_000
+#: Slices of ids with about equal row counts, and the hexadecimal digits that rows without an id are dealt by.
+SLICES = 128
+NULL_DIGITS = 3
 PAIR = (1 << 32) | 1
 LOW = (1 << 32) - 1
 
@@ -70,12 +73,27 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
-def _buckets(docs: DataFrame, id_col: str) -> tuple[Column, DataFrame]:
-    """The bucket of an id, and (bucket, next bucket, next first id) of every bucket; the last leads to the first."""
-    ends = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = ends["lo"] or 0, ends["hi"] or 0, max(1, ends["n"])
-    width = float(max(1.0, (hi - lo + 1) / n * BUCKET_ROWS, (hi - lo + 1) / MAX_BUCKETS))
-    bucket = F.coalesce(F.floor((F.col(id_col).cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(MAX_BUCKETS + 1)).cast("long")
+def _buckets(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, DataFrame]:
+    """The bucket of a row, and (bucket, next bucket, next first id) of every bucket; the last leads to the first.
+
+    Ids are cut at their approximate quantiles into slices of about equal row counts and each slice evenly into
+    buckets, so a few far ids widen the buckets of their own slice only: whatever the ids, a bucket has about a
+    SLICES-th of the rows at most, but for rows that share one id. Null ids come last, by the leading digits of
+    their texts' hashes, which is the order that they have among themselves.
+    """
+    marks = [i / SLICES for i in range(1, SLICES)]
+    found = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count(id_col).alias("n"), F.percentile_approx(id_col, marks, 20 * SLICES).alias("cuts")).first()
+    lo, hi, n = found["lo"] or 0, found["hi"] or 0, found["n"]
+    cuts = sorted({c for c in found["cuts"] or [] if c > lo})
+    bounds = [float(x) for x in (lo, *cuts, hi)]
+    per = max(1, -(-min(n // BUCKET_ROWS, MAX_BUCKETS) // (len(cuts) + 1)))
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.lit(None).cast("array<bigint>")
+    at = F.size(F.filter(edges, lambda e: e <= F.col(id_col))) if cuts else F.lit(0)
+    begin, width = [F.get(F.array(*[F.lit(x) for x in xs]), at) for xs in (bounds[:-1], [max(1.0, y - x) for x, y in zip(bounds, bounds[1:])])]
+    inside = F.floor((F.col(id_col).cast("double") - begin) * F.lit(float(per)) / width)
+    last = (len(cuts) + 1) * per
+    nulls = F.lit(last) + F.conv(F.substring(F.md5(text_col), 1, NULL_DIGITS), 16, 10).cast("long")
+    bucket = F.when(F.col(id_col).isNull(), nulls).otherwise(at * F.lit(per) + F.least(F.lit(per - 1), F.greatest(F.lit(0), inside))).cast("long")
     firsts = docs.select(bucket.alias("_b"), F.col(id_col).alias("_id")).groupBy("_b").agg(F.min("_id").alias("_first"))
     order, all_rows = Window.orderBy("_b"), Window.partitionBy()
     firsts = firsts.withColumn("_lowest", F.min("_b").over(all_rows))
@@ -94,10 +112,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     single row is its own neighbour; an empty input gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    bucket, firsts = _buckets(rows, "_id")
+    bucket, firsts = _buckets(rows, "_id", "_text")
     order = Window.partitionBy("_b").orderBy(F.col("_id").asc_nulls_last(), F.md5("_text"))
     heads = small_side(firsts.select(F.col("_b").alias("_hb"), "_first"))
-    heads = rows.join(heads, F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_hb").agg(F.min(F.struct(F.md5("_text"), F.col("_text"))).alias("_t"))
+    heads = rows.withColumn("_b", bucket).join(heads, (F.col("_b") == F.col("_hb")) & F.col("_id").eqNullSafe(F.col("_first"))).groupBy("_hb").agg(F.min(F.struct(F.md5("_text"), F.col("_text"))).alias("_t"))
     heads = heads.join(firsts.select("_b", "_nb"), F.col("_hb") == F.col("_nb")).select(F.col("_b").alias("_lb"), F.col("_nb"), F.col("_t._text").alias("_head"))
     heads = cut(heads, "fp-heads")
 
