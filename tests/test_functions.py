@@ -69,6 +69,19 @@ def test_rank_ties_do_not_depend_on_partitioning(spark):
     assert rank.upsample(rows, ["g"], [F.col("i")], 50).count() == 150
 
 
+def test_ranks_by_parts_equal_ranks_by_window(spark, monkeypatch):
+    rows = spark.createDataFrame([(None if i % 3 == 2 else i % 3, i // 7, i) for i in range(200)], "g int, v int, i int")
+    key = rank.seeded(F.col("v").cast("string"))
+    plain, parts = (sorted(map(str, rank.placed(rows, ["g"], o, k).select("g", "i", "_pos", "_size").collect())) for o, k in (([key, F.col("i")], None), ([F.col("i")], key)))
+    assert plain == parts and len(plain) == 200
+    turned = [sorted(map(str, rank.upsample(rows, ["g"], [F.col("i")], n, key).groupBy("g").agg(F.count("i"), F.max("variation")).collect())) for n in (50, 150)]
+    assert turned == [sorted(f"Row(g={g}, count(i)={n}, max(variation)={v})" for g in (None, 0, 1)) for n, v in ((50, 0), (150, 2))]
+    whole = sorted(map(str, rank.cap_per_group(rows, ["g"], [F.col("v"), F.col("i")], 20).collect()))
+    monkeypatch.setattr(rank, "GROUP_LIMIT", 10)
+    assert sorted(map(str, rank.cap_per_group(rows, ["g"], [F.col("v"), F.col("i")], 20).collect())) == whole and len(whole) == 60
+    assert rank.placed(rows.limit(0), ["g"], [F.col("i")], key).count() == 0
+
+
 def test_mode_abstains_on_ties(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (2, "b")], "k int, v string")
     assert sorted(map(tuple, profile.mode_or_abstain(rows, "k", "v").collect())) == [(1, None, 1), (2, "a", 2)]

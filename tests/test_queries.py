@@ -43,7 +43,7 @@ def test_versions_share_the_whole_normalised_text(spark, tmp_path):
     head = "same words at the start " * 5
     rows = [(0, head + "one"), (1, head + "two"), (2, "A  Text\n"), (3, "a text"), (4, None), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert [r["n"] for r in plans.QUERIES["having_two_versions_norm"](spark, str(tmp_path)).collect()] == [2]
+    assert [r["n"] for r in plans.QUERIES["having_two_versions"](spark, str(tmp_path)).collect()] == [2]
 
 
 def test_tfidf_takes_accents_and_pairs(spark, tmp_path):

@@ -20,9 +20,7 @@ def seeded(seed: int = 7):
 SELECT k, min(doc_id) AS first_id, max(doc_id) AS last_id FROM d GROUP BY ALL""")
 def dedup_keep_first_last(t):
     d = t("documents").select("doc_id", F.md5(text.norm(F.col("text"))).alias("k"))
-    first = rank.keep_first(d, ["k"], [F.col("doc_id")]).select("k", F.col("doc_id").alias("first_id"))
-    last = rank.keep_first(d, ["k"], [F.desc("doc_id")]).select("k", F.col("doc_id").alias("last_id"))
-    return first.join(last, "k")
+    return rank.first_last(d, ["k"], "doc_id", "first_id", "last_id")
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 5")
@@ -49,21 +47,21 @@ def even_depth_fill(t):
 @query(f"""SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {SEEDED}, doc_id) AS turn FROM documents""")
 def interleave_round_robin(t):
     """Position of a row in its label; ordering by (turn, label) interleaves the labels."""
-    out = rank.numbered(t("documents").select("doc_id", "lang"), ["lang"], [seeded(), F.col("doc_id")], "turn")
-    return out.withColumn("turn", F.col("turn").cast("long"))
+    out = rank.placed(t("documents").select("doc_id", "lang"), ["lang"], [F.col("doc_id")], seeded())
+    return out.select("doc_id", "lang", (F.col("_pos") + 1).alias("turn"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n FROM documents), v AS (SELECT *, unnest(range(0, ceil(700 / n)::BIGINT)) AS variation FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY variation, {SEEDED}, doc_id) AS rn FROM v) SELECT doc_id, lang, variation FROM r WHERE rn <= 700""")
 def upsample_to_target(t):
-    out = rank.upsample(t("documents").select("doc_id", "lang"), ["lang"], [seeded(), F.col("doc_id")], 700)
+    out = rank.upsample(t("documents").select("doc_id", "lang"), ["lang"], [F.col("doc_id")], 700, seeded())
     return out.withColumn("variation", F.col("variation").cast("long"))
 
 
 @query(f"""WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY lang, {SEEDED}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
 SELECT doc_id, lang, pos % ceil(n / 32)::BIGINT AS batch FROM a""")
 def stratified_batches(t):
-    return rank.stratified_batches(t("documents").select("doc_id", "lang"), "lang", [seeded(), F.col("doc_id")], 32)
+    return rank.stratified_batches(t("documents").select("doc_id", "lang"), "lang", [F.col("doc_id")], 32, seeded())
 
 
 @query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {SEEDED}, doc_id) AS rn FROM documents)

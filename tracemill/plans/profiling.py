@@ -19,8 +19,8 @@ SELECT lang, coalesce(quality, -1) AS quality, count(*) AS n, round(avg(n_chars)
 FROM c LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
 def balanced_corpus_report(t):
     """Distinct texts, at most 50 a language by length, counted by language and label."""
-    docs = t("documents").select("doc_id", "lang", "n_chars", text.norm(F.col("text")).alias("k"))
-    docs = rank.keep_first(docs, ["k"], [F.col("doc_id")])
+    docs = t("documents").select("doc_id", "lang", "n_chars", F.sha2(text.norm(F.col("text")), 256).alias("k"))
+    docs = docs.groupBy("k").agg(F.min(F.struct("doc_id", "lang", "n_chars")).alias("d")).select("d.*")
     docs = rank.cap_per_group(docs, ["lang"], [F.col("n_chars"), F.col("doc_id")], 50)
     joined = docs.join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     out = joined.groupBy("lang", F.coalesce("quality", F.lit(-1)).alias("quality"))
@@ -101,13 +101,14 @@ def distinct_norm_text(t):
 
 
 @query("SELECT left(text, 80) AS head, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) >= 2")
-def having_two_versions(t):
+def shared_prefixes(t):
+    """First 80 characters that two rows or more share: the prefix projection, not a count of equal texts."""
     return t("documents").groupBy(F.substring("text", 1, 80).alias("head")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 @query("""SELECT md5(lower(regexp_replace(text, '[\\s\\p{Z}]+', '', 'g'))) AS k, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
-def having_two_versions_norm(t):
-    """Whole normalised texts with two rows or more; ``having_two_versions`` groups by the first 80 characters only."""
+def having_two_versions(t):
+    """Whole normalised texts with two rows or more."""
     docs = t("documents").where("text IS NOT NULL")
     return docs.groupBy(F.md5(text.norm(F.col("text"))).alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
