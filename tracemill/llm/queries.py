@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import exact_dedup, fingerprints, html_extract, line_dedup, mixing, ngram_join, quality, secrets, sharding
+from tracemill.llm import exact_dedup, fingerprints, html_extract, line_dedup, mixing, negatives, ngram_join, pii, quality, secrets, sharding, spelling
 from tracemill.llm.bpe import bpe_round_trip
 
 
@@ -76,6 +76,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE]
+    return made.select("doc_id", *counts, F.sha2(pii.written(F.col("spans"), pii.BASE), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html": op2_html,
@@ -87,10 +101,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
+    "op12_pii": op12_pii,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_spelling": spelling.ORACLE_SQL,
+    "op12_pii": pii.ORACLE_SQL,
+    "op13_negatives": negatives.ORACLE_SQL,
 }
