@@ -89,7 +89,7 @@ GATES = (
     ("AO", 3, "(a & b) | c"), ("OA", 3, "(a | b) & c"), ("AX", 3, "(a & b) ^ c"), ("OX", 3, "(a | b) ^ c"), ("XA", 3, "(a ^ b) & c"),
     ("XO", 3, "(a ^ b) | c"), ("NOT_MAJ", 3, "1 - ((a & b) | (a & c) | (b & c))"), ("NOT_PAR3", 3, "1 - (a ^ b ^ c)"),
     ("PAR4", 4, "a ^ b ^ c ^ d"), ("NOT_PAR4", 4, "1 - (a ^ b ^ c ^ d)"), ("AOA", 4, "((a & b) | c) & d"),
-    ("OAO", 4, "((a | b) & c) | d"), ("AXA", 4, "((a & b) ^ c) & d"),
+    ("OAO", 4, "((a | b) & c) | d"), ("AXA", 4, "((a & b) ^ c) & d"), ("XXXX", 4, "a ^ b ^ c ^ d"),
 )
 
 

@@ -149,6 +149,7 @@ RARE = (
     ("digit absolute diff", "concat(abs(x1 - y1), abs(x2 - y2))"), ("digit add mod10", "concat((x1 + y1) % 10, (x2 + y2) % 10)"), ("digit sub mod10", "concat(pmod(x1 - y1, 10), pmod(x2 - y2, 10))"),
     ("cross multiply", "x1 * y1 + x2 * y2"), ("cross multiply rev", "x1 * y2 + x2 * y1"), ("digit multiply", "concat(x1 * y1, x2 * y2)"), ("digit multiply rev", "concat(x1 * y2, x2 * y1)"),
     ("digit sum diff", "(x1 + x2) - (y1 + y2)"), ("digit sum sum", "(x1 + x2) + (y1 + y2)"), ("digit product diff", "x1 * x2 - y1 * y2"), ("digit product sum", "x1 * x2 + y1 * y2"), ("determinant", "x1 * y2 - x2 * y1"),
+    ("abs determinant", "abs(x1 * y2 - x2 * y1)"),
 )
 
 

@@ -123,7 +123,7 @@ struct_pack(name := 'max mod min', r := (greatest(a, b) % least(a, b))::VARCHAR)
 struct_pack(name := 'digit absolute diff', r := abs(a // 10 - b // 10)::VARCHAR || abs(a % 10 - b % 10)), struct_pack(name := 'digit add mod10', r := ((a // 10 + b // 10) % 10)::VARCHAR || (a % 10 + b % 10) % 10), struct_pack(name := 'digit sub mod10', r := ((a // 10 - b // 10 + 10) % 10)::VARCHAR || (a % 10 - b % 10 + 10) % 10),
 struct_pack(name := 'cross multiply', r := ((a // 10) * (b // 10) + (a % 10) * (b % 10))::VARCHAR), struct_pack(name := 'cross multiply rev', r := ((a // 10) * (b % 10) + (a % 10) * (b // 10))::VARCHAR), struct_pack(name := 'digit multiply', r := ((a // 10) * (b // 10))::VARCHAR || (a % 10) * (b % 10)),
 struct_pack(name := 'digit multiply rev', r := ((a // 10) * (b % 10))::VARCHAR || (a % 10) * (b // 10)), struct_pack(name := 'digit sum diff', r := (a // 10 + a % 10 - b // 10 - b % 10)::VARCHAR), struct_pack(name := 'digit sum sum', r := (a // 10 + a % 10 + b // 10 + b % 10)::VARCHAR),
-struct_pack(name := 'digit product diff', r := ((a // 10) * (a % 10) - (b // 10) * (b % 10))::VARCHAR), struct_pack(name := 'digit product sum', r := ((a // 10) * (a % 10) + (b // 10) * (b % 10))::VARCHAR), struct_pack(name := 'determinant', r := ((a // 10) * (b % 10) - (a % 10) * (b // 10))::VARCHAR)]"""
+struct_pack(name := 'digit product diff', r := ((a // 10) * (a % 10) - (b // 10) * (b % 10))::VARCHAR), struct_pack(name := 'digit product sum', r := ((a // 10) * (a % 10) + (b // 10) * (b % 10))::VARCHAR), struct_pack(name := 'determinant', r := ((a // 10) * (b % 10) - (a % 10) * (b // 10))::VARCHAR), struct_pack(name := 'abs determinant', r := abs((a // 10) * (b % 10) - (a % 10) * (b // 10))::VARCHAR)]"""
 EXAMPLES = """SELECT l_orderkey AS k, l_linenumber AS i, (l_partkey % 90 + 10)::BIGINT AS a, (l_suppkey * 7 % 90 + 10)::BIGINT AS b FROM lineitem"""
 
 
