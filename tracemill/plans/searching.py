@@ -194,7 +194,7 @@ SELECT u.k AS c_custkey, CASE WHEN NOT any_unknown THEN q1 || ' ' || q2 WHEN ans
 CASE WHEN any_unknown THEN answers ELSE 1 END AS answers FROM u LEFT JOIN n USING (k)""")
 def solve_ciphers_by_words(t):
     """One or two words of the corpus's vocabulary decrypt two others; letters that they leave unknown come from the vocabulary."""
-    found = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).where(F.rlike("word", F.lit("^[a-z]{5,8}$"))).distinct()
+    found = t("documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word")).where(F.rlike("word", F.lit("^[a-z]{5,8}$")))
     vocabulary = cut(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CIPHER_DOCUMENTS).select("word"), "cipher-vocabulary")
     numbered = cut(_numbered(vocabulary), "cipher-numbered")
     n = numbered.count()
