@@ -71,6 +71,8 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((host, mark, None, None))
             for r, ref in enumerate(refs):
                 page = known(host, ref)
+                if own.texts.isdisjoint(page.texts):
+                    continue  # no text can stand at its matched place
                 rows += [(host, mark, r, y) for x, y in aligned(own, page).items() if own.text[x] == page.text[y]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -83,8 +85,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, gone = parse(html.as_py() or ""), set()
             nodes = {(t["ref"], t["node"]) for t in template.as_py() or []}
             for r, ref in enumerate(refs.as_py() or []):
-                if any(r == ref_of for ref_of, _ in nodes):
-                    page = known(host.as_py(), ref)
+                if any(r == ref_of for ref_of, _ in nodes) and not own.texts.isdisjoint((page := known(host.as_py(), ref)).texts):
                     gone |= {x for x, y in aligned(own, page).items() if (r, y) in nodes and own.text[x] == page.text[y]}
             texts.append(main_text(own, gone))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(texts, pa.string())], names=["id", "url", "text"])

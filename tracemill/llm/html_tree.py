@@ -98,8 +98,13 @@ class Page:
         return [k for k, t in enumerate(self.text) if t is not None]
 
     def measure(self) -> None:
-        """``sig``: a code of the whole subtree; ``size``: its nodes; ``weight``: its match with itself, a leaf counting two."""
+        """``sig``: a code of the whole subtree; ``size``: its nodes; ``weight``: its match with itself, a leaf counting two.
+
+        ``texts`` are the texts of all leaves; ``plain`` tells nodes that hold one text and nothing else.
+        """
         n = len(self.label)
+        self.texts = {t for t in self.text if t is not None}
+        self.plain = [len(kids) == 1 and self.text[kids[0]] is not None for kids in self.kids]
         self.sig, self.size, self.weight = [0] * n, [1] * n, [1] * n
         for k in range(n - 1, -1, -1):
             if self.text[k] is not None:
@@ -263,6 +268,8 @@ def aligned(a: Page, b: Page) -> dict[int, int]:
             return 0
         if a.text[x] is not None:
             return 1
+        if a.plain[x] and b.plain[y]:
+            return 2
         if (x, y) not in memo:
             kx, ky = a.kids[x], b.kids[y]
             if depth >= MATCH_DEPTH or len(kx) * len(ky) > budget[0]:
