@@ -225,14 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every input column and ``score`` double of the whole text, 0 to 1.
 
-    A column of the input named score is replaced. Null, empty and blank texts have no line and get the curve's middle value. Without labels of both classes every
+    A column of the input named score, in any case, is replaced. Null, empty and blank texts have no line and get the curve's middle value. Without labels of both classes every
     score is 0.5. Rows with a null or repeated id are scored each; scores depend on the text alone.
     """
     model = train(docs, labels, id_col, text_col)
+    kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
+    docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
-    kept = [f for f in docs.schema.fields if f.name != "score"]
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     names = [*docs.columns, "score"]
     text = names.index(text_col)
 
