@@ -313,6 +313,27 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_documents(d, lab.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_repeated_null_and_clashing_rows(spark):
+    rng = random.Random(14)
+    good = [prose(30, rng).capitalize() + ".\n" + prose(12, rng).capitalize() + "." for _ in range(60)]
+    bad = ["$$$ " + " ### ".join(prose(3, rng).upper() for _ in range(9)) + " %%%\n!!! " + prose(2, rng) for _ in range(60)]
+    rows = [(i, t, "s") for i, t in enumerate(x for pair in zip(good, bad, strict=True) for x in pair)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, *_ in rows] + [(None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([*rows, rows[0], rows[0], (None, good[0], "s"), (None, None, None), (500, "", "s")], "doc_id long, text string, Score string").repartition(3)
+    made = quality.score_documents(docs, labels)
+    assert made.columns == ["doc_id", "text", "score"]
+    got = made.withColumn("held", quality.held_out(F.col("doc_id"))).collect()
+    held = [r for r in got if r["held"] and r["doc_id"] < 120]
+    assert len(held) > 20 and all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in held)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r["text"] or "", set()).add(r["score"])
+    assert len(got) == 125 and all(len(v) == 1 for v in by_text.values())
+    assert quality.score_documents(docs.limit(0), labels).count() == 0
+    alone = quality.score_documents(docs, labels.limit(0))
+    assert alone.columns == made.columns and {r["score"] for r in alone.collect()} == {0.5}
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     emit, trans, count = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([4, 0, 3])
@@ -369,6 +390,19 @@ def test_secrets_recall_and_precision(spark):
     assert hit >= 0.9 * len(planted) and hit >= 0.9 * len(made), (hit, len(planted), len(made), sorted(made - planted)[:9], sorted(planted - made)[:9])
 
 
+def test_secrets_are_whole_and_fingerprints_are_none(spark):
+    h = lambda x, f=hashlib.sha256: f(x.encode()).hexdigest()
+    uuid = lambda x: "-".join((h(x)[:8], h(x)[8:12], h(x)[12:16], h(x)[16:20], h(x)[20:32]))
+    public = [f"merged in commit {h('a', hashlib.sha1)} last week", f"the image sha256:{h('b')} was pulled", f"ETag: \"{h('c', hashlib.md5)}\" came back", f"checksum {h('d')} of the file", f"see {uuid('e')} for more"]
+    public += [f"request id {uuid('f')} failed", f"md5 {h('g', hashlib.md5)} matches", f"revision {h('h', hashlib.sha1)}.", f"user_id={uuid('i')}", f"digest: {h('j')}", f"its fingerprint is {h('k', hashlib.sha1)} now"]
+    whole = {"password=Tr0ub4dor&3!x9Q": "Tr0ub4dor&3!x9Q", 'api_key = "p@ss#W0rd$ecret%99"': "p@ss#W0rd$ecret%99", "secret: 'a1$B2%c3^D4'": "a1$B2%c3^D4", f"https://host.example.com/?token={h('m')[:40]}&page=2": h("m")[:40]}
+    rows = list(enumerate([*public, *whole]))
+    made = [(r["doc_id"], r["secret"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    wrong = [m for m in made if m[0] < len(public)]
+    assert len(wrong) <= 1, wrong
+    assert {m for m in made if m[0] >= len(public)} == {(len(public) + i, v) for i, v in enumerate(whole.values())}
+
+
 def test_secrets_of_repeated_null_and_empty_rows(spark, empty):
     key = hashlib.sha256(b"q").hexdigest()[:40]
     rows = [(1, f'token = "{key}"', "a"), (1, f'token = "{key}"', "a"), (None, f'token = "{key}"', "b"), (2, "word " * 50_000 + f'token = "{key}"', "c")]

@@ -44,15 +44,25 @@ BASE_WORDS = (
     "mundo nada nosotros otro para pero porque puede siempre sobre solo tiempo todo una verdad vida"
 ).split()
 KEYWORDS = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer|client_?secret"
+#: Words beside fingerprints of public things: revisions, checksums and ids are no secrets.
+PUBLIC = "commit|revision|rev|sha-?(?:1|256|512)?|md5|etag|checksum|digest|hash|integrity|fingerprint|blob|uuid|guid|[a-z_]*id"
+#: A value assigned to a keyword is taken whole, up to a quote, a separator or a bracket; in an address up to the next parameter.
+VALUE = r"[^\s\"'`,;<>(){}\[\]]"
+ASSIGNED = rf"(?i)(?<=(?:{KEYWORDS})[\"'`]{{0,1}}[=:]{{1,2}}[\"'`]{{0,1}}){VALUE}{{{SHORT_LENGTH},}}"
+LED = rf"(?i)(?:{KEYWORDS})[\"'`]?\s*[=:]{{1,2}}$"
 #: What makes a short run a candidate: a keyword, or an assignment, in its word before it or in the two words before.
 BESIDE = rf"(?i){KEYWORDS}|[=:]"
 
-FEATURES = ("length", "transitions", "digits", "upper", "coverage", "pairs", "repeats", "distinct", "slashes", "dots", "keyword_near", "assigned", "quoted", "address")
+FEATURES = ("length", "transitions", "digits", "upper", "coverage", "pairs", "repeats", "distinct", "slashes", "dots", "keyword_near", "assigned", "quoted", "address", "symbols", "public_near", "fingerprint")
 
 
-def _runs(word: Column) -> Column:
-    """The runs of a word in order: text and start from 0. A run is not found before its place, as shorter ones do not hold it."""
-    found = F.regexp_extract_all(word, F.lit(RUN), 0)
+def _runs(word: Column, led: Column) -> Column:
+    """The runs of a word in order: text and start from 0. A run is not found before its place, as shorter ones do not hold it.
+
+    Values assigned to a keyword come whole, in the word itself or, where the words before end in such an assignment (``led``), from its start.
+    """
+    inside = F.when(F.contains(word, F.lit("://")), F.regexp_extract_all(word, F.lit(f"(?:{ASSIGNED.replace(VALUE, VALUE[:-1] + '&]')})|{RUN}"), 0)).otherwise(F.regexp_extract_all(word, F.lit(f"(?:{ASSIGNED})|{RUN}"), 0))
+    found = F.when(led & ~F.contains(word, F.lit("://")), F.regexp_extract_all(word, F.lit(rf"(?:(?<=^[\"'`]{{0,1}}){VALUE}{{{SHORT_LENGTH},}})|(?:{ASSIGNED})|{RUN}"), 0)).otherwise(inside)
     none = F.array().cast("array<struct<run:string,start:int>>")
     step = lambda acc, r: (lambda at: F.struct((at + F.length(r)).alias("at"), F.concat(acc["out"], F.array(F.struct(r.alias("run"), (at - 1).alias("start")))).alias("out")))(
         F.call_function("locate", r, word, acc["at"])
@@ -62,11 +72,11 @@ def _runs(word: Column) -> Column:
 
 def _exploded(rows: DataFrame) -> DataFrame:
     """A row per run of ``word`` that is long, or short beside a keyword or an assignment: candidate, char_pos, prefix, suffix."""
-    rows = rows.select("*", F.explode(_runs(F.col("word"))).alias("r")).select("*", F.col("r.run").alias("candidate"), F.col("r.start").cast("long").alias("char_pos")).drop("r")
+    rows = rows.select("*", F.explode(_runs(F.col("word"), F.rlike(F.concat_ws(" ", "before2", "before"), F.lit(LED)))).alias("r")).select("*", F.col("r.run").alias("candidate"), F.col("r.start").cast("long").alias("char_pos")).drop("r")
     rows = rows.withColumn("prefix", F.expr("substring(word, 1, cast(char_pos AS int))"))
     rows = rows.withColumn("suffix", F.expr("substring(word, cast(char_pos AS int) + length(candidate) + 1)"))
     beside = F.rlike(F.concat_ws(" ", "before2", "before", "prefix"), F.lit(BESIDE))
-    return rows.where(F.rlike("candidate", F.lit(CANDIDATE)) | beside)
+    return rows.where(((F.length("candidate") >= MIN_LENGTH) & F.rlike("candidate", F.lit(CANDIDATE))) | beside)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +87,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = F.when(F.col("marks"), F.transform("w", lambda x: F.rlike(x, F.lit(BESIDE))))
     rows = rows.withColumn("m", marked)
     mark = lambda i: F.coalesce(F.get("m", i), F.lit(False))
-    short = lambda x, i: F.col("marks") & (mark(i) | mark(i - 1) | mark(i - 2)) & F.rlike(x, F.lit(RUN))
+    short = lambda x, i: F.col("marks") & (mark(i) | mark(i - 1) | mark(i - 2)) & F.rlike(x, F.lit(f"{VALUE}{{{SHORT_LENGTH},}}"))
     spots = F.transform("w", lambda x, i: F.when((F.length(x) >= SHORT_LENGTH) & (((F.length(x) >= MIN_LENGTH) & F.rlike(x, F.lit(CANDIDATE))) | short(x, i)), i))
     rows = rows.select("id", "w", F.explode(F.filter(spots, lambda i: i.isNotNull())).alias("i"))
     at = lambda k: F.coalesce(F.get("w", F.col("i") + k), F.lit(""))
@@ -145,6 +155,12 @@ def with_features(found: DataFrame, known: Language) -> DataFrame:
         "address": F.rlike(near, F.lit("@|^:?//|[A-Za-z][.](com|net|org|io|html?)")).cast("double"),
         "quoted": F.rlike(F.concat(F.expr("right(prefix, 1)"), F.expr("left(suffix, 1)")), F.lit("[\"'`]")).cast("double"),
     }
+    named = F.concat_ws(" ", F.lower("before2"), F.lower("before"), F.lower("prefix"))
+    columns |= {
+        "symbols": _share(r"[^A-Za-z0-9+/_\-.~=]", c),
+        "public_near": F.rlike(named, F.lit(rf"(?:^|[^a-z0-9])(?:{PUBLIC})[\"'`]?[^a-z0-9]*(?: |$)[^a-z0-9]*$|(?:^|[^a-z0-9])(?:{PUBLIC})[\"'`]?\s*[=:(#]?\s*(?:is )?[\"'`(]*$")).cast("double"),
+        "fingerprint": F.when(F.rlike(c, F.lit(r"^(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9A-F]{8}-(?:[0-9A-F]{4}-){3}[0-9A-F]{12})$")), 2.0).when(F.rlike(c, F.lit(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$")), 1.0).otherwise(0.0),
+    }
     return found.withColumns(columns)
 
 
@@ -152,8 +168,9 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = FINDINGS)
     """``n`` labelled findings by rule, half of them secrets: candidate, word, before, before2, after, label.
 
     Secrets: hex, base-64 and prefixed keys in assignments, headers and plain prose. Others: long words, paths,
-    hosts, mail addresses and repeated placeholders. A fourth is short: mixed keys and words with digits against plain
-    words, numbers, dates and file names, each after a keyword or an assignment.
+    hosts, mail addresses, repeated placeholders, and fingerprints: revisions, checksums and ids beside the words that name
+    them. A fourth is short: mixed keys, some with signs, and words with digits against plain words, numbers, dates and
+    file names, each after a keyword or an assignment.
     """
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id")), 256)
     groups = F.array(*[F.lit(w) for w in words])
@@ -177,19 +194,29 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = FINDINGS)
     rows = spark.range(0, n, 1, 4).withColumn("label", (F.col("id") % 2).cast("double"))
     in_prose = F.when(F.col("label") == 1, pick(5) == 4).otherwise(F.lit(True))
     few = pick(10).cast("int") + SHORT_LENGTH
-    mixed = F.concat(F.substring(b64, F.lit(1), few - 1), F.substring(h("n"), 1, 1))
+    sign = F.element_at(F.array(*[F.lit(x) for x in ("", "&", "#", "@", "$", "%", "!", "")]), (F.pmod(F.xxhash64(F.lit("g"), F.col("id")), F.lit(8)) + 1).cast("int"))
+    mixed = F.concat(F.substring(b64, F.lit(1), few - 2), sign, F.substring(h("n"), 1, 2))
     typed = F.concat(letters("s", F.lit(1)), F.element_at(F.array(*[F.lit(x) for x in ("", "-", "_")]), (pick(3) + 1).cast("int")), F.pmod(F.xxhash64(F.lit("t"), F.col("id")), F.lit(9000)) + 1000, F.when(pick(5) < 3, letters("u", F.lit(1))).otherwise(F.lit("")))
     day = F.concat(F.lit(2000) + pick(30), F.lit("-"), F.lpad((pick(12) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((pick(28) + 1).cast("string"), 2, "0"))
     plain = F.when(pick(9) <= 4, letters("v", (pick(2) + 1).cast("int"))).when(pick(9) == 5, day).when(pick(9) == 6, F.repeat((pick(90) + 10).cast("string"), 3))
     plain = plain.when(pick(9) == 7, F.concat(letters("y", F.lit(1)), F.lit("."), letters("z", F.lit(1)))).otherwise(F.initcap(letters("v", (pick(2) + 1).cast("int"))))
     short = F.pmod(F.xxhash64(F.lit("short"), F.col("id")), F.lit(4)) == 0
     secret, other = F.when(short, F.when(pick(2) == 0, mixed).otherwise(typed)).otherwise(secret), F.when(short, plain).otherwise(other)
-    value = F.when(F.col("label") == 1, secret).otherwise(other)
-    rows = rows.withColumn("value", value).withColumn("prose", F.when(F.col("label") == 1, in_prose & ~short).otherwise(~short | (pick(2) == 0)))
+    # Fingerprints of public things, beside the words for them; ids stand bare too.
+    digest = F.element_at(F.array(F.substring(h("e"), 1, 40), F.substring(h("e"), 1, 32), h("e"), F.upper(F.substring(h("e"), 1, 40))), (pick(4) + 1).cast("int"))
+    uuid = F.concat_ws("-", F.substring(h("f"), 1, 8), F.substring(h("f"), 9, 4), F.substring(h("f"), 13, 4), F.substring(h("f"), 17, 4), F.substring(h("f"), 21, 12))
+    public = (F.col("label") == 0) & ~short & (F.pmod(F.xxhash64(F.lit("public"), F.col("id")), F.lit(3)) == 0)
+    is_id = F.pmod(F.xxhash64(F.lit("uuid"), F.col("id")), F.lit(3)) == 0
+    named = F.element_at(F.array(*[F.lit(x) for x in ("commit", "revision", "sha256", "sha1:", "md5", "etag", "ETag:", "checksum", "digest", "hash", "fingerprint:", "blob")]), (pick(12) + 1).cast("int"))
+    numbered = F.element_at(F.array(*[F.lit(x) for x in ("id", "uuid", "user_id", "request_id", "id:", "session_id")]), (pick(6) + 1).cast("int"))
+    beside = F.when(is_id, F.when(pick(2) == 0, letters("q", F.lit(1))).otherwise(numbered)).otherwise(named)
+    joined = F.when(public & ~is_id & (pick(4) == 3), F.lit("sha256:")).otherwise(F.lit(""))
+    value = F.when(F.col("label") == 1, secret).when(public, F.when(is_id, uuid).otherwise(digest)).otherwise(other)
+    rows = rows.withColumn("value", value).withColumn("prose", F.when(F.col("label") == 1, in_prose & ~short).otherwise(public | ~short | (pick(2) == 0))).withColumns({"public": public, "beside": beside, "joined": joined})
     rows = rows.select(
         "label",
-        F.when(F.col("prose"), F.concat("value", F.when(pick(3) == 0, F.lit(".")).otherwise(F.lit("")))).otherwise(F.concat(F.lit('"'), "value", F.lit('"'))).alias("word"),
-        F.when(F.col("prose") & short, key).when(F.col("prose"), prose).otherwise(F.lit("=")).alias("before"),
+        F.when(F.col("prose"), F.concat("joined", "value", F.when(pick(3) == 0, F.lit(".")).otherwise(F.lit("")))).otherwise(F.concat(F.lit('"'), "value", F.lit('"'))).alias("word"),
+        F.when(F.col("public"), F.col("beside")).when(F.col("prose") & short, key).when(F.col("prose"), prose).otherwise(F.lit("=")).alias("before"),
         F.when(F.col("prose"), prose).otherwise(key).alias("before2"),
         prose.alias("after"),
     )
