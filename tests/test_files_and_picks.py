@@ -26,7 +26,7 @@ def test_paths_and_state(spark, tmp_path):
     state = str(tmp_path / "state.json")
     for n in (1, 2):
         sinks.write_state(spark, state, {"done": n})
-    assert sinks.read_state(spark, state) == {"done": 2} and not files.exists(spark, state + ".tmp")
+    assert sinks.read_state(spark, state) == {"done": 2} and sinks.read_state(spark, state + "-none") is None
     assert files.union_present(spark, [str(tmp_path / "no")], spark.read.json) is None
 
 
@@ -126,3 +126,59 @@ def test_two_places_round_the_binary_value(spark):
     values = [18.775, 0.125, 0.375, 2.675, 1.005, 0.0, 12.0, 99.995, -1.237, 1234.565]
     got = [r["v"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(solve._two_places(F.col("x")).alias("v")).collect()]
     assert got == [f"{x:.2f}" for x in values]
+
+
+def test_state_of_a_writer_that_ends_early(spark, tmp_path, monkeypatch):
+    """Killed between a batch's write and its commit, or between a state's write and its name: the state before holds."""
+    path, rows = str(tmp_path / "work"), spark.range(1000)
+    work = lambda df: df.withColumn("twice", F.col("id") * 2)
+    left = sinks.write_in_batches(rows, path, "id", 100, work, most=4)
+    assert left == 6 and sinks.read_state(spark, path + "/state") == {"batches": 10, "done": 4}
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "write_state", killed)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_in_batches(rows, path, "id", 100, work)
+    with monkeypatch.context() as m:
+        m.setattr(sinks.json, "dumps", killed)  # the file is there, without a name that counts
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_state(spark, path + "/state", {"done": 99})
+    assert sinks.read_state(spark, path + "/state") == {"batches": 10, "done": 4}
+    committed = sinks.read_batches(spark, path, "id long, twice long")
+    assert committed.count() < 1000
+    assert sinks.write_in_batches(rows, path, "id", 7, work) == 0
+    got = sinks.read_batches(spark, path, "id long, twice long").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 2 * i) for i in range(1000)]
+    assert sinks.write_in_batches(rows, path, "id", 100, work) == 0  # nothing is left to do
+
+
+@pytest.mark.parametrize("name", ["last_balanced", "first_balanced", "first_or_tail", "last_flat", "last_closed_flat", "first_flat_or_line", "first_nested", "with_fallbacks", "answer_span", "all_closed", "without_boxes"])
+def test_long_boxes(spark, name):
+    inner = "a" * 200_000 + "{b}" * 20_000
+    row = spark.createDataFrame([("so \\boxed{" + inner + "} end " + "x " * 50_000,)], "c string")
+    got = row.select(getattr(boxed, name)(F.col("c")).alias("v")).first()["v"]
+    if name in ("last_balanced", "first_balanced", "first_or_tail", "first_nested"):
+        assert got == inner
+
+
+def test_strip_is_linear_and_takes_all_spaces(spark):
+    import time
+
+    row = spark.createDataFrame([("\u2003\x85 a" + " " * 1_000_000 + "b\u3000\n",), ("\u200bx ",), (None,), (" \t",)], "c string")
+    began = time.time()
+    got = [r["v"] for r in row.select(text.strip(F.col("c")).alias("v")).collect()]
+    assert time.time() - began < 20 and got == ["a" + " " * 1_000_000 + "b", "\u200bx", None, ""]
+
+
+def test_filled_buckets_by_parts(spark):
+    rows = [(i, "ab"[i % 5 == 0]) for i in range(100)]
+    got = pick.fill_buckets(spark.createDataFrame(rows, "i long, b string"), "b", [F.col("i")], 15, "rest").collect()
+    want = {}
+    for bucket in "ab":
+        own = [i for i, b in rows if b == bucket]
+        want |= dict.fromkeys(own[:15], bucket)
+    want |= dict.fromkeys([i for i, _ in rows if i not in want][:15], "rest")
+    assert {r["i"]: r["placed"] for r in got} == want and len(got) == len(want)

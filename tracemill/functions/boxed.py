@@ -98,8 +98,11 @@ def with_fallbacks(c: Column) -> Column:
 
 
 def first_nested(c: Column) -> Column:
-    r"""Content of the first closed box with braces at most one level deep, ``\\boxed`` too; null without one."""
-    return strip(F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"), 1), F.lit(1)))
+    r"""Content of the first closed box with braces at most one level deep, ``\\boxed`` too; null without one.
+
+    Possessive, so a long box takes no stack: what one step takes can never be a later step's closing brace.
+    """
+    return strip(F.try_element_at(F.regexp_extract_all(c, F.lit(r"\\boxed\{((?:[^{}]++|\{[^{}]*+\})*+)\}"), 1), F.lit(1)))
 
 
 def answer_span(c: Column) -> Column:

@@ -31,11 +31,15 @@ def at_least_kth(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
 
 
 def fill_buckets(df: DataFrame, bucket: str, order: list[Column], size: int, second: str) -> DataFrame:
-    """``placed``: the first ``size`` rows of a bucket stay, as many of the rest go to bucket ``second``, others have none."""
-    first = numbered(df, [bucket], order, "_rn").withColumn("_over", F.col("_rn") > size)
-    over = first.where("_over")
-    spilled = over.orderBy(*order).limit(size).withColumn("placed", F.lit(second))
-    return first.where(~F.col("_over")).withColumn("placed", F.col(bucket)).unionByName(spilled).drop("_rn", "_over")
+    """``placed``: the first ``size`` rows of a bucket stay, as many of the rest go to bucket ``second``, others have none.
+
+    Buckets are cut in parts first, so that a hot one is never ranked in one task; ``order`` must break all ties.
+    """
+    stays = cap_per_group(df, [bucket], order, size).withColumn("placed", F.col(bucket))
+    own = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in df.columns]
+    taken = stays.select(*[F.col(c).alias(f"_s_{c}") for c in df.columns])
+    spilled = df.join(taken, own, "left_anti").orderBy(*order).limit(size).withColumn("placed", F.lit(second))
+    return stays.unionByName(spilled)
 
 
 def mixed(sources: list[tuple[DataFrame, int]], key: Column, n: int, seed: int = 0) -> DataFrame:
