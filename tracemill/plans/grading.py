@@ -72,12 +72,18 @@ def tolerance_match(t):
     return _answers(t).select("l_orderkey", "l_linenumber", compare.tolerant(p, g).alias("tolerant"), compare.lower_or_near(p, g).alias("near"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN p_size % 2 = 0 ELSE true END AS ok FROM part""")
+@query("""WITH r AS (SELECT p_partkey, p_partkey % 3 AS k, p_size AS n, p_size + (p_partkey % 5 = 2)::INT AS m, CASE WHEN p_partkey % 7 = 3 THEN reverse(p_name) ELSE p_name END AS w, p_name, p_size * (1 + (p_partkey % 9) / 400.0)::DOUBLE AS x FROM part),
+s AS (SELECT *, lpad(bin(m), 8, '0') AS bits FROM r)
+SELECT p_partkey, CASE k WHEN 0 THEN bits = n::VARCHAR OR list_sum(list_transform(range(1, 9), lambda i: substr(bits, i, 1)::INT << (8 - i)::INT)) = n WHEN 1 THEN abs(x - n) <= greatest(0.01::DOUBLE * greatest(1.0::DOUBLE, n), 1e-4::DOUBLE)
+ ELSE replace(lower(w), ' ', '') = replace(lower(p_name), ' ', '') END AS ok FROM s""")
 def type_aware_verify(t):
-    """Sizes as binary against decimal, against a wrong number for odd ones, and as text in other case."""
-    k, n = F.col("p_partkey") % 3, F.col("p_size")
+    """Sizes in binary digits, some of another number; numbers that drift from theirs; and names in other case, some reversed."""
+    part = F.col("p_partkey")
+    k, n = part % 3, F.col("p_size")
     kind = F.when(k == 0, "bit").when(k == 1, "gravity").otherwise("cipher")
-    pred = F.when(k == 0, F.lpad(F.bin(n.cast("long")), 8, "0")).when(k == 1, (n * F.when(n % 2 == 0, 1.0).otherwise(1.5)).cast("string")).otherwise(F.upper("p_name"))
+    bits = F.lpad(F.bin((n + F.when(part % 5 == 2, 1).otherwise(0)).cast("long")), 8, "0")
+    name = F.upper(F.when(part % 7 == 3, F.reverse("p_name")).otherwise(F.col("p_name")))
+    pred = F.when(k == 0, bits).when(k == 1, (n * (1 + (part % 9) / 400.0)).cast("string")).otherwise(name)
     gold = F.when(k == 2, F.concat(F.col("p_name"), F.lit("'"))).otherwise(n.cast("string"))
     return t("part").select("p_partkey", compare.by_type(pred, gold, kind).alias("ok"))
 

@@ -8,16 +8,9 @@ from pyspark.sql import functions as F
 from tracemill.functions import gates, puzzle, transform
 from tracemill.operators import equations, search
 from tracemill.plans.registry import query
-from tracemill.plans.solving import DUCK_OPS
+from tracemill.plans.solving import DUCK_GATES, DUCK_OPS
 from tracemill.sources.files import cut
 
-#: The gates by DuckDB over booleans, in the order of the library's table.
-DUCK_GATES = (
-    "a AND b", "a OR b", "a <> b", "NOT (a AND b)", "NOT (a OR b)", "a = b", "a AND NOT b", "NOT a AND b", "a OR NOT b", "NOT a OR b",
-    "(a::INT + b::INT + c::INT) >= 2", "CASE WHEN a THEN b ELSE c END", "(a::INT + b::INT + c::INT) % 2 = 1", "(a AND b) OR c", "(a OR b) AND c", "(a AND b) <> c", "(a OR b) <> c", "(a <> b) AND c", "(a <> b) OR c",
-    "(a::INT + b::INT + c::INT) < 2", "(a::INT + b::INT + c::INT) % 2 = 0", "(a::INT + b::INT + c::INT + d::INT) % 2 = 1", "(a::INT + b::INT + c::INT + d::INT) % 2 = 0", "((a AND b) OR c) AND d",
-    "((a OR b) AND c) OR d", "((a AND b) <> c) AND d", "(a::INT + b::INT + c::INT + d::INT) % 2 = 1",
-)
 #: Examples of a gate prompt; they fill one word of the solver and part of the next.
 GATE_EXAMPLES = 120
 _FORMS = len(DUCK_GATES) + 4  # the gates, two constants, an input as it is, and one negated

@@ -105,9 +105,9 @@ def solve_bits(t):
 
 
 @query("""WITH n AS (SELECT p_partkey, p_partkey % 4 AS k, p_size % 89 + 10 AS a, p_partkey * 7 % 89 + 10 AS b, p_partkey * 3 % 80 + 11 AS c, p_size * 5 % 70 + 13 AS d FROM part)
-SELECT p_partkey, CASE WHEN k = 0 THEN c::VARCHAR || d ELSE d::VARCHAR || c END AS answer, ['forward', 'reverse', 'reverse', 'reverse'][k + 1] AS rule FROM n WHERE k < 2""")
+SELECT p_partkey, CASE WHEN k = 0 THEN c::VARCHAR || d ELSE d::VARCHAR || c END AS answer, CASE WHEN k = 0 THEN 'forward' ELSE 'reverse' END AS rule FROM n""")
 def solve_concatenation(t):
-    n = t("part").select("p_partkey", (F.col("p_partkey") % 4).alias("k"), *[F.expr(f"CAST({x} AS STRING)").alias(y) for x, y in (("p_size % 89 + 10", "a"), ("p_partkey * 7 % 89 + 10", "b"), ("p_partkey * 3 % 80 + 11", "c"), ("p_size * 5 % 70 + 13", "d"))]).where("k < 2 ")
+    n = t("part").select("p_partkey", (F.col("p_partkey") % 4).alias("k"), *[F.expr(f"CAST({x} AS STRING)").alias(y) for x, y in (("p_size % 89 + 10", "a"), ("p_partkey * 7 % 89 + 10", "b"), ("p_partkey * 3 % 80 + 11", "c"), ("p_size * 5 % 70 + 13", "d"))])
     y = F.when(F.col("k") == 0, F.concat("a", "b")).otherwise(F.concat("b", "a"))
     fixed = F.when(F.col("k") == 0, F.lit("xy{zw = xyzw")).otherwise(F.lit("xy{zw = zwxy"))
     prompt = F.concat(F.concat("a", F.lit("{"), "b", F.lit(" = "), y), F.lit("\n"), fixed, F.lit("\nNow, determine the result for: "), "c", F.lit("{"), "d")
@@ -157,14 +157,22 @@ def bases_shifts_terms(t):
     return t("supplier").select("s_suppkey", *[puzzle.in_base(n, b).alias(f"b{b}") for b in (2, 8, 10, 16)], puzzle.rotate_right(x, 3).alias("ror3"), puzzle.shift_left(x, 2).alias("shl2"), F.shiftright(x, 2).alias("shr2"), puzzle.next_term(terms).alias("next"))
 
 
-@query("""WITH v AS (SELECT n::INT AS n, (n % 2)::INT AS a, (n // 2 % 2)::INT AS b, (n // 4 % 2)::INT AS c, (n // 8 % 2)::INT AS d FROM (SELECT s_suppkey % 16 AS n, s_suppkey FROM supplier))
-SELECT n, count(*) AS times, (a AND b)::INT AS f1, (a OR b)::INT AS f2, (a <> b)::INT AS f3, (NOT (a AND b))::INT AS f4, (a + b + c >= 2)::INT AS maj, (CASE WHEN a = 1 THEN b ELSE c END) AS cho, (a + b + c) % 2 AS par3, (a + b + c + d) % 2 AS par4, (((a + b + c) % 2 = 0))::INT AS not_par3 FROM (SELECT n, a, b, c, d FROM v) GROUP BY ALL""")
+#: The gates by DuckDB over booleans, in the order of the library's table.
+DUCK_GATES = (
+    "a AND b", "a OR b", "a <> b", "NOT (a AND b)", "NOT (a OR b)", "a = b", "a AND NOT b", "NOT a AND b", "a OR NOT b", "NOT a OR b",
+    "(a::INT + b::INT + c::INT) >= 2", "CASE WHEN a THEN b ELSE c END", "(a::INT + b::INT + c::INT) % 2 = 1", "(a AND b) OR c", "(a OR b) AND c", "(a AND b) <> c", "(a OR b) <> c", "(a <> b) AND c", "(a <> b) OR c",
+    "(a::INT + b::INT + c::INT) < 2", "(a::INT + b::INT + c::INT) % 2 = 0", "(a::INT + b::INT + c::INT + d::INT) % 2 = 1", "(a::INT + b::INT + c::INT + d::INT) % 2 = 0", "((a AND b) OR c) AND d",
+    "((a OR b) AND c) OR d", "((a AND b) <> c) AND d", "(a::INT + b::INT + c::INT + d::INT) % 2 = 1",
+)
+
+
+@query(f"""WITH v AS (SELECT (s_suppkey % 16)::INT AS n, count(*) AS times FROM supplier GROUP BY ALL), b AS (SELECT n, times, n & 1 = 1 AS a, n >> 1 & 1 = 1 AS b, n >> 2 & 1 = 1 AS c, n >> 3 & 1 = 1 AS d FROM v)
+SELECT n, times, {" || ".join(f"CASE WHEN {g} THEN '1' ELSE '0' END" for g in DUCK_GATES)} AS outputs FROM b""")
 def gate_table(t):
+    """The outputs of all gates over the four bits of a number, in the order of the library."""
     v = t("supplier").select(F.expr("CAST(s_suppkey % 16 AS INT)").alias("n")).selectExpr("n", "n & 1 AS a", "n >> 1 & 1 AS b", "n >> 2 & 1 AS c", "n >> 3 & 1 AS d")
-    v = v.withColumn("g", puzzle.gate_outputs())
-    at = {g[0]: i for i, g in enumerate(puzzle.GATES)}
-    names = {"f1": "AND", "f2": "OR", "f3": "XOR", "f4": "NAND", "maj": "MAJ", "cho": "CHO", "par3": "PAR3", "par4": "PAR4", "not_par3": "NOT_PAR3"}
-    return v.groupBy("n", *[F.col("g")[at[g]]["output"].alias(k) for k, g in names.items()]).agg(F.count(F.lit(1)).alias("times"))
+    outputs = F.array_join(F.transform(puzzle.gate_outputs(), lambda g: g["output"].cast("string")), "")
+    return v.groupBy("n", outputs.alias("outputs")).agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("""SELECT c, string_agg(DISTINCT p, '' ORDER BY p) AS p, count(*) AS n, count(DISTINCT p) = 1 AND max(back) = 1 AS bijective FROM
