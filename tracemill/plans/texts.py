@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.functions import boxed, classify, compare, text
+from tracemill.functions import boxed, classify, compare, longhand, text
 from tracemill.plans.cases import cases_sql, values_sql, with_cases
 from tracemill.plans.registry import query
 
@@ -229,3 +229,15 @@ def training_targets(t):
     d = t("documents").where("text IS NOT NULL").select("doc_id", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("cot"), F.coalesce("lang", F.lit("?")).alias("answer"))
     made = boxed.target(F.col("cot"), F.col("answer"))
     return d.select("doc_id", F.md5(made).alias("target"), (boxed.last_balanced(boxed.with_box(F.col("answer"))) == F.col("answer")).alias("round_trips"), F.regexp_count(made, F.lit(r"\\boxed\{")).alias("boxes"))
+
+
+@query("""WITH p AS (SELECT p_partkey, ((p_partkey * 7919 + 12345) * 1000 + p_partkey % 1000)::HUGEINT AS a, (p_size * 100 + p_partkey * 37 % 100)::HUGEINT AS b FROM part)
+SELECT p_partkey, (a * b // 100000)::VARCHAR || '.' || lpad((a * b % 100000)::VARCHAR, 5, '0') AS product, (a * 100 // b // 1000)::VARCHAR || '.' || lpad((a * 100 // b % 1000)::VARCHAR, 3, '0') AS quotient,
+2 * length(replace(b::VARCHAR, '0', '')) - 1 AS multiplied, length((a * 100 // b)::VARCHAR) AS divided FROM p""")
+def longhand_arithmetic(t):
+    """Products and quotients of decimals, digit by digit, with the lines that the working takes."""
+    a = F.concat(F.expr("CAST(p_partkey * 7919 + 12345 AS STRING)"), F.lit("."), F.lpad(F.expr("CAST(p_partkey % 1000 AS STRING)"), 3, "0"))
+    b = F.concat(F.col("p_size").cast("string"), F.lit("."), F.lpad(F.expr("CAST(p_partkey * 37 % 100 AS STRING)"), 2, "0"))
+    rows = t("part").select("p_partkey", a.alias("a"), b.alias("b"))
+    made = longhand.long_division(longhand.long_multiplication(rows, "a", "b").withColumn("multiplied", F.size("working")).drop("working"), "a", "b")
+    return made.select("p_partkey", "product", "quotient", "multiplied", F.size("working").alias("divided"))
