@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import chat, classify, keys, parse, puzzle
-from tracemill.operators import ranks
+from tracemill.operators import merge, ranks
 from tracemill.plans.cases import cases_sql, with_cases
 from tracemill.plans.registry import query
 
@@ -129,3 +129,31 @@ SELECT i::INT AS expert, n AS picks, n / (sum(n) OVER ())::DOUBLE AS share FROM
 def router_use(t):
     """How often each of 64 experts is among the six that a row's scores pick."""
     return ranks.router_use(t("embeddings").select(F.col("embedding").cast("array<double>").alias("scores")), "scores", 64, 6)
+
+
+#: Cells of three sources: every third vector is a source's row, tensors are every fourth dimension; values are whole, so that sums are exact.
+_CELLS = "SELECT vec_id % 3 AS source, vec_id // 3 AS line, i AS place, i % 4 AS tensor, round(embedding[i + 1]::DOUBLE * 10000)::BIGINT AS v FROM embeddings, range(64) r(i) WHERE i < len(embedding)"
+
+
+def _cells(t):
+    e = t("embeddings").select("vec_id", F.posexplode("embedding").alias("place", "x"))
+    return e.select(F.expr("vec_id % 3").alias("source"), F.expr("vec_id div 3").alias("line"), F.col("place").cast("long").alias("place"), F.expr("place % 4").cast("long").alias("tensor"), F.round(F.col("x").cast("double") * 10000).cast("long").alias("v"))
+
+
+@query(f"""WITH c AS ({_CELLS}), k AS (SELECT source, tensor, ceil(count(*) * 0.2::DOUBLE)::BIGINT AS k FROM c GROUP BY ALL),
+r AS (SELECT c.*, abs(v) AS size, row_number() OVER (PARTITION BY source, tensor ORDER BY abs(v) DESC) AS rn FROM c),
+l AS (SELECT r.source, r.tensor, r.size AS least FROM r JOIN k ON r.source = k.source AND r.tensor = k.tensor AND r.rn = k.k),
+t AS (SELECT r.line, r.place, r.v FROM r JOIN l USING (source, tensor) WHERE size >= least),
+s AS (SELECT line, place, sum(v) AS total FROM t GROUP BY ALL)
+SELECT line, place, round(avg(v), 6) AS v FROM t JOIN s USING (line, place) WHERE total <> 0 AND sign(v) = sign(total) GROUP BY ALL""")
+def trimmed_sign_merge(t):
+    """The largest fifth of every source's tensors, cells merged by the mean of the values with the elected sign."""
+    kept = merge.trimmed(_cells(t), ["source", "tensor"], "v", 0.2)
+    return merge.elected(kept, ["line", "place"], "v").select("line", "place", F.round("v", 6).alias("v"))
+
+
+@query(f"""SELECT line, place, round(sum(v / 0.7::DOUBLE * CASE source WHEN 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END), 6) AS v FROM ({_CELLS}) WHERE substr(md5('7:' || source || ':' || line || ':' || place), 1, 8) >= '{int(0.3 * 16**8):08x}' GROUP BY ALL""")
+def dropped_linear_merge(t):
+    """Three in ten cells of every source dropped, the rest scaled up and added by weight."""
+    kept = merge.dropped(_cells(t), ["source", "line", "place"], "v", 0.3, seed=7)
+    return merge.linear(kept, ["line", "place"], "v", F.when(F.col("source") == 0, 0.5).otherwise(0.25)).select("line", "place", F.round("v", 6).alias("v"))
