@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import strip
 
 
+def let(x: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of ``x``, which is worked out once however often ``made`` uses it."""
+    return F.transform(F.array(x), made)[0]
+
+
 def _pairs(c: Column, pattern: str) -> Column:
     """An array of (x, y): the two groups of every match."""
     x, y = (F.transform(F.regexp_extract_all(c, F.lit(pattern), k), strip) for k in (1, 2))

@@ -8,35 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import parse
+from tracemill.functions.parse import let
 from tracemill.functions.puzzle import from_roman, to_roman
 
 
 def _mean(values: Column) -> Column:
-    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), F.size(values).cast("double"))
+    return let(values, lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.size(v).cast("double")))
 
 
 def _lower_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    return F.try_element_at(ordered, F.floor((F.size(ordered) + 1) / 2).cast("int"))
+    return let(F.array_sort(values), lambda v: F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")))
 
 
 def _two_places(x: Column) -> Column:
     """Two decimals of the number's exact binary value, ties to even; Spark's own formats round its shortest decimal form instead.
 
-    x * 100 is p + e exactly, e from a split of x into two halves whose products with 100 are exact.
+    x * 100 is p + e exactly, e from a split of x into two halves whose products with 100 are exact. Null of null.
     """
-    y = F.abs(x)
-    p = y * 100.0
-    high = y * 134217729.0 - (y * 134217729.0 - y)
-    e = (high * 100.0 - p) + (y - high) * 100.0
-    low = F.floor(p)
-    over = (p - (low + 0.5)) + e
-    cents = (low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)).cast("long")
-    return F.concat(F.when((x < 0) & (cents > 0), "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+    def split(y: Column) -> Column:
+        return F.struct(y.alias("y"), (y * 100.0).alias("p"), (y * 134217729.0 - (y * 134217729.0 - y)).alias("high"))
+
+    def over(s: Column) -> Column:
+        low = F.floor(s["p"])
+        return F.struct(low.alias("low"), ((s["p"] - (low + 0.5)) + ((s["high"] * 100.0 - s["p"]) + (s["y"] - s["high"]) * 100.0)).alias("over"))
+
+    def cents(s: Column) -> Column:
+        return (s["low"] + F.when((s["over"] > 0) | ((s["over"] == 0) & (s["low"] % 2 == 1)), 1).otherwise(0)).cast("long")
+
+    def shown(v: Column, c: Column) -> Column:
+        return F.concat(F.when((v < 0) & (c > 0), "-").otherwise(""), F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
+
+    return let(x, lambda v: let(let(let(F.abs(v), split), over), lambda s: let(cents(s), lambda c: shown(v, c))))
 
 
 def _square(x: Column) -> Column:
-    return x * x
+    return let(x, lambda v: v * v)
 
 
 def _cut(x: Column, places: int) -> Column:
@@ -47,13 +54,13 @@ def _cut(x: Column, places: int) -> Column:
 def gravity(prompt: Column) -> Column:
     """Falling distance from the mean of 2 d / t^2 over the examples."""
     g = _mean(F.transform(parse.falls(prompt), lambda e: 2.0 * e["y"].cast("double") / (e["x"].cast("double") * e["x"].cast("double"))))
-    return F.when(g.isNotNull(), _two_places(0.5 * g * _square(parse.asked_time(prompt).cast("double"))))
+    return _two_places(0.5 * g * _square(parse.asked_time(prompt).cast("double")))
 
 
 def gravity_by_median(prompt: Column) -> Column:
     """Falling distance from the lower median of d / t^2, cut to three decimals, as the traced solver has it."""
-    k = _lower_median(F.transform(parse.falls(prompt), lambda e: _cut(e["y"].cast("double") / _square(e["x"].cast("double")), 3)))
-    return F.when(k.isNotNull(), _two_places(k * _square(parse.asked_time(prompt).cast("double"))))
+    k = _lower_median(F.transform(parse.falls(prompt), lambda e: _cut(e["y"].cast("double") / (e["x"].cast("double") * e["x"].cast("double")), 3)))
+    return _two_places(k * _square(parse.asked_time(prompt).cast("double")))
 
 
 def conversion(prompt: Column, median: bool = False) -> Column:
