@@ -15,3 +15,10 @@ def test_gravity_reads_its_prompt_once_a_part(spark):
     text = "For t = 1.0s, distance = 2.50 m\nFor t = 2.0s, distance = 10.00 m\ndetermine the falling distance for t = 3.0s"
     made = spark.createDataFrame([(text,), ("nothing",), (None,)], "prompt string").select(solve.gravity(F.col("prompt")), solve.gravity_by_median(F.col("prompt")))
     assert [tuple(r) for r in made.collect()] == [("22.50", "22.50"), (None, None), (None, None)]
+
+
+def test_conversion_reads_its_prompt_once_a_part(spark):
+    assert parses(solve.conversion(F.col("prompt"))) == 3 and parses(solve.conversion(F.col("prompt"), median=True)) == 3
+    rows = [("2.0 m becomes 5.00\n4.0 m becomes 8.00\nconvert the following measurement: 10.0 m",), ("nothing",), (None,)]
+    made = spark.createDataFrame(rows, "prompt string").select(solve.conversion(F.col("prompt")), solve.conversion(F.col("prompt"), median=True))
+    assert [tuple(r) for r in made.collect()] == [("22.50", "20.00"), (None, None), (None, None)]

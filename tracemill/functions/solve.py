@@ -67,7 +67,7 @@ def conversion(prompt: Column, median: bool = False) -> Column:
     """Converted measurement from the mean (or the lower median) of the examples' ratios."""
     ratios = F.transform(parse.conversions(prompt), lambda e: e["y"].cast("double") / e["x"].cast("double"))
     factor = _lower_median(ratios) if median else _mean(ratios)
-    return F.when(factor.isNotNull(), _two_places(factor * parse.asked_length(prompt).cast("double")))
+    return _two_places(factor * parse.asked_length(prompt).cast("double"))
 
 
 def numeral(prompt: Column) -> Column:
