@@ -22,3 +22,10 @@ def test_conversion_reads_its_prompt_once_a_part(spark):
     rows = [("2.0 m becomes 5.00\n4.0 m becomes 8.00\nconvert the following measurement: 10.0 m",), ("nothing",), (None,)]
     made = spark.createDataFrame(rows, "prompt string").select(solve.conversion(F.col("prompt")), solve.conversion(F.col("prompt"), median=True))
     assert [tuple(r) for r in made.collect()] == [("22.50", "20.00"), (None, None), (None, None)]
+
+
+def test_cipher_reads_its_prompt_once_a_part(spark):
+    assert parses(solve.cipher(F.col("prompt"))) <= 4  # the words of both sides are matched by their counts too
+    text = "ab -> xy\nac -> zy\nNow, decrypt the following text: ab d"
+    got = spark.createDataFrame([(text,), (None,)], "prompt string").select(solve.cipher(F.col("prompt")).alias("s")).select("s.*").collect()
+    assert tuple(got[0]) == ("xy ?", 1, 1) and got[1]["answer"] is None

@@ -93,20 +93,23 @@ def letter_map(prompt: Column) -> Column:
 
 def cipher(prompt: Column) -> Column:
     """(answer, unmapped, conflicts): the question through the letter map, '?' for letters without one; the first pair of a letter counts."""
-    pairs = letter_map(prompt)
-    keys = F.array_distinct(F.transform(pairs, lambda z: z["c"]))
-    table = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda z: z["c"] == k), 1)["p"]))
-    asked = F.split(parse.asked(prompt, "decrypt"), "")
-    told = F.transform(asked, lambda ch: F.when(ch == " ", ch).otherwise(F.coalesce(F.try_element_at(table, ch), F.lit("?"))))
-    conflicts = F.size(F.array_distinct(F.filter(pairs, lambda z: z["p"] != table[z["c"]])))
-    unmapped = F.size(F.array_distinct(F.filter(asked, lambda ch: (ch != " ") & ~F.array_contains(keys, ch))))
-    return F.struct(F.array_join(told, "").alias("answer"), unmapped.alias("unmapped"), conflicts.alias("conflicts"))
+
+    def told(pairs: Column, keys: Column, table: Column, asked: Column) -> Column:
+        text = F.transform(asked, lambda ch: F.when(ch == " ", ch).otherwise(F.coalesce(F.try_element_at(table, ch), F.lit("?"))))
+        conflicts = F.size(F.array_distinct(F.filter(pairs, lambda z: z["p"] != table[z["c"]])))
+        unmapped = F.size(F.array_distinct(F.filter(asked, lambda ch: (ch != " ") & ~F.array_contains(keys, ch))))
+        return F.struct(F.array_join(text, "").alias("answer"), unmapped.alias("unmapped"), conflicts.alias("conflicts"))
+
+    def mapped(pairs: Column, keys: Column) -> Column:
+        table = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda z: z["c"] == k), 1)["p"]))
+        return let(table, lambda t: let(F.split(parse.asked(prompt, "decrypt"), ""), lambda q: told(pairs, keys, t, q)))
+
+    return let(letter_map(prompt), lambda pairs: let(F.array_distinct(F.transform(pairs, lambda z: z["c"])), lambda keys: mapped(pairs, keys)))
 
 
 def consistent_both_ways(pairs: Column) -> Column:
     """Whether a letter map is a bijection: as many distinct pairs as distinct letters on either side."""
-    n = F.size(F.array_distinct(pairs))
-    return (n == F.size(F.array_distinct(F.transform(pairs, lambda z: z["c"])))) & (n == F.size(F.array_distinct(F.transform(pairs, lambda z: z["p"]))))
+    return let(F.array_distinct(pairs), lambda v: (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda z: z["c"])))) & (F.size(v) == F.size(F.array_distinct(F.transform(v, lambda z: z["p"])))))
 
 
 def _bits(c: Column) -> Column:
