@@ -1,7 +1,9 @@
 """Solvers do their work once a row, shuffle little, and are exact where numbers are large or prompts ambiguous."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tracemill import plans
 from tracemill.functions import solve
 
 
@@ -29,3 +31,18 @@ def test_cipher_reads_its_prompt_once_a_part(spark):
     text = "ab -> xy\nac -> zy\nNow, decrypt the following text: ab d"
     got = spark.createDataFrame([(text,), (None,)], "prompt string").select(solve.cipher(F.col("prompt")).alias("s")).select("s.*").collect()
     assert tuple(got[0]) == ("xy ?", 1, 1) and got[1]["answer"] is None
+
+
+def executed(made):
+    return made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rule_statuses_shuffles_a_row_an_order_and_no_row_a_rule(spark, tmp_path):
+    rows = [(1, n, 7 * n, 11 * n) for n in range(1, 5)] + [(2, 1, 5, 6), (2, 1, 8, 9), (2, 2, 30, 31), (3, 1, 1, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = plans.QUERIES["rule_statuses"](spark, str(tmp_path))
+    below = executed(made).split("Exchange hashpartitioning")
+    assert len(below) == 2 and "Generate" not in below[1]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, made.collect())) == sorted(con.execute(plans.ORACLE_SQL["rule_statuses"]).fetchall())

@@ -163,13 +163,33 @@ RARE = (
 )
 
 
-def operation_results(e: str) -> Column:
-    """All operations on the struct column ``e`` (a, op, b as strings): an array of (name, result), null where undefined."""
+def _operands(e: str) -> dict[str, str]:
+    """SQL of the operands of the struct ``e`` (a, op, b as strings) under the names that the operations use."""
     two = f"length({e}.a) = 2 AND length({e}.b) = 2"
     digit = lambda side, k: f"(CASE WHEN {two} THEN CAST(substring({e}.{side}, {k}, 1) AS BIGINT) END)"
-    names = {"sa": f"{e}.a", "sb": f"{e}.b", "a": f"CAST({e}.a AS BIGINT)", "b": f"CAST({e}.b AS BIGINT)", "x1": digit("a", 1), "x2": digit("a", 2), "y1": digit("b", 1), "y2": digit("b", 2)}
+    return {"sa": f"{e}.a", "sb": f"{e}.b", "a": f"CAST({e}.a AS BIGINT)", "b": f"CAST({e}.b AS BIGINT)", "x1": digit("a", 1), "x2": digit("a", 2), "y1": digit("b", 1), "y2": digit("b", 2)}
+
+
+def _operation_sqls(names: dict[str, str]) -> list[tuple[str, str]]:
+    """Name and SQL of every operation; its result is a string, null where undefined."""
     fill = lambda sql: re.sub(r"\b(sa|sb|a|b|x1|x2|y1|y2)\b", lambda m: names[m[1]], sql)
-    return F.expr("array(" + ", ".join(f"named_struct('name', '{name}', 'result', CAST({fill(sql)} AS STRING))" for name, sql in (*COMMON, *RARE)) + ")")
+    return [(name, f"CAST({fill(sql)} AS STRING)") for name, sql in (*COMMON, *RARE)]
+
+
+def operation_results(e: str) -> Column:
+    """All operations on the struct column ``e`` (a, op, b as strings): an array of (name, result), null where undefined."""
+    return F.expr("array(" + ", ".join(f"named_struct('name', '{name}', 'result', {sql})" for name, sql in _operation_sqls(_operands(e))) + ")")
+
+
+def with_operation_hits(df: DataFrame, e: str, y: str, hits: str) -> DataFrame:
+    """``df`` with ``hits``, a long with a bit for every operation on the struct column ``e``, in their order, whose result is the string ``y``.
+
+    The filter of nothing is a function that whole-stage code leaves out: in one method the operations are too long to be compiled.
+    """
+    kept, names = df.columns, {n: f"_op_{n}" for n in _operands(e)}
+    df = df.select("*", *[F.expr(sql).alias(names[n]) for n, sql in _operands(e).items()])
+    bits = [f"IF({sql} <=> {y}, {1 << j}L, 0L)" for j, (_, sql) in enumerate(_operation_sqls(names))]
+    return df.select(*kept, F.expr(f"IF({y} IS NULL, 0L, {' | '.join(bits)}) | size(filter(array({y}), x -> false))").alias(hits))
 
 
 def concatenation(prompt: Column) -> Column:
