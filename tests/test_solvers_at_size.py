@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tracemill import plans
-from tracemill.functions import solve
+from tracemill.functions import puzzle, solve
 
 
 def parses(made):
@@ -46,3 +46,10 @@ def test_rule_statuses_shuffles_a_row_an_order_and_no_row_a_rule(spark, tmp_path
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(map(tuple, made.collect())) == sorted(con.execute(plans.ORACLE_SQL["rule_statuses"]).fetchall())
+
+
+def test_next_terms_of_large_numbers(spark):
+    n, r = 3_000_000_000, 55_000
+    rows = [([(n + i) ** 2 for i in range(5)],), ([r**i for i in range(5)],), ([7 * 3**i for i in range(5)],), ([-(2**63) + i for i in range(5)],), ([2**63 - 5 + i for i in range(5)],), ([None] * 5,)]
+    made = spark.createDataFrame(rows, "t array<long>").select(puzzle.next_term(F.col("t")).alias("n"))
+    assert [x["n"] for x in made.collect()] == [(n + 5) ** 2, None, 7 * 3**5, -(2**63) + 5, None, None]

@@ -99,17 +99,21 @@ def gate_outputs() -> Column:
 
 
 def next_term(terms: Column) -> Column:
-    """The next term of an array of five: arithmetic, geometric, each the sum of two before, or squares in a row; else null."""
-    t = [F.get(terms, F.lit(i)) for i in range(5)]
+    """The next term of an array of five: arithmetic, geometric, each the sum of two before, or squares in a row; else null.
+
+    Sums and products are decimals, as those of longs may be beyond a long; a term beyond a long is null.
+    """
+    t = [F.get(terms, F.lit(i)).cast("decimal(19,0)") for i in range(5)]
     arithmetic = (t[1] - t[0] == t[2] - t[1]) & (t[2] - t[1] == t[3] - t[2]) & (t[3] - t[2] == t[4] - t[3])
-    geometric = (t[0] != 0) & (t[1] * t[1] == t[0] * t[2]) & (t[2] * t[2] == t[1] * t[3]) & (t[3] * t[3] == t[2] * t[4]) & (F.pmod(t[4] * t[1], F.when(t[0] != 0, t[0])) == 0)
+    geometric = (t[0] != 0) & (t[1] * t[1] == t[0] * t[2]) & (t[2] * t[2] == t[1] * t[3]) & (t[3] * t[3] == t[2] * t[4]) & ((t[4] * t[1]) % F.when(t[0] != 0, t[0]) == 0)
     summed = (t[2] == t[0] + t[1]) & (t[3] == t[1] + t[2]) & (t[4] == t[2] + t[3])
-    roots = [F.round(F.sqrt(F.when(x >= 0, x))).cast("long") for x in t]
+    roots = [F.round(F.sqrt(F.when(x >= 0, x).cast("double"))).cast("decimal(19,0)") for x in t]
     squares = (roots[0] * roots[0] == t[0]) & (roots[4] * roots[4] == t[4])
     for i in range(1, 5):
         squares = squares & (roots[i] == roots[i - 1] + 1) & (roots[i] * roots[i] == t[i])
-    out = F.when(arithmetic, t[4] + t[1] - t[0]).when(geometric, F.try_divide(t[4] * t[1], t[0])).when(summed, t[3] + t[4])
-    return out.when(squares, (roots[4] + 1) * (roots[4] + 1)).cast("long")
+    whole = lambda x: x.cast("decimal(38,0)")
+    out = F.when(arithmetic, whole(t[4] + t[1] - t[0])).when(geometric, whole(F.try_divide(t[4] * t[1], F.when(t[0] != 0, t[0])))).when(summed, whole(t[3] + t[4]))
+    return out.when(squares, whole((roots[4] + 1) * (roots[4] + 1))).try_cast("long")
 
 
 def format_reward(closed: Column, ordered: Column) -> Column:
