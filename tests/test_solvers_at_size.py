@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracemill import plans
 from tracemill.functions import puzzle, solve
+from tracemill.operators import search
 
 
 def parses(made):
@@ -60,3 +61,19 @@ def test_bits_tell_their_rule_where_three_bytes_do_not(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
     got = plans.QUERIES["solve_bits"](spark, str(tmp_path)).collect()
     assert {(r["p_partkey"], r["answer"], r["rule"]) for r in got} == {(27122, "01100011", "rol1_mask"), (34448, "00110101", "rol1_mask"), (109361, "01011100", "rol1_mask")}
+
+
+def test_cryptarithms_that_differ_by_names_are_searched_once(spark, monkeypatch):
+    rows, cut_ = {}, search.cut
+
+    def kept(df, name):
+        rows[name] = cut_(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(search, "cut", kept)
+    text = "12{34 = 46\n21{13 = 34\nNow, determine the result for: 24{12"
+    name = lambda k: text.translate({ord(str(d)): "!@$%^&"[(d + k) % 6] for d in range(1, 7)}).replace("{", "{|+"[k % 3])
+    made = spark.createDataFrame([(k, name(k)) for k in range(6)] + [(9, "nothing")], "k int, p string")
+    got = {r["k"]: tuple(r)[1:] for r in search.cryptarithms(made, "k", F.col("p")).collect()}
+    assert rows["search-start"].count() == 1
+    assert len({got[k] for k in range(6)}) == 1 and got[9][1] == "unparsed"

@@ -102,6 +102,32 @@ def _symbols(text: Column, digits_are_literal_from: int) -> Column:
     return F.transform(letters(text), lambda x, i: F.struct(x.alias("s"), ((i >= digits_are_literal_from) & F.rlike(x, F.lit("[0-9]"))).alias("lit")))
 
 
+def _renamed(words: Column, seen: Column) -> Column:
+    """Words of (s, lit) with a mark in place of every symbol that is not a literal, by its place among ``seen``."""
+    mark = lambda x: F.substring(F.lit(MARKS), F.array_position(seen, x["s"]).cast("int"), F.lit(1))
+    return F.transform(words, lambda w: F.transform(w, lambda x: F.struct(F.when(x["lit"], x["s"]).otherwise(mark(x)).alias("s"), x["lit"].alias("lit"))))
+
+
+def _puzzles(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, examples, q) with symbols and operators renamed in the order in which they first stand there.
+
+    Which symbols stand for the digits is of no matter to the search: prompts that differ by names alone become equal.
+    """
+    asked = _symbols(F.concat(F.substring("q", 1, 2), F.substring("q", 4, 2)), 5)
+    rows = rows.withColumn("words", F.concat(F.transform("examples", lambda e: e["word"]), F.array(asked)))
+    rows = rows.withColumn("signs", F.concat(F.transform("examples", lambda e: e["sign"]), F.array(F.substring("q", 3, 1))))
+    rows = rows.withColumn("seen", F.array_distinct(F.transform(F.filter(F.flatten("words"), lambda x: ~x["lit"]), lambda x: x["s"])))
+    rows = rows.withColumn("met", F.array_distinct("signs"))
+    fits = (F.size("seen") <= len(MARKS)) & (F.size("met") <= len(MARKS))
+    words = F.when(fits, _renamed(F.col("words"), F.col("seen"))).otherwise(F.col("words"))
+    sign = lambda x: F.substring(F.lit(MARKS), F.array_position("met", x).cast("int"), F.lit(1))
+    signs = F.when(fits, F.transform("signs", sign)).otherwise(F.col("signs"))
+    rows = rows.select("key", words.alias("words"), signs.alias("signs"))
+    n = F.size("words") - 1
+    examples = F.zip_with(F.slice("words", F.lit(1), n), F.slice("signs", F.lit(1), n), lambda w, x: F.struct(w.alias("word"), x.alias("sign")))
+    return rows.select("key", examples.alias("examples"), F.element_at("words", -1).alias("qword"), F.element_at("signs", -1).alias("qsign"))
+
+
 def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) -> DataFrame:
     """(key, answer, status, solutions, answers) of prompts whose digits and operators are hidden behind symbols.
 
@@ -110,7 +136,8 @@ def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) ->
     assignments that keep all examples are found, the most constrained example first; symbols and operators that stand
     in the question alone are tried too. The answer is the result that most assignments give: status 'ok', or 'tie' without
     an answer if two results are given equally often; 'none' if no assignment is left, 'open' if a step would
-    make more than ``nodes`` assignments, 'unparsed' without examples or a question. ``key`` must be unique.
+    make more than ``nodes`` assignments, 'unparsed' without examples or a question. ``key`` must be unique. Prompts that
+    are equal but for the names of their symbols are searched once.
     """
     spark = df.sparkSession
     lines = F.transform(F.split(prompt, "\n"), parse.strip)
@@ -124,14 +151,16 @@ def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) ->
     whole = facts.select(F.concat("operands", "result").alias("text"), "op")
     # Examples by the number of facts of their form, the fewest first.
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    parsed = rows.where((F.size("examples") > 0) & F.col("q").isNotNull())
+    named = cut(_puzzles(rows.where((F.size("examples") > 0) & F.col("q").isNotNull())), "search-named")
+    puzzle = ["examples", "qword", "qsign"]
+    parsed = cut(named.groupBy(*puzzle).agg(F.min("key").alias("key")), "search-puzzles")  # a puzzle goes by the smallest of its keys
     forms = parsed.select("key", F.posexplode("examples").alias("i", "e")).select("key", "i", F.col("e.word").alias("word"), "e.sign", none.alias("known"))
     forms, made = _templates(forms, whole)
     counts = small(cut(made.groupBy("ftemplate").agg(F.count(F.lit(1)).alias("m")), "search-forms"))
     ranked = forms.join(counts, F.col("template") == F.col("ftemplate"), "left").groupBy("key")
     ordered = ranked.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "i", "word", "sign"))).alias("steps"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    states = cut(ordered.join(parsed.select("key", "q"), "key").select("key", "q", "steps", empty.alias("known"), empty.alias("ops")), "search-start")
+    states = cut(ordered.join(parsed.select("key", "qword", "qsign"), "key").select("key", "qword", "qsign", "steps", empty.alias("known"), empty.alias("ops")), "search-start")
     longest = states.agg(F.max(F.size("steps"))).first()[0] or 0
     sign_fits = F.coalesce(F.try_element_at("ops", F.col("sign")) == F.col("op"), F.lit(True))
     learnt = F.when(F.map_contains_key("ops", F.col("sign")), F.col("ops")).otherwise(F.map_concat("ops", F.map_from_arrays(F.array("sign"), F.array("op"))))
@@ -142,7 +171,7 @@ def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) ->
         grown, over = _grown(going, whole, nodes, sign_fits)
         left_open.append(over)
         states = cut(grown.withColumn("ops", learnt).select(states.columns).unionByName(done), f"search-step{k}")
-    last = states.withColumn("word", _symbols(F.concat(F.substring("q", 1, 2), F.substring("q", 4, 2)), 5)).withColumn("sign", F.substring("q", 3, 1))
+    last = states.withColumn("word", F.col("qword")).withColumn("sign", F.col("qsign"))
     grown, over = _grown(last, facts.select(F.col("operands").alias("text"), "op", "result"), nodes, sign_fits)
     left_open.append(over)
     votes = grown.groupBy("key", "result").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +179,9 @@ def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) ->
     told = votes.groupBy("key").agg(best.alias("best"), F.sum("n").alias("solutions"), F.count(F.lit(1)).alias("answers"))
     tied = votes.join(told.select("key", F.col("best.n").alias("n")), ["key", "n"]).groupBy("key").agg((F.count(F.lit(1)) > 1).alias("tied"))
     opened = _union(left_open).distinct().withColumn("is_open", F.lit(True))
-    out = rows.join(told.join(tied, "key"), "key", "left").join(opened, "key", "left")
+    found = cut(parsed.join(told.join(tied, "key"), "key", "left").join(opened, "key", "left").withColumnRenamed("key", "first").drop(*puzzle), "search-found")
+    of = named.join(parsed.select(*puzzle, F.col("key").alias("first")), puzzle).select("key", "first")
+    out = rows.join(of.join(small(found), "first"), "key", "left")
     status = F.when((F.size("examples") == 0) | F.col("q").isNull(), "unparsed").when(F.col("is_open"), "open").when(F.col("best").isNull(), "none").when(F.col("tied"), "tie").otherwise("ok")
     out = out.withColumn("status", status)
     counted = lambda c: F.when(F.col("status").isin("ok", "tie"), F.col(c)).otherwise(F.lit(0)).cast("long").alias(c)
