@@ -77,3 +77,14 @@ def test_cryptarithms_that_differ_by_names_are_searched_once(spark, monkeypatch)
     got = {r["k"]: tuple(r)[1:] for r in search.cryptarithms(made, "k", F.col("p")).collect()}
     assert rows["search-start"].count() == 1
     assert len({got[k] for k in range(6)}) == 1 and got[9][1] == "unparsed"
+
+
+def test_ranks_sum_floors_after_they_are_counted(spark, tmp_path):
+    rows = [(s, "ANR"[i % 3], float(i * 37 % 101), i, i % 7) for s in range(3) for i in range(150 * s + 2)]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string, l_extendedprice double, l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = plans.QUERIES["allocated_ranks"](spark, str(tmp_path))
+    plan = executed(made)
+    assert "Window [sum(" in plan and "Window [sum(" not in plan[plan.index("HashAggregate(keys=[block"):]  # not over all rows of a block
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, made.collect())) == sorted(con.execute(plans.ORACLE_SQL["allocated_ranks"]).fetchall())

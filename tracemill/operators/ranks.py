@@ -21,11 +21,15 @@ def allocate_ranks(values: DataFrame, block: str, component: str, place: str, va
         weight = F.when(F.col(component) == name, F.lit(float(by))).otherwise(weight)
     rows = values.where(F.col(value).isNotNull()).select(block, component, place, (F.col(value) * weight).alias("_w"))
     floor = F.col(place) < least
-    used = F.sum(floor.cast("long")).over(Window.partitionBy(block))
     order = Window.partitionBy(block, floor).orderBy(F.col("_w").desc(), component, place)
-    dealt = rows.select(block, component, floor.alias("_f"), used.alias("_u"), F.row_number().over(order).alias("_k"))
-    taken = F.col("_f") | (F.col("_k") <= total - F.col("_u"))
-    return dealt.groupBy(block, component).agg(F.sum(taken.cast("long")).alias("rank"))
+    dealt = rows.select(block, component, floor.alias("_f"), F.row_number().over(order).alias("_k"))
+    # Floors are counted per component, and no more than ``total`` places are shared: a block's rows are not held for a window over all of them.
+    near = F.sort_array(F.collect_list(F.when(~F.col("_f") & (F.col("_k") <= total), F.col("_k"))))
+    counts = dealt.groupBy(block, component, "_f").agg(F.count(F.lit(1)).alias("_n"), near.alias("_ks"))
+    per = counts.groupBy(block, component).agg(F.coalesce(F.sum(F.when(F.col("_f"), F.col("_n"))), F.lit(0)).alias("_u"), F.flatten(F.collect_list("_ks")).alias("_ks"))
+    used = F.sum("_u").over(Window.partitionBy(block))
+    shared = F.size(F.filter("_ks", lambda k: k <= F.lit(total) - F.col("_used")))
+    return per.withColumn("_used", used).select(block, component, (F.col("_u") + shared).cast("long").alias("rank"))
 
 
 def top_places(scores: Column, k: int) -> Column:
