@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tracemill import plans
-from tracemill.functions import puzzle, solve
+from tracemill.functions import gates, puzzle, solve
 from tracemill.operators import search
 
 
@@ -88,3 +88,18 @@ def test_ranks_sum_floors_after_they_are_counted(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(map(tuple, made.collect())) == sorted(con.execute(plans.ORACLE_SQL["allocated_ranks"]).fetchall())
+
+
+def test_gates_solve_equal_examples_once(spark, monkeypatch):
+    rows, cut_ = {}, gates.cut
+
+    def kept(df, name):
+        rows[name] = cut_(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(gates, "cut", kept)
+    text = "00000000 -> 00000000\n10000001 -> 11111111\nNow, determine the output for: 10000000"
+    made = spark.createDataFrame([(3, text), (1, text), (2, text.replace("10000000", "00000001")), (4, None)], "k int, p string")
+    got = {r["k"]: r for r in gates.per_bit(made, "k", F.col("p")).collect()}
+    assert rows["gate-words"].count() == 2
+    assert got[1]["rules"] == got[3]["rules"] and got[1]["answer"] == got[3]["answer"] == "11111111" and got[2]["answer"] is not None and got[4]["answer"] is None

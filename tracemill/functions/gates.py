@@ -76,8 +76,11 @@ def per_bit(df: DataFrame, key: str, prompt: Column) -> DataFrame:
     pairs = F.array_distinct(F.filter(F.transform(parse.arrows(prompt), lambda e: F.struct(_byte(e["x"]).alias("x"), _byte(e["y"]).alias("y"))), lambda e: e["x"].isNotNull() & e["y"].isNotNull()))
     rows = df.select(F.col(key).alias("key"), pairs.alias("pairs"), _byte(parse.asked(prompt, "output for")).alias("q"))
     # Written down, as the words below look into these arrays again and again.
-    rows = cut(rows.select("key", F.size("pairs").alias("n"), F.transform("pairs", lambda e: e["x"]).alias("xs"), F.transform("pairs", lambda e: e["y"]).alias("ys"), "q"), "gate-examples")
-    bits = rows.where("n > 0 AND q IS NOT NULL")
+    rows = cut(rows.select("key", F.size("pairs").alias("n"), F.transform("pairs", lambda e: e["x"]).alias("xs"), F.transform("pairs", lambda e: e["y"]).alias("ys"), "q", F.sha2(F.to_json(F.struct("pairs", "q")), 256).alias("same")), "gate-examples")
+    # Equal examples and questions, told by a SHA-256 of them, are solved once, by the smallest of their keys.
+    firsts = cut(rows.groupBy("same").agg(F.min("key").alias("first")), "gate-firsts")
+    rows = rows.join(firsts, "same")
+    bits = rows.where("n > 0 AND q IS NOT NULL AND key <=> first")
     bits = bits.select("key", "n", F.expr(_words("xs", "q")).alias("ins"), F.expr(_words("ys", "")).alias("outs"))
     # Which outputs a word of the first WORD examples fits, as bits: one look-up for a gate, however many outputs there are.
     hits = "map_from_arrays(array_distinct(outs[0]), transform(array_distinct(outs[0]), x -> aggregate(sequence(0, 7), 0, (s, j) -> s | IF(outs[0][j] = x, shiftleft(1, j), 0))))"
@@ -97,5 +100,6 @@ def per_bit(df: DataFrame, key: str, prompt: Column) -> DataFrame:
     told = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("j", "m.name", "m.v"))).alias("bits"))
     answer = F.when(F.size("bits") == 8, F.array_join(F.transform("bits", lambda b: b["v"].cast("string")), ""))
     named = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.coalesce(F.try_element_at(F.filter("bits", lambda b: b["j"] == j), F.lit(1))["name"], F.lit("unknown")))
-    posed = rows.select("key", ((F.col("n") > 0) & F.col("q").isNotNull()).alias("posed"))
-    return posed.join(told, "key", "left").select(F.col("key").alias(key), F.when(F.col("posed"), named).alias("rules"), answer.alias("answer"))
+    posed = rows.select("key", "first", ((F.col("n") > 0) & F.col("q").isNotNull()).alias("posed"))
+    told = cut(told.withColumnRenamed("key", "first"), "gate-told")
+    return posed.join(told, "first", "left").select(F.col("key").alias(key), F.when(F.col("posed"), named).alias("rules"), answer.alias("answer"))

@@ -9,7 +9,7 @@ from tracemill.functions import gates, puzzle, transform
 from tracemill.operators import equations, search
 from tracemill.plans.registry import query
 from tracemill.plans.solving import DUCK_GATES, DUCK_OPS
-from tracemill.sources.files import cut
+from tracemill.sources.files import cut, spread
 
 #: Examples of a gate prompt; they fill one word of the solver and part of the next.
 GATE_EXAMPLES = 120
@@ -36,7 +36,7 @@ def solve_gates(t):
     value = lambda e: f"CAST(({e} * 37 + p_partkey * 11) % 256 AS INT)"
     lines = F.expr(f"transform(transform(sequence(0, {GATE_EXAMPLES - 1}), e -> {value('e')}), x -> {shown})")
     prompt = F.concat(F.lit("A secret bit manipulation rule transforms 8-bit binary numbers.\n"), F.array_join(lines, "\n"), F.lit("\nNow, determine the output for: "), F.lpad(F.bin(F.expr(value(str(GATE_EXAMPLES))).cast("long")), 8, "0"))
-    rows = cut(t("part").select("p_partkey", prompt.alias("prompt")), "gate-prompts")
+    rows = cut(spread(t("part").select("p_partkey")).select("p_partkey", prompt.alias("prompt")), "gate-prompts")
     solved = gates.per_bit(rows, "p_partkey", F.col("prompt"))
     return solved.select("p_partkey", "answer", F.size(F.filter("rules", lambda r: r != "unknown")).alias("told"))
 
