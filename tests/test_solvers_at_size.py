@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracemill import plans
 from tracemill.functions import gates, puzzle, solve
-from tracemill.operators import search
+from tracemill.operators import equations, search
 
 
 def parses(made):
@@ -103,3 +103,15 @@ def test_gates_solve_equal_examples_once(spark, monkeypatch):
     got = {r["k"]: r for r in gates.per_bit(made, "k", F.col("p")).collect()}
     assert rows["gate-words"].count() == 2
     assert got[1]["rules"] == got[3]["rules"] and got[1]["answer"] == got[3]["answer"] == "11111111" and got[2]["answer"] is not None and got[4]["answer"] is None
+
+
+def test_equations_shuffle_no_row_a_candidate(spark):
+    rows = [("k", i, str(10 + i * 7 % 90), "+", str(10 + i * 11 % 90), None if i == 1 else str(20 + i * 7 % 90 + i * 11 % 90) if i != 70 else "3", i == 1) for i in range(1, 140)]
+    rows += [("m", 1, "12", "+", "34", None, True), ("m", 2, "56", "+", "17", "73", False), ("m", 3, "21", "+", "13", "34", False)]
+    lines = spark.createDataFrame(rows, "key string, i int, a string, op string, b string, y string, asked boolean")
+    made = equations.solved(lines)
+    assert not [line for line in executed(made).splitlines() if "Exchange hashpartitioning" in line and " o#" in line]
+    got = {r["key"]: r for r in made.collect()}
+    assert got["m"]["rule"] == "addition" and got["m"]["answer"] == "46"
+    missed = {(x["name"], x["a"], x["b"]) for x in got["k"]["rejected"]}
+    assert got["k"]["rule"] is None and len(got["k"]["rejected"]) == 128 and ("addition", "50", "60") in missed  # line 70 alone misses it

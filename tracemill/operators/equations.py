@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.solve import COMMON, RARE, operation_results
+from tracemill.functions.solve import COMMON, RARE, operation_results, with_operation_hits
 
 #: (reversed operands, reversed result) in the order in which they are tried (fixed values); common operations go before rare ones.
 REVERSALS = ((True, True), (False, False), (True, False), (False, True))
@@ -41,10 +41,19 @@ def stages(reversals: tuple[tuple[bool, bool], ...]) -> list[tuple[int, int, int
     return out
 
 
-def _run(results: Column, o: int, operands: bool, result: bool) -> Column:
-    """(o, name, ro, rr, got) of a run of results, numbered from ``o``."""
+def _run(results: Column, o: int, first: int, turn: int, operands: bool, result: bool) -> Column:
+    """(o, name, got, first_miss) of a run of results, numbered from ``o``; bit by bit of miss[turn], whether the line is the first that misses it."""
     got = (lambda x: back(x["result"])) if result else (lambda x: x["result"])
-    return F.transform(results, lambda x, i: F.struct((i + o).alias("o"), x["name"].alias("name"), F.lit(operands).alias("ro"), F.lit(result).alias("rr"), got(x).alias("got")))
+    bit = lambda i: F.call_function("shiftright", F.col("x.miss")[turn], i + first).bitwiseAND(F.lit(1)) == 1
+    return F.transform(results, lambda x, i: F.struct((i + o).alias("o"), x["name"].alias("name"), got(x).alias("got"), bit(i).alias("first_miss")))
+
+
+#: Lines of a key that are put together before the key's; what is left of them is a line per first miss.
+_CHUNK = 64
+_NEW = "zip_with(s.seen, x.miss, (p, q) -> q & ~p)"
+#: Of lines in order, those that miss a candidate as the first, their bits cut down to these.
+_FIRST = f"""aggregate(array_sort(ls), struct(array(0L, 0L, 0L, 0L) AS seen, slice(ls, 1, 0) AS out), (s, x) -> struct(zip_with(s.seen, x.miss, (p, q) -> p | q) AS seen,
+ IF(exists({_NEW}, v -> v <> 0), concat(s.out, array(struct(x.i AS i, x.a AS a, x.b AS b, x.want AS want, x.op AS op, {_NEW} AS miss))), s.out) AS out), s -> s.out)"""
 
 
 def solved(lines: DataFrame, reversals: tuple[tuple[bool, bool], ...] = REVERSALS) -> DataFrame:
@@ -53,32 +62,44 @@ def solved(lines: DataFrame, reversals: tuple[tuple[bool, bool], ...] = REVERSAL
     ``lines`` has key, i, a, op, b (strings) and y, whatever stands as y in the question, the one line of a key with ``asked`` true. The examples of
     the question's operator decide; if it stands in none, those of the most frequent one (the first, of equals) do, and the
     question takes the absolute difference. ``rejected`` lists, in the order tried, (name, a, b, got, want) of the first
-    example that each candidate missed. Without a rule the answer is null. Examples and candidates of a key meet by
-    its key; a key's rows are its examples times the candidates, and what is shuffled is one row per key and candidate.
+    example that each candidate missed. Without a rule the answer is null. An
+    example is shuffled as four longs with a bit per candidate that it misses; of a key's examples only those that are
+    the first to miss one are kept, and candidates are written out for these alone.
     """
     asked = lines.where("asked").select("key", F.col("a").alias("qa"), F.col("op").alias("qop"), F.col("b").alias("qb"))
     examples = lines.where("NOT asked AND y IS NOT NULL").select("key", "i", "a", "op", "b", "y")
     signs = _signs(examples)
     pick = signs.join(asked, "key").groupBy("key", "qa", "qop", "qb").agg(F.min(F.struct((F.col("op") != F.col("qop")).alias("other"), (-F.col("n")).alias("less"), "first", "op", "fmt", "sign")).alias("m"))
     pick = pick.select("key", "qa", "qop", "qb", F.col("m.op").alias("op"), F.col("m.other").alias("unseen"), "m.fmt", "m.sign")
-    e = examples.join(pick, ["key", "op"])
+    e = examples.join(pick.withColumnRenamed("op", "_pop"), "key").where(F.col("op") == F.col("_pop"))
     signed = F.when(F.col("sign").isNull(), F.col("y"))
     signed = signed.when((F.col("fmt") == "suffix") & F.endswith("y", F.col("sign")) & (F.length("y") > 1), F.concat(F.lit("-"), F.left("y", F.length("y") - 1)))
     signed = signed.when((F.col("fmt") == "prefix") & F.startswith("y", F.col("sign")) & (F.length("y") > 1), F.concat(F.lit("-"), F.substring(F.col("y"), F.lit(2), F.length("y")))).otherwise(F.col("y"))
     e = e.withColumn("want", signed)
     turn = lambda a, b: F.struct(F.reverse(a).alias("a"), F.col("op").alias("op"), F.reverse(b).alias("b"))
-    e = e.withColumn("_same", F.struct("a", "op", "b")).withColumn("_turned", turn("a", "b"))
+    # A result reversed is the wanted one if it is that one reversed; what does not come back by reversing twice no result gives.
+    flipped = F.when(back(back(F.col("want"))) == F.col("want"), back(F.col("want")))
+    e = e.select("key", "i", "a", "op", "b", "want", flipped.alias("_back"), F.struct("a", "op", "b").alias("_same"), turn("a", "b").alias("_turned"))
+    turns = [(operands, result) for operands in (False, True) for result in (False, True)]
+    for k, (operands, result) in enumerate(turns):
+        e = with_operation_hits(e, "_turned" if operands else "_same", "_back" if result else "want", f"_h{k}")
+    every = (1 << len(COMMON) + len(RARE)) - 1
+    miss = F.array(*[F.bitwise_not(F.col(f"_h{k}")).bitwiseAND(F.lit(every).cast("long")) for k in range(4)])
+    line = F.struct("i", "a", "b", "want", "op", miss.alias("miss"))
+    chunks = e.groupBy("key", F.floor(F.col("i") / _CHUNK).alias("_chunk")).agg(F.collect_list(line).alias("ls")).select("key", F.expr(_FIRST).alias("ls"))
+    per = chunks.groupBy("key").agg(F.flatten(F.collect_list("ls")).alias("ls")).select("key", F.expr(_FIRST).alias("ls"))
+    missed = F.expr("aggregate(ls, array(0L, 0L, 0L, 0L), (s, x) -> zip_with(s, x.miss, (p, q) -> p | q))")
+    listed = [(o + k, name, operands, result, turns.index((operands, result)), first + k) for o, first, n, operands, result in stages(reversals) for k, (name, _) in enumerate((*COMMON, *RARE)[first : first + n])]
+    listed = ", ".join(f"struct({o} AS o, '{name}' AS name, {str(ro).lower()} AS ro, {str(rr).lower()} AS rr, {c} AS c, {j} AS j)" for o, name, ro, rr, c, j in listed)
+    rule = F.expr(f"try_element_at(filter(array({listed}), r -> shiftright(missed[r.c], r.j) & 1 = 0), 1)")
+    per = per.withColumn("missed", missed).withColumn("rule", rule).select("key", F.struct("rule.o", "rule.name", "rule.ro", "rule.rr").alias("rule"), F.explode_outer("ls").alias("x"))
+    e = per.withColumn("_same", F.struct("x.a", "x.op", "x.b")).withColumn("op", F.col("x.op")).withColumn("_turned", turn(F.col("x.a"), F.col("x.b")))
     e = e.withColumn("_s", operation_results("_same")).withColumn("_t", operation_results("_turned"))
-    runs = [_run(F.slice("_t" if operands else "_s", first + 1, n), o, operands, result) for o, first, n, operands, result in stages(reversals)]
-    tried = e.select("key", "i", "a", "b", "want", F.explode(F.concat(*runs)).alias("c")).select("key", "i", "a", "b", "want", "c.*")
-    wrong = ~F.coalesce(F.col("got") == F.col("want"), F.lit(False))
-    miss = F.min(F.when(wrong, F.struct("i", "a", "b", "got", "want"))).alias("miss")
-    per = tried.groupBy("key", "o", "name", "ro", "rr").agg(miss)
-    rule = F.min(F.when(F.col("miss").isNull(), F.struct("o", "name", "ro", "rr"))).alias("rule")
-    log = F.collect_list(F.when(F.col("miss").isNotNull(), F.struct("o", "name", "miss.a", "miss.b", "miss.got", "miss.want"))).alias("log")
-    told = per.groupBy("key").agg(rule, log)
-    before = F.array_sort(F.filter("log", lambda x: F.col("rule").isNull() | (x["o"] < F.col("rule.o"))))
-    told = told.select("key", "rule", F.transform(before, lambda x: F.struct(x["name"].alias("name"), x["a"].alias("a"), x["b"].alias("b"), x["got"].alias("got"), x["want"].alias("want"))).alias("rejected"))
+    runs = [_run(F.slice("_t" if operands else "_s", first + 1, n), o, first, turns.index((operands, result)), operands, result) for o, first, n, operands, result in stages(reversals)]
+    before = lambda c: c["first_miss"] & (F.col("rule.o").isNull() | (c["o"] < F.col("rule.o")))
+    log = F.transform(F.filter(F.concat(*runs), before), lambda c: F.struct(c["o"].alias("o"), c["name"].alias("name"), F.col("x.a").alias("a"), F.col("x.b").alias("b"), c["got"].alias("got"), F.col("x.want").alias("want")))
+    told = e.select("key", "rule", log.alias("log")).groupBy("key").agg(F.first("rule").alias("rule"), F.array_sort(F.flatten(F.collect_list("log"))).alias("before"))
+    told = told.select("key", "rule", F.transform("before", lambda x: F.struct(x["name"].alias("name"), x["a"].alias("a"), x["b"].alias("b"), x["got"].alias("got"), x["want"].alias("want"))).alias("rejected"))
     out = pick.join(told, "key", "left").withColumns({"_name": F.col("rule.name"), "_ro": F.col("rule.ro"), "_rr": F.col("rule.rr")}).drop("rule")
     turned = F.col("_ro")
     out = out.withColumn("_q", F.struct(F.when(turned, F.reverse("qa")).otherwise(F.col("qa")).alias("a"), F.col("qop").alias("op"), F.when(turned, F.reverse("qb")).otherwise(F.col("qb")).alias("b")))
