@@ -9,6 +9,7 @@ from tracemill.functions import text
 from tracemill.functions.classify import answer_type, drop_reason, first_match, top_score
 from tracemill.operators import profile, rank
 from tracemill.plans.registry import query
+from tracemill.sources.files import cut
 
 
 @query("""
@@ -235,17 +236,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term)
 SELECT lang, term, score FROM r WHERE rn <= 12""")
 def tfidf_ngram_terms(t):
     """TF-IDF of 1- and 2-grams over all documents, accents stripped, L2 norm; per language the 12 terms of the highest mean weight."""
-    docs = t("documents").where("text IS NOT NULL").select("doc_id", "lang", "text")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    words = F.regexp_extract_all(text.strip_accents(F.lower("text")), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    rows = docs.select("doc_id", "lang", words.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    terms = rows.select("doc_id", "lang", F.explode(F.concat("w", pairs)).alias("term"))
-    counts = terms.groupBy("doc_id", "lang", "term").agg(F.count(F.lit(1)).alias("c"))
-    known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df >= 3 AND df <= 0.95D * n")
-    known = known.select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(known, "term").select("doc_id", "lang", "term", ((1 + F.ln("c")) * F.col("idf")).alias("w"))
-    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sums = weights.join(norms, "doc_id").groupBy("lang", "term").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
-    scored = sums.join(F.broadcast(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))), "lang")
-    return rank.cap_per_group(scored.select("lang", "term", F.round(F.col("s") / F.col("docs"), 8).alias("score")), ["lang"], [F.desc("score"), F.col("term")], 12)
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    rest = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), rest(w)), F.slice(w, F.lit(2), rest(w)), lambda a, b: F.concat_ws(" ", a, b))
+    terms = lambda x: F.transform(F.array(words(x)), lambda w: F.concat(w, pairs(w)))[0]
+    low = t("documents").select("doc_id", "lang", F.lower("text").alias("text")).where("text IS NOT NULL")
+    short = text.has_short_accents(F.col("text"))
+    others = cut(low.where(~short).withColumn("text", text.strip_accents(F.col("text"))), "plain-texts")
+    docs = low.where(short).withColumn("text", text.strip_short_accents(F.col("text"))).unionByName(others)
+    return profile.top_terms(docs, "doc_id", "lang", "text", terms, 12)
