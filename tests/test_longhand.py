@@ -3,6 +3,9 @@
 import random
 from decimal import ROUND_DOWN, Decimal, localcontext
 
+import duckdb
+
+from tracemill import plans
 from tracemill.functions import longhand
 
 
@@ -40,3 +43,12 @@ def test_products_and_quotients(spark):
             for line in r["working"]:
                 x, _, y, _, q, _, rest = line.split(" ")
                 assert int(x) == int(y) * int(q) + int(rest) and int(rest) < int(y)
+
+
+def test_parts_are_dealt_to_all_tasks(spark, tmp_path):
+    spark.createDataFrame([(k, k % 50 + 1) for k in range(1, 400)], "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = plans.QUERIES["longhand_arithmetic"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, made.collect())) == sorted(con.execute(plans.ORACLE_SQL["longhand_arithmetic"]).fetchall())

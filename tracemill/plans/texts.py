@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import boxed, classify, compare, longhand, text
 from tracemill.plans.cases import cases_sql, values_sql, with_cases
 from tracemill.plans.registry import query
+from tracemill.sources.files import spread
 
 BOXES = [
     (r"a \boxed{1} b \boxed{2}",), (r"\boxed{\frac{1}{2}} end",), (r"open \boxed{12",), (r"\boxed{}",), ("no box",),
@@ -238,6 +239,6 @@ def longhand_arithmetic(t):
     """Products and quotients of decimals, digit by digit, with the lines that the working takes."""
     a = F.concat(F.expr("CAST(p_partkey * 7919 + 12345 AS STRING)"), F.lit("."), F.lpad(F.expr("CAST(p_partkey % 1000 AS STRING)"), 3, "0"))
     b = F.concat(F.col("p_size").cast("string"), F.lit("."), F.lpad(F.expr("CAST(p_partkey * 37 % 100 AS STRING)"), 2, "0"))
-    rows = t("part").select("p_partkey", a.alias("a"), b.alias("b"))
+    rows = spread(t("part").select("p_partkey", "p_size")).select("p_partkey", a.alias("a"), b.alias("b"))
     made = longhand.long_division(longhand.long_multiplication(rows, "a", "b").withColumn("multiplied", F.size("working")).drop("working"), "a", "b")
     return made.select("p_partkey", "product", "quotient", "multiplied", F.size("working").alias("divided"))
