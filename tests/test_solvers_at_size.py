@@ -115,3 +115,19 @@ def test_equations_shuffle_no_row_a_candidate(spark):
     assert got["m"]["rule"] == "addition" and got["m"]["answer"] == "46"
     missed = {(x["name"], x["a"], x["b"]) for x in got["k"]["rejected"]}
     assert got["k"]["rule"] is None and len(got["k"]["rejected"]) == 128 and ("addition", "50", "60") in missed  # line 70 alone misses it
+
+
+def test_equal_ciphers_are_solved_once(spark, monkeypatch):
+    rows, cut_ = {}, search.cut
+
+    def kept(df, name):
+        rows[name] = cut_(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(search, "cut", kept)
+    text = "bcd -> abc\nNow, decrypt the following text: bcde dcb"
+    made = spark.createDataFrame([(3, text), (1, text), (2, text.replace("dcb", "cdb")), (5, None), (4, None)], "k int, p string")
+    vocabulary = spark.createDataFrame([("abcd",), ("abcx",), ("cba",), ("abca",)], "word string")
+    got = {r["k"]: tuple(r)[1:] for r in search.cipher_words(made, "k", F.col("p"), vocabulary).collect()}
+    assert rows["search-ciphers"].count() == 3 and rows["search-candidates"].count() == 4
+    assert got == {1: (None, "ambiguous", 2), 3: (None, "ambiguous", 2), 2: (None, "ambiguous", 2), 4: (None, "unparsed", 0), 5: (None, "unparsed", 0)}

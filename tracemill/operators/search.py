@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import parse, solve
-from tracemill.sources.files import cut
+from tracemill.sources.files import cut, spread
 
 #: Assignments of one puzzle that a step may make; a puzzle that needs more is left open.
 NODES = 25_000
@@ -232,13 +232,16 @@ def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame,
     letters takes the vocabulary's words that fit its length, pattern and known letters; words whose letters other words
     do not support are taken out until none goes, and what is left is combined, the word with the fewest first. A single
     answer is 'recovered'; several are 'ambiguous', none is 'none', and more than ``nodes`` combinations in a step 'open',
-    all three without an answer. 'unparsed' without examples or a question. ``key`` must be unique.
+    all three without an answer. 'unparsed' without examples or a question. ``key`` must be unique. Equal prompts are solved
+    once.
     """
-    pairs, q = parse.arrows(prompt), parse.asked(prompt, "decrypt")
+    given = cut(df.select(F.col(key).alias("of"), prompt.alias("prompt")), "search-given")
+    first = cut(given.groupBy("prompt").agg(F.min("of").alias("key")), "search-prompts")  # a prompt goes by the smallest of its keys
+    pairs, q = parse.arrows(F.col("prompt")), parse.asked(F.col("prompt"), "decrypt")
     letter = lambda x: F.rlike(x, F.lit(r"^\p{L}$"))
     met = F.flatten(F.transform(pairs, lambda e: F.arrays_zip(letters(e["x"]).alias("c"), letters(e["y"]).alias("p"))))
     even = F.forall(pairs, lambda e: F.length(e["x"]) == F.length(e["y"])) & F.forall(met, lambda z: (z["c"] == " ") == (z["p"] == " "))
-    rows = df.select(F.col(key).alias("key"), q.alias("q"), F.size(pairs).alias("n"), even.alias("even"), F.array_distinct(F.filter(met, lambda z: letter(z["c"]) & letter(z["p"]))).alias("met"))
+    rows = first.select("key", q.alias("q"), F.size(pairs).alias("n"), even.alias("even"), F.array_distinct(F.filter(met, lambda z: letter(z["c"]) & letter(z["p"]))).alias("met"))
     one = F.coalesce(F.col("even") & solve.consistent_both_ways(F.col("met")), F.lit(False))
     rows = rows.withColumn("good", one & (F.col("n") > 0) & F.col("q").isNotNull())
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -247,9 +250,9 @@ def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame,
     rows = rows.withColumn("known", known).withColumn("words", F.when(F.col("good"), F.transform(F.split("q", " "), word)))
     rows = cut(rows.drop("met", "even"), "search-ciphers")
     # Candidates of every word with an unknown letter.
-    each = rows.where("good").select("key", "known", F.posexplode("words").alias("w", "word"))
+    each = spread(rows.where("good"), "key").select("key", "known", F.posexplode("words").alias("w", "word"))
     asked = each.where(F.exists(_open_places(F.col("word"), F.col("known")), lambda o: o))
-    states, made = _templates(asked, vocabulary.select(F.col("word").alias("text"), F.col("word").alias("plain")))
+    states, made = _templates(asked, spread(vocabulary.select("word")).select(F.col("word").alias("text"), F.col("word").alias("plain")))
     fits = states.join(small(made), F.col("template") == F.col("ftemplate")).where(~F.arrays_overlap(F.map_values("known"), F.col("values")))
     candidates = cut(fits.select("key", "w", F.arrays_zip(F.col("new").alias("c"), F.col("values").alias("p")).alias("pairs"), "plain"), "search-candidates")
     candidates, _ = _arc_consistent(candidates)
@@ -265,7 +268,8 @@ def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame,
         many = going.groupBy("key", "w").agg(F.count(F.lit(1)).alias("s")).join(per_word, ["key", "w"])
         over = cut(many.where(F.col("s") * F.col("m") > nodes).select("key"), "search-over")
         left_open.append(over)
-        grown = going.join(small(over), "key", "left_anti").join(candidates, ["key", "w"])
+        # A row of few bytes meets many candidates, so both sides are dealt to all tasks whatever their size.
+        grown = spread(going.join(small(over), "key", "left_anti"), "key", "w").join(spread(candidates, "key", "w"), ["key", "w"])
         grown = grown.where(solve.consistent_both_ways(F.array_distinct(F.concat(_entries("known"), "pairs"))))
         new = F.filter("pairs", lambda z: ~F.map_contains_key("known", z["c"]))
         grown = grown.withColumn("known", F.map_concat("known", F.map_from_entries(new))).withColumn("chosen", F.map_concat("chosen", F.map_from_arrays(F.array(F.col("w").cast("string")), F.array("plain"))))
@@ -282,7 +286,10 @@ def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame,
     )
     out = out.withColumn("status", status)
     answer = F.when(F.col("status") == "mapped", direct).when(F.col("status") == "recovered", F.col("text"))
-    return out.select(F.col("key").alias(key), answer.alias("answer"), "status", F.when(F.col("status") == "mapped", 1).when(F.col("status") != "open", F.coalesce("answers", F.lit(0))).otherwise(0).cast("long").alias("answers"))
+    answers = F.when(F.col("status") == "mapped", 1).when(F.col("status") != "open", F.coalesce("answers", F.lit(0))).otherwise(0)
+    solved = cut(out.select("key", answer.alias("answer"), "status", answers.cast("long").alias("answers")), "search-solved")
+    told = first.join(solved, "key").withColumnRenamed("prompt", "asked")
+    return given.join(told, F.col("prompt").eqNullSafe(F.col("asked"))).select(F.col("of").alias(key), "answer", "status", "answers")
 
 
 def _entries(c: str) -> Column:

@@ -191,7 +191,7 @@ def solve_ciphers_by_words(t):
     vocabulary = cut(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CIPHER_DOCUMENTS).select("word"), "cipher-vocabulary")
     numbered = cut(_numbered(vocabulary), "cipher-numbered")
     n = numbered.count()
-    rows = t("customer").select(F.col("c_custkey").alias("k"), *[((F.col("c_custkey") * a + b) % n).alias(f"i{j}") for j, (a, b) in enumerate(((7919, 13), (104729, 7), (15485863, 3), (32452843, 11)))])
+    rows = spread(t("customer").select("c_custkey")).select(F.col("c_custkey").alias("k"), *[((F.col("c_custkey") * a + b) % n).alias(f"i{j}") for j, (a, b) in enumerate(((7919, 13), (104729, 7), (15485863, 3), (32452843, 11)))])
     for j in range(4):
         rows = rows.join(search.small(numbered.select(F.col("at").alias(f"i{j}"), F.col("word").alias(f"w{j}"))), f"i{j}")
     hide = lambda c: F.translate(c, _LETTERS, _PERMUTED)

@@ -33,10 +33,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt evenly to as many tasks as a shuffle has: a table of few bytes a row is one task's work otherwise."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt, by some columns or all, to as many tasks as a shuffle has: a table of few bytes a row is one task's work otherwise."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *df.columns)
+    return df.repartition(n, *(by or df.columns))
 
 
 def _path(spark: SparkSession, path: str):
