@@ -187,3 +187,10 @@ def test_equations_turned_and_signed(spark):
     assert (got[2]["fmt"], got[2]["answer"]) == ("suffix", "5+") and not got[2]["reversed_operands"]
     assert got[3]["unseen"] and got[3]["answer"] == "6"
     assert got[4]["rule"] is None and got[4]["answer"] is None and len(got[4]["rejected"]) == 4 * len((*equations.COMMON, *equations.RARE))
+
+
+def test_cryptarithms_of_many_assignments_are_searched_whole(spark):
+    made = [([("ab}cd", "abcd")], "ae}fb"), ([("ab}cd", "cdab"), ("ef{ab", "gh")], "ga{eb")]
+    rows = [(k, HEAD + "\n".join(f"{a} = {b}" for a, b in ex) + f"\nNow, determine the result for: {q}") for k, (ex, q) in enumerate(made)]
+    got = {r["k"]: tuple(r)[1:] for r in search.cryptarithms(spark.createDataFrame(rows, "k long, p string"), "k", F.col("p")).collect()}
+    assert got == {k: told(votes_of(*m)) for k, m in enumerate(made)} and max(g[2] for g in got.values()) > 25_000

@@ -2,8 +2,9 @@
 
 A word of symbols and a partial assignment make a template: known symbols as their values, the others as marks in the
 order in which they first stand there. The words that fit it are those with the same template under the same open
-places, so one equality join finds them all, equal symbols get equal values and unlike ones unlike values. An assignment
-that would grow beyond a bound is not cut short: its puzzle is left open and said to be.
+places, so one equality join finds them all, equal symbols get equal values and unlike ones unlike values. Assignments
+are never cut short: those that agree on all that later words ask for are one row with their number, so what is stored
+is what still matters, and answers are counted without being written out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import parse, solve
 from tracemill.sources.files import cut, spread
 
-#: Assignments of one puzzle that a step may make; a puzzle that needs more is left open.
+#: Combinations of a cipher's words that a step may make; a cipher that needs more is left open.
 NODES = 25_000
 #: Rows of template tables, of about 50 bytes, up to which they are broadcast.
 BROADCAST_ROWS = 200_000
@@ -72,20 +73,40 @@ def _shape(open_: str) -> Column:
     return F.concat(F.lit("|"), F.array_join(F.transform(open_, lambda o: F.when(o, ".").otherwise("#")), ""))
 
 
-def _grown(states: DataFrame, facts: DataFrame, nodes: int, fits: Column) -> tuple[DataFrame, DataFrame]:
-    """The states' children over ``facts``, and the keys that would have more than ``nodes`` of them.
+def _grown(states: DataFrame, facts: DataFrame, nodes: int | None, fits: Column) -> tuple[DataFrame, DataFrame | None]:
+    """The states' children over ``facts``, and, if ``nodes`` is given, the keys left out as they would have more than that.
 
-    States keep their columns, ``known`` extended; facts add theirs. ``fits`` is a further condition over both.
+    States keep their columns, ``known`` extended; facts add theirs. No child takes a value of ``known`` or ``used`` again.
+    ``fits`` is a further condition over both.
     """
     states, made = _templates(states, facts)
-    made = small(made)
-    counts = small(cut(made.groupBy("ftemplate").agg(F.count(F.lit(1)).alias("m")), "search-counts"))
-    most = states.select("key", "template").join(counts, F.col("template") == F.col("ftemplate")).groupBy("key").agg(F.sum("m").alias("m"))
-    open_keys = cut(most.where(F.col("m") > nodes).select("key"), "search-open")
-    closed = states.join(small(open_keys), "key", "left_anti")
-    grown = closed.join(made, F.col("template") == F.col("ftemplate")).where(fits & ~F.arrays_overlap(F.map_values("known"), F.col("values")))
-    grown = grown.withColumn("known", F.map_concat("known", F.map_from_arrays("new", "values"))).drop("template", "ftemplate", "new", "values", "word")
-    return grown, open_keys
+    made, over = small(made), None
+    if nodes is not None:
+        counts = small(cut(made.groupBy("ftemplate").agg(F.count(F.lit(1)).alias("m")), "search-counts"))
+        most = states.join(counts, F.col("template") == F.col("ftemplate")).groupBy("key").agg(F.sum(F.col("m") * F.col("n")).alias("m"))
+        over = cut(most.where(F.col("m") > nodes).select("key"), "search-open")
+        states = states.join(small(over), "key", "left_anti")
+    # A row of few bytes meets many facts, so the states are dealt to all tasks whatever their size.
+    grown = spread(states, "key", "known", "used").join(made, F.col("template") == F.col("ftemplate"))
+    grown = grown.where(fits & ~F.arrays_overlap(F.concat(F.map_values("known"), "used"), F.col("values")))
+    return grown.withColumn("known", F.map_concat("known", F.map_from_arrays("new", "values"))).drop("template", "ftemplate", "new", "values", "word"), over
+
+
+def _merged(states: DataFrame) -> DataFrame:
+    """States (key, known, ops, used, n) that agree on all that is still asked for, as one with their number.
+
+    Of ``known`` and ``ops`` only what the columns ``ahead`` and ``signs`` name stays; the values of other symbols go to ``used``,
+    where it no longer matters which symbol has which.
+    """
+    later = lambda s: F.array_contains("ahead", s)
+    known, ops = F.map_entries("known"), F.map_entries("ops")
+    gone = F.transform(F.filter(known, lambda e: ~later(e["key"])), lambda e: e["value"])
+    states = states.select(
+        "key", F.array_sort(F.filter(known, lambda e: later(e["key"]))).alias("known"), F.array_sort(F.filter(ops, lambda e: F.array_contains("signs", e["key"]))).alias("ops"),
+        F.array_sort(F.concat("used", gone)).alias("used"), "n",
+    )
+    merged = states.groupBy("key", "known", "ops", "used").agg(F.sum("n").alias("n"))
+    return merged.select("key", F.map_from_entries("known").alias("known"), F.map_from_entries("ops").alias("ops"), "used", "n")
 
 
 def _facts(spark: SparkSession) -> DataFrame:
@@ -128,16 +149,16 @@ def _puzzles(rows: DataFrame) -> DataFrame:
     return rows.select("key", examples.alias("examples"), F.element_at("words", -1).alias("qword"), F.element_at("signs", -1).alias("qsign"))
 
 
-def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) -> DataFrame:
+def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int | None = None) -> DataFrame:
     """(key, answer, status, solutions, answers) of prompts whose digits and operators are hidden behind symbols.
 
     Lines 'xyOzw = result' of five and one to four characters are the examples, 'result for: xyOzw' asks. Symbols stand for
     distinct digits, operator symbols for one of OPERATIONS each; digits in a result stand for themselves. All
     assignments that keep all examples are found, the most constrained example first; symbols and operators that stand
     in the question alone are tried too. The answer is the result that most assignments give: status 'ok', or 'tie' without
-    an answer if two results are given equally often; 'none' if no assignment is left, 'open' if a step would
-    make more than ``nodes`` assignments, 'unparsed' without examples or a question. ``key`` must be unique. Prompts that
-    are equal but for the names of their symbols are searched once.
+    an answer if two results are given equally often; 'none' if no assignment is left, 'unparsed' without examples or a
+    question. The search is whole; only a caller who gives ``nodes`` has puzzles left 'open' of which a step would make more
+    assignments. ``key`` must be unique. Prompts that are equal but for the names of their symbols are searched once.
     """
     spark = df.sparkSession
     lines = F.transform(F.split(prompt, "\n"), parse.strip)
@@ -159,26 +180,29 @@ def cryptarithms(df: DataFrame, key: str, prompt: Column, nodes: int = NODES) ->
     counts = small(cut(made.groupBy("ftemplate").agg(F.count(F.lit(1)).alias("m")), "search-forms"))
     ranked = forms.join(counts, F.col("template") == F.col("ftemplate"), "left").groupBy("key")
     ordered = ranked.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "i", "word", "sign"))).alias("steps"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    states = cut(ordered.join(parsed.select("key", "qword", "qsign"), "key").select("key", "qword", "qsign", "steps", empty.alias("known"), empty.alias("ops")), "search-start")
-    longest = states.agg(F.max(F.size("steps"))).first()[0] or 0
+    steps = cut(ordered.join(parsed.select("key", "qword", "qsign"), "key"), "search-steps")
+    states = cut(steps.select("key", none.alias("known"), none.alias("ops"), F.array().cast("array<string>").alias("used"), F.lit(1).cast("long").alias("n")), "search-start")
+    longest = steps.agg(F.max(F.size("steps"))).first()[0] or 0
+    steps = small(steps)
     sign_fits = F.coalesce(F.try_element_at("ops", F.col("sign")) == F.col("op"), F.lit(True))
     learnt = F.when(F.map_contains_key("ops", F.col("sign")), F.col("ops")).otherwise(F.map_concat("ops", F.map_from_arrays(F.array("sign"), F.array("op"))))
     left_open: list[DataFrame] = []
     for k in range(longest):
-        done = states.where(F.size("steps") <= k)
-        going = states.where(F.size("steps") > k).withColumn("word", F.expr(f"steps[{k}].word")).withColumn("sign", F.expr(f"steps[{k}].sign"))
-        grown, over = _grown(going, whole, nodes, sign_fits)
+        left = f"slice(steps, {k + 2}, size(steps))"
+        ahead = F.expr(f"transform(filter(concat(flatten({left}.word), qword), x -> NOT x.lit), x -> x.s)")
+        step = steps.where(F.size("steps") > k).select("key", F.expr(f"steps[{k}].word").alias("word"), F.expr(f"steps[{k}].sign").alias("sign"), ahead.alias("ahead"), F.expr(f"concat({left}.sign, array(qsign))").alias("signs"))
+        done = states.join(steps.where(F.size("steps") <= k).select("key"), "key", "left_semi")
+        grown, over = _grown(states.join(step, "key"), whole, nodes, sign_fits)
         left_open.append(over)
-        states = cut(grown.withColumn("ops", learnt).select(states.columns).unionByName(done), f"search-step{k}")
-    last = states.withColumn("word", F.col("qword")).withColumn("sign", F.col("qsign"))
+        states = cut(_merged(grown.withColumn("ops", learnt)).unionByName(done), f"search-step{k}")
+    last = states.join(steps.select("key", F.col("qword").alias("word"), F.col("qsign").alias("sign")), "key")
     grown, over = _grown(last, facts.select(F.col("operands").alias("text"), "op", "result"), nodes, sign_fits)
     left_open.append(over)
-    votes = grown.groupBy("key", "result").agg(F.count(F.lit(1)).alias("n"))
+    votes = cut(grown.groupBy("key", "result").agg(F.sum("n").alias("n")), "search-votes")
     best = F.max(F.struct("n", "result"))
     told = votes.groupBy("key").agg(best.alias("best"), F.sum("n").alias("solutions"), F.count(F.lit(1)).alias("answers"))
     tied = votes.join(told.select("key", F.col("best.n").alias("n")), ["key", "n"]).groupBy("key").agg((F.count(F.lit(1)) > 1).alias("tied"))
-    opened = _union(left_open).distinct().withColumn("is_open", F.lit(True))
+    opened = _union(x if x is not None else parsed.select("key").limit(0) for x in left_open).distinct().withColumn("is_open", F.lit(True))
     found = cut(parsed.join(told.join(tied, "key"), "key", "left").join(opened, "key", "left").withColumnRenamed("key", "first").drop(*puzzle), "search-found")
     of = named.join(parsed.select(*puzzle, F.col("key").alias("first")), puzzle).select("key", "first")
     out = rows.join(of.join(small(found), "first"), "key", "left")
