@@ -194,3 +194,14 @@ def test_cryptarithms_of_many_assignments_are_searched_whole(spark):
     rows = [(k, HEAD + "\n".join(f"{a} = {b}" for a, b in ex) + f"\nNow, determine the result for: {q}") for k, (ex, q) in enumerate(made)]
     got = {r["k"]: tuple(r)[1:] for r in search.cryptarithms(spark.createDataFrame(rows, "k long, p string"), "k", F.col("p")).collect()}
     assert got == {k: told(votes_of(*m)) for k, m in enumerate(made)} and max(g[2] for g in got.values()) > 25_000
+
+
+def test_ciphers_of_many_combinations_are_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 5000)
+    abc = "abcdefghijklm"
+    words = sorted({"".join(x) for x in combinations(abc, 3)} | {"".join(reversed(x)) for x in combinations(abc, 3)} | {"noq", "nop"})
+    made = [([("zz", "yy")], "def ghi"), ([("zz", "yy")], "def efg"), ([("zy", "no")], "zyx"), ([("zy", "no")], "zyx def"), ([("zy", "no"), ("xw", "pa")], "zyx xyz def fed"), ([("zyx", "nop")], "zyx zyv")]
+    rows = [(k, "Secret encryption.\n" + "\n".join(f"{a} -> {b}" for a, b in ex) + "\nNow, decrypt the following text: " + q) for k, (ex, q) in enumerate(made)]
+    got = {r["k"]: tuple(r)[1:] for r in search.cipher_words(spark.createDataFrame(rows, "k long, p string"), "k", F.col("p"), spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {k: deciphered(ex, q, words) for k, (ex, q) in enumerate(made)}
+    assert got[0][2] > 25_000 and got[5] == ("nop noq", "recovered", 1)

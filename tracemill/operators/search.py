@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tracemill.functions import parse, solve
 from tracemill.sources.files import cut, spread
 
-#: Combinations of a cipher's words that a step may make; a cipher that needs more is left open.
-NODES = 25_000
+#: Pairs of one cipher's partial answers and candidates that a task looks at before they are parted further.
+PAIRS = 1_000_000
 #: Rows of template tables, of about 50 bytes, up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 #: Marks of open places, none of which is a digit or a letter.
@@ -248,16 +248,62 @@ def _arc_consistent(candidates: DataFrame) -> tuple[DataFrame, int]:
         n = left
 
 
-def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame, nodes: int = NODES) -> DataFrame:
+def _combined(needed: DataFrame, candidates: DataFrame, nodes: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(key, n, t0, t1, ...) of every cipher with an answer, the keys left open, and the largest number of words.
+
+    ``needed`` has the words of a cipher in ``order``, (m, w, new): its candidates, its place and its unknown letters. ``n`` is the
+    number of ways in which candidates of all words go together, t the ids of those taken if there is but one. After a
+    word, ways that are alike in the letters of the words to come and in the plain letters used are one row; so are the
+    candidates alike in them before they are joined.
+    """
+    pairs = "array<struct<c:string,p:string>>"
+    among = lambda x, s: F.filter(x, lambda z: F.array_contains(s, z["c"]))
+    apart = lambda x, s: F.filter(x, lambda z: ~F.array_contains(s, z["c"]))
+    plain = lambda x: F.transform(x, lambda z: z["p"])
+    letters_of = lambda at, n: F.expr(f"array_distinct(flatten(slice(order, {at}, {n}).new))")
+    states = needed.select("key", F.array().cast(pairs).alias("known"), F.array().cast("array<string>").alias("used"), F.lit(1).cast("long").alias("n"))
+    longest = needed.agg(F.max(F.size("order"))).first()[0] or 0
+    left_open = needed.select("key").limit(0)
+    for k in range(longest):
+        step = needed.where(F.size("order") > k).select("key", F.expr(f"order[{k}].w").alias("w"), F.expr(f"order[{k}].m").alias("m"), F.expr(f"order[{k}].new").alias("new"), letters_of(1, k).alias("met"), letters_of(k + 2, "size(order)").alias("ahead"))
+        done = states.join(needed.where(F.size("order") <= k).select("key"), "key", "left_semi")
+        going = states.join(step.select("key", "new", "ahead"), "key")
+        sizes = cut(states.groupBy("key").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("n")).join(step.select("key", "m"), "key"), "search-sizes")
+        if nodes is not None:
+            over = cut(sizes.where(F.col("n") * F.col("m") > nodes).select("key"), "search-over")
+            left_open, going = left_open.unionByName(over), going.join(small(over), "key", "left_anti")
+        # Of a cipher with many pairs the states are dealt to parts, and every part has all candidates.
+        parts = F.least("s", F.ceil(F.col("s") * F.col("m") / PAIRS)).cast("int")
+        wide = small(cut(sizes.select("key", parts.alias("parts")).where("parts > 1"), "search-wide"))
+        going = going.join(wide, "key", "left").withColumn("part", F.coalesce(F.pmod(F.hash("known", "used"), "parts"), F.lit(0)))
+        going = going.withColumn("shared", F.array_sort(among("known", F.col("new")))).drop("new", "parts")
+        fresh = apart("pairs", F.col("met"))
+        alike = candidates.join(step.select("key", "w", "met", "ahead"), ["key", "w"]).select(
+            "key", "id", F.array_sort(among("pairs", F.col("met"))).alias("shared"), F.array_sort(among(fresh, F.col("ahead"))).alias("fresh"), F.array_sort(plain(apart(fresh, F.col("ahead")))).alias("gone"),
+        )
+        alike = alike.groupBy("key", "shared", "fresh", "gone").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias(f"t{k}"))
+        alike = alike.join(wide, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        # A row of few bytes meets many candidates, so both sides are dealt to all tasks whatever their size.
+        at = ["key", "shared", "part"]
+        grown = spread(going, *at).join(spread(alike, *at), at).where(~F.arrays_overlap(F.concat(plain("fresh"), "gone"), F.concat(plain("known"), "used")))
+        used = F.when(F.size("ahead") > 0, F.array_sort(F.concat("used", plain(apart("known", F.col("ahead"))), "gone"))).otherwise(F.array().cast("array<string>"))
+        ways = grown.select("key", F.array_sort(F.concat(among("known", F.col("ahead")), "fresh")).alias("known"), used.alias("used"), (F.col("n") * F.col("m")).alias("n"), *[f"t{j}" for j in range(k + 1)])
+        states = ways.groupBy("key", "known", "used").agg(F.sum("n").alias("n"), *[F.min(f"t{j}").alias(f"t{j}") for j in range(k + 1)])
+        states = cut(states.unionByName(done.withColumn(f"t{k}", F.lit(None).cast("long"))), f"search-words{k}")
+    return states.drop("known", "used"), left_open, longest
+
+
+def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame, nodes: int | None = None) -> DataFrame:
     """(key, answer, status, answers) of substitution ciphers; what the examples leave unknown comes from a vocabulary.
 
     ``vocabulary`` has a column word of distinct words. A prompt's examples must give a map that is one to one both ways
     ('conflict' otherwise). If it knows all letters of the question, the status is 'mapped'. Else every word with unknown
     letters takes the vocabulary's words that fit its length, pattern and known letters; words whose letters other words
     do not support are taken out until none goes, and what is left is combined, the word with the fewest first. A single
-    answer is 'recovered'; several are 'ambiguous', none is 'none', and more than ``nodes`` combinations in a step 'open',
-    all three without an answer. 'unparsed' without examples or a question. ``key`` must be unique. Equal prompts are solved
-    once.
+    answer is 'recovered'; several are 'ambiguous', none is 'none', both without an answer. All combinations count: those
+    alike in the letters that later words ask for are one row with their number. Only a caller who gives ``nodes`` has
+    ciphers left 'open' of which a step would make more. 'unparsed' without examples or a question. ``key`` must be unique.
+    Equal prompts are solved once.
     """
     given = cut(df.select(F.col(key).alias("of"), prompt.alias("prompt")), "search-given")
     first = cut(given.groupBy("prompt").agg(F.min("of").alias("key")), "search-prompts")  # a prompt goes by the smallest of its keys
@@ -278,30 +324,20 @@ def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame,
     asked = each.where(F.exists(_open_places(F.col("word"), F.col("known")), lambda o: o))
     states, made = _templates(asked, spread(vocabulary.select("word")).select(F.col("word").alias("text"), F.col("word").alias("plain")))
     fits = states.join(small(made), F.col("template") == F.col("ftemplate")).where(~F.arrays_overlap(F.map_values("known"), F.col("values")))
-    candidates = cut(fits.select("key", "w", F.arrays_zip(F.col("new").alias("c"), F.col("values").alias("p")).alias("pairs"), "plain"), "search-candidates")
+    pairs_ = F.arrays_zip(F.col("new").alias("c"), F.col("values").alias("p"))
+    candidates = cut(fits.select("key", "w", pairs_.alias("pairs"), "plain", F.monotonically_increasing_id().alias("id")), "search-candidates")
     candidates, _ = _arc_consistent(candidates)
     per_word = candidates.groupBy("key", "w").agg(F.count(F.lit(1)).alias("m"))
-    needed = asked.select("key", "w").join(per_word, ["key", "w"], "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "w"))).alias("order"))
-    states = cut(needed.select("key", F.expr("transform(order, o -> o.w)").alias("order"), none.alias("known"), none.alias("chosen")), "search-states")
-    longest = states.agg(F.max(F.size("order"))).first()[0] or 0
-    left_open = []
-    for k in range(longest):
-        done = states.where(F.size("order") <= k)
-        going = states.where(F.size("order") > k).withColumn("w", F.expr(f"order[{k}]"))
-        # What a step may make is counted before it is made.
-        many = going.groupBy("key", "w").agg(F.count(F.lit(1)).alias("s")).join(per_word, ["key", "w"])
-        over = cut(many.where(F.col("s") * F.col("m") > nodes).select("key"), "search-over")
-        left_open.append(over)
-        # A row of few bytes meets many candidates, so both sides are dealt to all tasks whatever their size.
-        grown = spread(going.join(small(over), "key", "left_anti"), "key", "w").join(spread(candidates, "key", "w"), ["key", "w"])
-        grown = grown.where(solve.consistent_both_ways(F.array_distinct(F.concat(_entries("known"), "pairs"))))
-        new = F.filter("pairs", lambda z: ~F.map_contains_key("known", z["c"]))
-        grown = grown.withColumn("known", F.map_concat("known", F.map_from_entries(new))).withColumn("chosen", F.map_concat("chosen", F.map_from_arrays(F.array(F.col("w").cast("string")), F.array("plain"))))
-        states = cut(grown.select(done.columns).unionByName(done), f"search-words{k}")
-    found = states.join(rows.select("key", "words", F.col("known").alias("map")), "key")
+    needed = states.select("key", "w", "new").join(per_word, ["key", "w"], "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "w", "new"))).alias("order"))
+    needed = cut(needed, "search-order")
+    found, left_open, longest = _combined(needed, candidates, nodes)
+    # The words of a single answer are looked up, the others are but counted.
+    taken = found.where("n = 1").select("key", F.explode(F.array(*[f"t{k}" for k in range(longest)], F.lit(None).cast("long"))).alias("id")).where("id IS NOT NULL")
+    chosen = taken.join(candidates.select("key", "id", "w", "plain"), ["key", "id"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("string"), "plain"))).alias("chosen"))
+    single = chosen.join(rows.select("key", "words", F.col("known").alias("map")), "key")
     text = F.array_join(F.transform("words", lambda x, i: F.coalesce(F.try_element_at("chosen", i.cast("string")), F.array_join(_told(x, F.col("map")), ""))), " ")
-    told = found.select("key", text.alias("text")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("answers"), F.min("text").alias("text"))
-    opened = (_union(left_open) if left_open else states.select("key").limit(0)).distinct().withColumn("is_open", F.lit(True))
+    told = found.select("key", F.col("n").alias("answers")).join(single.select("key", text.alias("text")), "key", "left")
+    opened = left_open.distinct().withColumn("is_open", F.lit(True))
     out = rows.join(told, "key", "left").join(opened, "key", "left").join(needed.select("key", F.lit(True).alias("short")), "key", "left")
     direct = F.array_join(F.transform("words", lambda x: F.array_join(_told(x, F.col("known")), "")), " ")
     status = (
@@ -314,7 +350,3 @@ def cipher_words(df: DataFrame, key: str, prompt: Column, vocabulary: DataFrame,
     solved = cut(out.select("key", answer.alias("answer"), "status", answers.cast("long").alias("answers")), "search-solved")
     told = first.join(solved, "key").withColumnRenamed("prompt", "asked")
     return given.join(told, F.col("prompt").eqNullSafe(F.col("asked"))).select(F.col("of").alias(key), "answer", "status", "answers")
-
-
-def _entries(c: str) -> Column:
-    return F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("c"), e["value"].alias("p")))
