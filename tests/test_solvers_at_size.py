@@ -131,3 +131,22 @@ def test_equal_ciphers_are_solved_once(spark, monkeypatch):
     got = {r["k"]: tuple(r)[1:] for r in search.cipher_words(made, "k", F.col("p"), vocabulary).collect()}
     assert rows["search-ciphers"].count() == 3 and rows["search-candidates"].count() == 4
     assert got == {1: (None, "ambiguous", 2), 3: (None, "ambiguous", 2), 2: (None, "ambiguous", 2), 4: (None, "unparsed", 0), 5: (None, "unparsed", 0)}
+
+
+def test_equations_work_out_equal_lines_once_and_write_logs_out_within_their_row(spark, monkeypatch):
+    rows, cut_ = {}, equations.cut
+
+    def kept(df, name):
+        rows[name] = cut_(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(equations, "cut", kept)
+    lines = [(k, i, str(20 + i), "+", "13", None if i == 1 else f"+{i}" if k == 7 else str(33 + i + (k == 5 and i == 3)), i == 1) for k in range(9) for i in range(1, 5)] + [(9, 1, "12", "+", "34", None, True), (9, 2, "10", None, "20", "30", False)]
+    df = spark.createDataFrame(lines, "key int, i int, a string, op string, b string, y string, asked boolean")
+    made = equations.solved(df)
+    got = {r["key"]: r.asDict(recursive=True) for r in made.collect()}
+    assert rows["equation-misses"].count() == 11  # three sums, one wrong, three signed as they stand and with a minus, and the line without an operator
+    logs = [line for line in executed(made).splitlines() if "Generate" in line]
+    assert not logs and got[0]["rule"] == "addition" and got[0]["answer"] == "34" and got[5]["rule"] is None and len(got[5]["rejected"]) == 128
+    monkeypatch.setattr(equations, "BROADCAST_ROWS", 3)
+    assert {r["key"]: r.asDict(recursive=True) for r in equations.solved(df).collect()} == got

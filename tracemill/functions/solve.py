@@ -181,6 +181,13 @@ def operation_results(e: str) -> Column:
     return F.expr("array(" + ", ".join(f"named_struct('name', '{name}', 'result', {sql})" for name, sql in _operation_sqls(_operands(e))) + ")")
 
 
+def operation_texts(a: str, b: str) -> str:
+    """SQL of the results of all operations on two strings, an array in their order, where the operands are read once."""
+    operands = ", ".join(f"{sql} AS {n}" for n, sql in _operands("e").items())
+    results = ", ".join(sql for _, sql in _operation_sqls({n: f"v.{n}" for n in _operands("e")}))
+    return f"transform(transform(array(struct({a} AS a, {b} AS b)), e -> struct({operands})), v -> array({results}))[0]"
+
+
 def with_operation_hits(df: DataFrame, e: str, y: str, hits: str) -> DataFrame:
     """``df`` with ``hits``, a long with a bit for every operation on the struct column ``e``, in their order, whose result is the string ``y``.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.solve import COMMON, RARE, operation_results, with_operation_hits
+from tracemill.functions.solve import COMMON, RARE, operation_results, operation_texts, with_operation_hits
+from tracemill.operators.search import BROADCAST_ROWS
+from tracemill.sources.files import cut, spread
 
 #: (reversed operands, reversed result) in the order in which they are tried (fixed values); common operations go before rare ones.
 REVERSALS = ((True, True), (False, False), (True, False), (False, True))
@@ -41,11 +43,35 @@ def stages(reversals: tuple[tuple[bool, bool], ...]) -> list[tuple[int, int, int
     return out
 
 
-def _run(results: Column, o: int, first: int, turn: int, operands: bool, result: bool) -> Column:
-    """(o, name, got, first_miss) of a run of results, numbered from ``o``; bit by bit of miss[turn], whether the line is the first that misses it."""
-    got = (lambda x: back(x["result"])) if result else (lambda x: x["result"])
-    bit = lambda i: F.call_function("shiftright", F.col("x.miss")[turn], i + first).bitwiseAND(F.lit(1)) == 1
-    return F.transform(results, lambda x, i: F.struct((i + o).alias("o"), x["name"].alias("name"), got(x).alias("got"), bit(i).alias("first_miss")))
+def _misses(df: DataFrame) -> DataFrame:
+    """``df`` (a, b and want among its columns) with ``miss``, four longs with a bit for every operation that does not give ``want``, as it stands or turned."""
+    kept = df.columns
+    turned = F.struct(F.reverse("a").alias("a"), F.reverse("b").alias("b"))
+    # A result reversed is the wanted one if it is that one reversed; what does not come back by reversing twice no result gives.
+    flipped = F.when(back(back(F.col("want"))) == F.col("want"), back(F.col("want")))
+    df = df.select("*", flipped.alias("_back"), F.struct("a", "b").alias("_same"), turned.alias("_turned"))
+    for k, (operands, result) in enumerate((x, y) for x in (False, True) for y in (False, True)):
+        df = with_operation_hits(df, "_turned" if operands else "_same", "_back" if result else "want", f"_h{k}")
+    every = (1 << len(COMMON) + len(RARE)) - 1
+    return df.select(*kept, F.array(*[F.bitwise_not(F.col(f"_h{k}")).bitwiseAND(F.lit(every).cast("long")) for k in range(4)]).alias("miss"))
+
+
+def _with_misses(e: DataFrame, examples: DataFrame) -> DataFrame:
+    """``e`` with ``miss``, worked out once for equal lines if few are unlike, as operands of two digits are; else line by line.
+
+    What a line wants is its example's y or, where a sign stands behind or before, that with a minus in front.
+    """
+    y, long = F.col("y"), F.length("y") > 1
+    signed = lambda f: long & (f(y, F.lit("-")) | f(y, F.col("op")))
+    after = F.when(signed(F.endswith), F.concat(F.lit("-"), F.left("y", F.length("y") - 1)))
+    before = F.when(signed(F.startswith), F.concat(F.lit("-"), F.substring(y, F.lit(2), F.length("y"))))
+    unlike = examples.select("a", "b", F.explode(F.array_compact(F.array(y, after, before))).alias("want")).distinct().limit(BROADCAST_ROWS + 1)
+    unlike = cut(unlike, "equation-lines")
+    if unlike.count() > BROADCAST_ROWS:
+        return _misses(e)
+    known = cut(_misses(spread(unlike)), "equation-misses").select(*[F.col(c).alias(f"_{c}") for c in ("a", "b", "want")], "miss")
+    same = F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")) & F.col("want").eqNullSafe(F.col("_want"))
+    return e.join(F.broadcast(known), same).drop("_a", "_b", "_want")
 
 
 #: Lines of a key that are put together before the key's; what is left of them is a line per first miss.
@@ -64,7 +90,8 @@ def solved(lines: DataFrame, reversals: tuple[tuple[bool, bool], ...] = REVERSAL
     question takes the absolute difference. ``rejected`` lists, in the order tried, (name, a, b, got, want) of the first
     example that each candidate missed. Without a rule the answer is null. An
     example is shuffled as four longs with a bit per candidate that it misses; of a key's examples only those that are
-    the first to miss one are kept, and candidates are written out for these alone.
+    the first to miss one are kept, and candidates are written out for these alone, within the key's row: each in its turn
+    looks up its line and that line's result.
     """
     asked = lines.where("asked").select("key", F.col("a").alias("qa"), F.col("op").alias("qop"), F.col("b").alias("qb"))
     examples = lines.where("NOT asked AND y IS NOT NULL").select("key", "i", "a", "op", "b", "y")
@@ -76,31 +103,24 @@ def solved(lines: DataFrame, reversals: tuple[tuple[bool, bool], ...] = REVERSAL
     signed = signed.when((F.col("fmt") == "suffix") & F.endswith("y", F.col("sign")) & (F.length("y") > 1), F.concat(F.lit("-"), F.left("y", F.length("y") - 1)))
     signed = signed.when((F.col("fmt") == "prefix") & F.startswith("y", F.col("sign")) & (F.length("y") > 1), F.concat(F.lit("-"), F.substring(F.col("y"), F.lit(2), F.length("y")))).otherwise(F.col("y"))
     e = e.withColumn("want", signed)
-    turn = lambda a, b: F.struct(F.reverse(a).alias("a"), F.col("op").alias("op"), F.reverse(b).alias("b"))
-    # A result reversed is the wanted one if it is that one reversed; what does not come back by reversing twice no result gives.
-    flipped = F.when(back(back(F.col("want"))) == F.col("want"), back(F.col("want")))
-    e = e.select("key", "i", "a", "op", "b", "want", flipped.alias("_back"), F.struct("a", "op", "b").alias("_same"), turn("a", "b").alias("_turned"))
+    e = _with_misses(e.select("key", "i", "a", "op", "b", "want"), examples)
     turns = [(operands, result) for operands in (False, True) for result in (False, True)]
-    for k, (operands, result) in enumerate(turns):
-        e = with_operation_hits(e, "_turned" if operands else "_same", "_back" if result else "want", f"_h{k}")
-    every = (1 << len(COMMON) + len(RARE)) - 1
-    miss = F.array(*[F.bitwise_not(F.col(f"_h{k}")).bitwiseAND(F.lit(every).cast("long")) for k in range(4)])
-    line = F.struct("i", "a", "b", "want", "op", miss.alias("miss"))
+    line = F.struct("i", "a", "b", "want", "op", "miss")
     chunks = e.groupBy("key", F.floor(F.col("i") / _CHUNK).alias("_chunk")).agg(F.collect_list(line).alias("ls")).select("key", F.expr(_FIRST).alias("ls"))
-    per = chunks.groupBy("key").agg(F.flatten(F.collect_list("ls")).alias("ls")).select("key", F.expr(_FIRST).alias("ls"))
-    missed = F.expr("aggregate(ls, array(0L, 0L, 0L, 0L), (s, x) -> zip_with(s, x.miss, (p, q) -> p | q))")
+    # Joined before candidates are written out, so that no long row is sorted.
+    per = pick.join(chunks.groupBy("key").agg(F.flatten(F.collect_list("ls")).alias("ls")).select("key", F.expr(_FIRST).alias("ls")), "key", "left")
+    # What a function over all candidates reads is bound outside of it: the optimizer would put a column's expression inside, to be worked out for each.
+    missed = "aggregate(ls, array(0L, 0L, 0L, 0L), (s, x) -> zip_with(s, x.miss, (p, q) -> p | q))"
     listed = [(o + k, name, operands, result, turns.index((operands, result)), first + k) for o, first, n, operands, result in stages(reversals) for k, (name, _) in enumerate((*COMMON, *RARE)[first : first + n])]
-    listed = ", ".join(f"struct({o} AS o, '{name}' AS name, {str(ro).lower()} AS ro, {str(rr).lower()} AS rr, {c} AS c, {j} AS j)" for o, name, ro, rr, c, j in listed)
-    rule = F.expr(f"try_element_at(filter(array({listed}), r -> shiftright(missed[r.c], r.j) & 1 = 0), 1)")
-    per = per.withColumn("missed", missed).withColumn("rule", rule).select("key", F.struct("rule.o", "rule.name", "rule.ro", "rule.rr").alias("rule"), F.explode_outer("ls").alias("x"))
-    e = per.withColumn("_same", F.struct("x.a", "x.op", "x.b")).withColumn("op", F.col("x.op")).withColumn("_turned", turn(F.col("x.a"), F.col("x.b")))
-    e = e.withColumn("_s", operation_results("_same")).withColumn("_t", operation_results("_turned"))
-    runs = [_run(F.slice("_t" if operands else "_s", first + 1, n), o, first, turns.index((operands, result)), operands, result) for o, first, n, operands, result in stages(reversals)]
-    before = lambda c: c["first_miss"] & (F.col("rule.o").isNull() | (c["o"] < F.col("rule.o")))
-    log = F.transform(F.filter(F.concat(*runs), before), lambda c: F.struct(c["o"].alias("o"), c["name"].alias("name"), F.col("x.a").alias("a"), F.col("x.b").alias("b"), c["got"].alias("got"), F.col("x.want").alias("want")))
-    told = e.select("key", "rule", log.alias("log")).groupBy("key").agg(F.first("rule").alias("rule"), F.array_sort(F.flatten(F.collect_list("log"))).alias("before"))
-    told = told.select("key", "rule", F.transform("before", lambda x: F.struct(x["name"].alias("name"), x["a"].alias("a"), x["b"].alias("b"), x["got"].alias("got"), x["want"].alias("want"))).alias("rejected"))
-    out = pick.join(told, "key", "left").withColumns({"_name": F.col("rule.name"), "_ro": F.col("rule.ro"), "_rr": F.col("rule.rr")}).drop("rule")
+    n = len(listed)
+    listed = "array(" + ", ".join(f"struct({o} AS o, '{name}' AS name, {str(ro).lower()} AS ro, {str(rr).lower()} AS rr, {c} AS c, {j} AS j)" for o, name, ro, rr, c, j in listed) + ")"
+    per = per.withColumn("rule", F.expr(f"transform(array({missed}), m -> try_element_at(filter({listed}, r -> shiftright(m[r.c], r.j) & 1 = 0), 1))[0]"))
+    texts = f"struct(x.a AS a, x.b AS b, x.want AS want, x.miss AS miss, {operation_texts('x.a', 'x.b')} AS same, {operation_texts('reverse(x.a)', 'reverse(x.b)')} AS turned)"
+    line = "filter(v, x -> shiftright(x.miss[r.c], r.j) & 1 = 1)[0]"
+    got = "transform(array(IF(r.ro, x.turned[r.j], x.same[r.j])), g -> IF(r.rr, IF(startswith(g, '-'), concat('-', reverse(substring(g, 2))), reverse(g)), g))[0]"
+    rejected = f"transform(array({line}), x -> struct(r.name AS name, x.a AS a, x.b AS b, {got} AS got, x.want AS want))[0]"
+    rejected = F.expr(f"transform(array(transform(ls, x -> {texts})), v -> transform(slice({listed}, 1, coalesce(rule.o, {n})), r -> {rejected}))[0]")
+    out = per.withColumn("rejected", rejected).withColumns({"_name": F.col("rule.name"), "_ro": F.col("rule.ro"), "_rr": F.col("rule.rr")}).drop("rule")
     turned = F.col("_ro")
     out = out.withColumn("_q", F.struct(F.when(turned, F.reverse("qa")).otherwise(F.col("qa")).alias("a"), F.col("qop").alias("op"), F.when(turned, F.reverse("qb")).otherwise(F.col("qb")).alias("b")))
     out = out.withColumn("_r", operation_results("_q"))
