@@ -46,3 +46,14 @@ def test_short_accents_are_stripped_alike(spark):
     got = {r["t"]: r for r in df.collect()}
     assert all(r["a"] == r["b"] for r in got.values() if r["short"])
     assert got["plain"]["short"] and got["‑’"]["short"] and got["é"]["short"] and not got["½ ﬁ 가"]["short"]
+
+
+def test_ascii_is_not_held_against_every_range(spark):
+    assert "{10ffff}&&[^" in str(text.has_short_accents(F.col("t")))
+
+
+def test_documents_are_measured_in_one_pass(spark, folder, monkeypatch):
+    made, cut = [], profile.cut
+    monkeypatch.setattr(profile, "cut", lambda df, name: made.append((name, df.columns)) or cut(df, name))
+    plans.QUERIES["tfidf_ngram_terms"](spark, folder)
+    assert ("term-groups", ["by", "docs", "chars"]) in made

@@ -97,7 +97,9 @@ def top_terms(df: DataFrame, key: str, by: str, text: str, terms: Callable[[Colu
     if the n-th mean of a group leaves room for them.
     """
     docs = df.select(F.col(key).alias("key"), F.col(by).alias("by"), F.col(text).alias("text")).where("text IS NOT NULL")
-    rows, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    sizes = cut(docs.groupBy("by").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")), "term-groups")
+    rows, chars = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    groups = sizes.where("by IS NOT NULL").select("by", "docs")
     blocks = chars // BLOCK_CHARS + 1
     # A block is never null to the optimizer either, so both steps read the same shuffle.
     block = F.coalesce(F.pmod(F.hash("key"), F.lit(blocks)), F.lit(0))
@@ -112,7 +114,6 @@ def top_terms(df: DataFrame, key: str, by: str, text: str, terms: Callable[[Colu
     weight = (1 + F.ln("c")) * (F.ln(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)
     weights = counted.join(known.hint("shuffle_hash"), ["block", "term"]).withColumn("w", weight)
     normed = weights.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("block", "key"))))
-    groups = cut(docs.groupBy("by").agg(F.count(F.lit(1)).alias("docs")).where("by IS NOT NULL"), "term-groups")
     share = TERM_SHARE
     while True:
         often = normed.join(F.broadcast(groups), "by").where(F.col("df") >= share * F.col("docs"))
